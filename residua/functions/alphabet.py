@@ -30,7 +30,8 @@ def clean_residues(text: Column, unknown: str = "cycle") -> Column:
 
     def replace(letter: Column, position: Column) -> Column:
         substitute = F.substring(F.lit(C.RESIDUES), (F.ascii(letter) + position) % 20 + 1, F.lit(1))
-        return F.when(F.instr(F.lit(C.NON_RESIDUES), letter) > 0, substitute).otherwise(letter)
+        unknown = (letter != "") & (F.instr(F.lit(C.NON_RESIDUES), letter) > 0)
+        return F.when(unknown, substitute).otherwise(letter)
 
     return F.array_join(F.transform(F.split(letters, ""), replace), "")
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from residua.functions.hashing import LshFamily, lsh_keys
-from residua.functions.vectors import distance, distance_sq
+from residua.functions.vectors import row_distance
 from residua.operators.groups import centroids
 from residua.operators.layout import join_split_hot, split_hot
 from residua.session import cut_lineage
@@ -44,15 +44,14 @@ def _leader_pass(radius_sq: float):
     return run
 
 
-def _absorb(points: DataFrame, leaders: DataFrame, dim: int, radius: float) -> DataFrame:
+def _absorb(points: DataFrame, leaders: DataFrame, radius: float) -> DataFrame:
     """(id, leader) for points within the radius of a leader of their bucket, lowest leader id."""
     left, right = split_hot(
         points.select("bucket", "id", "point"),
         leaders.select("bucket", F.col("id").alias("leader"), F.col("point").alias("_lp")),
         ["bucket"], ["id"], min_rows=CHUNK,
     )
-    d = distance_sq(F.col("point"), F.col("_lp"), dim)
-    met = left.join(right, ["bucket", "_salt"]).filter(d <= radius * radius)
+    met = left.join(right, ["bucket", "_salt"]).filter(row_distance(F.col("point"), F.col("_lp")) <= radius)
     return met.groupBy("id").agg(F.min("leader").alias("leader"))
 
 
@@ -69,7 +68,7 @@ def _head_border(pending: DataFrame) -> DataFrame:
     return stats.select("bucket", border.alias("_border"))
 
 
-def _large_buckets(live: DataFrame, dim: int, radius: float) -> DataFrame:
+def _large_buckets(live: DataFrame, radius: float) -> DataFrame:
     """The greedy pass for buckets beyond CHUNK points, (id, leader).
 
     The order of the pass is kept: first the existing leaders take what lies
@@ -79,17 +78,17 @@ def _large_buckets(live: DataFrame, dim: int, radius: float) -> DataFrame:
     """
     leaders = live.filter("is_leader")
     free = live.filter("NOT is_leader")
-    taken = cut_lineage(_absorb(free, leaders, dim, radius))
+    taken = cut_lineage(_absorb(free, leaders, radius))
     pending = cut_lineage(free.join(taken.select("id"), "id", "left_anti"))
     while not pending.isEmpty():
-        bordered = join_split_hot(pending, _head_border(pending), ["bucket"], ["id"], min_rows=CHUNK)
+        bordered = pending.join(_head_border(pending), "bucket")
         head = bordered.filter("id <= _border").drop("_border")
         rest = bordered.filter("id > _border").drop("_border")
         inside = cut_lineage(
             head.groupBy("bucket").applyInPandas(_leader_pass(radius * radius), "id long, leader long")
         )
         centers = head.join(inside.select("id"), "id", "left_anti")
-        outside = cut_lineage(_absorb(rest, centers, dim, radius))
+        outside = cut_lineage(_absorb(rest, centers, radius))
         taken = cut_lineage(taken.unionByName(inside).unionByName(outside))
         pending = cut_lineage(rest.join(outside.select("id"), "id", "left_anti"))
     return taken
@@ -104,7 +103,7 @@ def leader_clusters(points: DataFrame, radius: float, family: LshFamily) -> Data
     stay alone are their own leader. Copies of a point behave alike, so each
     distinct point is clustered once.
     """
-    dim, rounds = family.dim, family.tables
+    rounds = family.tables
     tagged = points.select("id", F.col("point").cast("array<double>").alias("point"))
     state = cut_lineage(
         tagged.groupBy("point").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("_copies")).select(
@@ -118,13 +117,13 @@ def leader_clusters(points: DataFrame, radius: float, family: LshFamily) -> Data
             "bucket", F.get(lsh_keys(F.col("point"), one), F.lit(0))
         ).select("id", "point", "is_leader", "bucket")
         sizes = live.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-        sized = join_split_hot(live, sizes, ["bucket"], ["id"], min_rows=CHUNK)
+        sized = live.join(sizes, "bucket")
         sized = cut_lineage(sized)
         small = sized.filter(F.col("_n") <= CHUNK).drop("_n")
         large = sized.filter(F.col("_n") > CHUNK).drop("_n")
         joined = small.groupBy("bucket").applyInPandas(_leader_pass(radius * radius), "id long, leader long")
         if not large.isEmpty():
-            joined = joined.unionByName(_large_buckets(large, dim, radius))
+            joined = joined.unionByName(_large_buckets(large, radius))
         joined = cut_lineage(joined)
         heads = joined.select(F.col("leader").alias("id")).distinct().withColumn("_head", F.lit(True))
         state = state.join(joined.withColumnRenamed("leader", "_joined"), "id", "left")
@@ -137,7 +136,7 @@ def leader_clusters(points: DataFrame, radius: float, family: LshFamily) -> Data
         )
         state = cut_lineage(state)
     settled = state.select("point", F.coalesce("leader", "id").alias("leader"))
-    return join_split_hot(tagged, settled, ["point"], ["id"]).select("id", "leader")
+    return tagged.join(settled, "point").select("id", "leader")
 
 
 def hierarchical_clusters(points: DataFrame, radius: float, family: LshFamily) -> DataFrame:
@@ -159,34 +158,31 @@ def hierarchical_clusters(points: DataFrame, radius: float, family: LshFamily) -
         one = replace(family, tables=1, seed=family.seed + 1000 * t)
         keyed = clusters.withColumn("bucket", F.get(lsh_keys(F.col("center"), one), F.lit(0)))
         shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
-        keyed = cut_lineage(join_split_hot(keyed, shared, ["bucket"], ["cluster_id"]))
+        keyed = cut_lineage(keyed.join(shared, "bucket", "left_semi"))
         middles = centroids(keyed, "bucket", dim, "center", "size").select(
             "bucket", F.col("center").alias("_middle")
         )
-        near = join_split_hot(keyed, middles, ["bucket"], ["cluster_id"])
-        near = near.filter(distance(F.col("center"), F.col("_middle"), dim) + F.col("radius") <= radius / 2)
+        near = keyed.join(middles, "bucket")
+        near = near.filter(row_distance(F.col("center"), F.col("_middle")) + F.col("radius") <= radius / 2)
         near = cut_lineage(near.drop("_middle"))
         targets = near.groupBy("bucket").agg(
             F.min("cluster_id").alias("_target"), F.count(F.lit(1)).alias("_n")
         ).filter("_n > 1").drop("_n")
-        moves = join_split_hot(near, targets, ["bucket"], ["cluster_id"])
+        moves = near.join(targets, "bucket")
         moves = cut_lineage(moves)
         if moves.isEmpty():
             continue
-        members = join_split_hot(
-            members, moves.select("cluster_id", "_target"), ["cluster_id"], ["id"], how="left"
-        ).select("id", F.coalesce("_target", "cluster_id").alias("cluster_id"))
+        members = members.join(moves.select("cluster_id", "_target"), "cluster_id", "left").select("id", F.coalesce("_target", "cluster_id").alias("cluster_id"))
         members = cut_lineage(members)
         merged = centroids(moves, "_target", dim, "center", "size")
         merged = cut_lineage(merged.withColumnRenamed("_target", "cluster_id"))
-        inside = join_split_hot(members, merged.select("cluster_id", "center"), ["cluster_id"], ["id"])
+        inside = members.join(merged.select("cluster_id", "center"), "cluster_id")
         inside = inside.join(points, "id")
-        radii = inside.groupBy("cluster_id").agg(
-            F.max(distance(F.col("point"), F.col("center"), dim)).alias("radius")
-        )
+        measured = inside.select("cluster_id", row_distance(F.col("point"), F.col("center")).alias("_d"))
+        radii = measured.groupBy("cluster_id").agg(F.max("_d").alias("radius"))
         kept = clusters.join(moves.select("cluster_id"), "cluster_id", "left_anti")
         clusters = cut_lineage(kept.unionByName(merged.join(radii, "cluster_id")))
-    return join_split_hot(members, clusters.select("cluster_id", "radius"), ["cluster_id"], ["id"])
+    return members.join(clusters.select("cluster_id", "radius"), "cluster_id")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -222,4 +218,4 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def cluster_listing(members: DataFrame, names: DataFrame) -> DataFrame:
     """(leader, size, name) with every cluster's size beside its members' names."""
     sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
-    return join_split_hot(members, sizes, ["leader"], ["id"]).join(names, "id").select("leader", "size", "name")
+    return members.join(sizes, "leader").join(names, "id").select("leader", "size", "name")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from residua import constants as C
 from residua.functions.alphabet import octet_code
 from residua.functions.hashing import KernelFamily, kernel_bucket
-from residua.functions.vectors import distance
+from residua.functions.vectors import row_distance
 from residua.operators.kmers import explode_kmers
 from residua.operators.layout import join_split_hot
 
@@ -27,11 +27,11 @@ def centroids(points: DataFrame, group: str, dim: int, point: str = "point",
     return total.select(group, mean.alias("center"), "size")
 
 
-def cluster_radius(points: DataFrame, centers: DataFrame, group: str, id_col: str = "point_id",
-                   dim: int | None = None) -> DataFrame:
+def cluster_radius(points: DataFrame, centers: DataFrame, group: str, id_col: str = "point_id") -> DataFrame:
     """Largest distance of a member to its centre."""
     paired = join_split_hot(points, centers, [group], [id_col])
-    return paired.groupBy(group).agg(F.max(distance(F.col("point"), F.col("center"), dim)).alias("radius"))
+    measured = paired.select(group, row_distance(F.col("point"), F.col("center")).alias("_d"))
+    return measured.groupBy(group).agg(F.max("_d").alias("radius"))
 
 
 def mean_pair_distance_sq(points: DataFrame, group: str, dim: int, point: str = "point") -> DataFrame:
@@ -49,11 +49,15 @@ def mean_pair_distance_sq(points: DataFrame, group: str, dim: int, point: str =
 
 
 def weight_matrix(members: DataFrame, motif: str = "motif", kmer: str = "kmer",
-                  letters: str = C.MOTIF_LETTERS) -> DataFrame:
-    """Letter frequency at each position of each motif, one column per letter."""
-    cells = members.select(motif, F.posexplode(F.split(F.col(kmer), "")).alias("pos", "_aa"))
-    counts = [F.count_if(F.col("_aa") == a).alias(a) for a in letters]
-    total = cells.groupBy(motif, "pos").agg(F.count(F.lit(1)).alias("_n"), *counts)
+                  copies: str | None = None, letters: str = C.MOTIF_LETTERS) -> DataFrame:
+    """Letter frequency at each position of each motif, one column per letter.
+
+    ``copies`` names a column that says how often a row's k-mer occurs.
+    """
+    weight = F.lit(1) if copies is None else F.col(copies)
+    cells = members.select(motif, weight.alias("_w"), F.posexplode(F.split(F.col(kmer), "")).alias("pos", "_aa"))
+    counts = [F.sum(F.when(F.col("_aa") == a, F.col("_w")).otherwise(F.lit(0))).alias(a) for a in letters]
+    total = cells.groupBy(motif, "pos").agg(F.sum("_w").alias("_n"), *counts)
     return total.select(motif, "pos", *[(F.col(a) / F.col("_n")).alias(a) for a in letters])
 
 

@@ -69,7 +69,11 @@ def split_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: S
 
 def join_split_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: Sequence[str],
                    how: str = "inner", **kw) -> DataFrame:
-    """Equi-join with hot keys of ``left`` split; ``how`` may be inner, left, left_semi or left_anti."""
+    """Equi-join with hot keys of ``left`` split; ``how`` may be inner, left, left_semi or left_anti.
+
+    ``left`` is read twice, so it should be a scan, a short projection or a
+    checkpoint; after longer plans the runtime's own skew splitting is cheaper.
+    """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("only joins that keep or filter the left side can be split")
     salted, repeated = split_hot(left, right, keys, salt_by, **kw)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from residua import constants as C
 from residua.functions.hashing import LshFamily, kmer_lsh_keys, lsh_keys
-from residua.functions.vectors import distance_sq, kmer_distance_sq
+from residua.functions.vectors import kmer_codes, kmer_distance_sq, row_distance
 from residua.operators.layout import broadcast_if_small, join_split_hot, split_hot
 
 
@@ -30,9 +32,9 @@ def _meet(points: DataFrame, centers: DataFrame, tables: int, distance: Column,
     """Pairs that share a key in some table and lie within the radius.
 
     ``points`` carries ``_pkeys``, ``centers`` carries ``_ckeys``, one key per
-    table. The distance is checked inside the join, so only hits leave it. A
-    checked small centre side is broadcast and the points are not shuffled at
-    all; otherwise hot keys are split.
+    table. A checked small centre side is broadcast and the points are not
+    shuffled at all; otherwise hot keys are split. Distances are checked where
+    pairs are formed, so only hits go on.
     """
     p = points.select("*", F.posexplode("_pkeys").alias("_table", "_key"))
     c = centers.select("*", F.posexplode("_ckeys").alias("_table", "_key"))
@@ -42,10 +44,8 @@ def _meet(points: DataFrame, centers: DataFrame, tables: int, distance: Column,
     else:
         p, c = split_hot(p, c, ["_table", "_key"], spread_by)
         joined = p.join(c, ["_table", "_key", "_salt"])
-    fresh = ~_met_before("_pkeys", "_ckeys", tables)
-    return joined.filter(fresh & (distance <= radius * radius)).select(
-        *keep, F.sqrt(distance).alias("distance")
-    )
+    fresh = joined.filter(~_met_before("_pkeys", "_ckeys", tables))
+    return fresh.select(*keep, distance.alias("distance")).filter(F.col("distance") <= radius)
 
 
 def distinct_kmers(kmers: DataFrame, col: str = "kmer") -> DataFrame:
@@ -53,16 +53,22 @@ def distinct_kmers(kmers: DataFrame, col: str = "kmer") -> DataFrame:
     return kmers.select(col).distinct()
 
 
+def _coded_sides(centers: DataFrame, kmers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct centres and k-mers, each with its residue indices."""
+    c = distinct_kmers(centers).select(F.col("kmer").alias("center"), kmer_codes(F.col("kmer")).alias("_cc"))
+    return c, distinct_kmers(kmers).withColumn("_pc", kmer_codes(F.col("kmer")))
+
+
 def kmer_radius_lsh(centers: DataFrame, kmers: DataFrame, k: int, radius: float,
                     family: LshFamily) -> DataFrame:
     """(center, kmer, distance) for distinct k-mers found by LSH within the radius.
 
     A subset of :func:`kmer_radius_exact` with equal distances.
     """
-    c = distinct_kmers(centers).select(F.col("kmer").alias("center"))
+    c, p = _coded_sides(centers, kmers)
     c = c.withColumn("_ckeys", kmer_lsh_keys(F.col("center"), k, family))
-    p = distinct_kmers(kmers).withColumn("_pkeys", kmer_lsh_keys(F.col("kmer"), k, family))
-    d = kmer_distance_sq(F.col("center"), F.col("kmer"), k)
+    p = p.withColumn("_pkeys", kmer_lsh_keys(F.col("kmer"), k, family))
+    d = F.sqrt(kmer_distance_sq(F.col("_cc"), F.col("_pc"), k))
     return _meet(p, c, family.tables, d, radius, ["center", "kmer"], ["kmer"])
 
 
@@ -85,7 +91,7 @@ def _block_neighbours(spark, length: int, limit: float) -> DataFrame:
     pairs = spark.range(n).select(
         text(F.col("id")).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_other")
     ).select("_block", text(F.col("_other")).alias("_near"))
-    return pairs.filter(kmer_distance_sq(F.col("_block"), F.col("_near"), length) <= limit)
+    return pairs.filter(kmer_distance_sq(kmer_codes(F.col("_block")), kmer_codes(F.col("_near")), length) <= limit)
 
 
 def kmer_radius_exact(centers: DataFrame, kmers: DataFrame, k: int, radius: float) -> DataFrame:
@@ -97,10 +103,9 @@ def kmer_radius_exact(centers: DataFrame, kmers: DataFrame, k: int, radius: floa
     of two residues, so one block agrees letter by letter; with a larger radius
     the block of the k-mer is one of the centre block's near neighbours.
     """
-    c = distinct_kmers(centers).select(F.col("kmer").alias("center"))
-    p = distinct_kmers(kmers)
+    c, p = _coded_sides(centers, kmers)
     limit = radius * radius
-    d = kmer_distance_sq(F.col("center"), F.col("kmer"), k)
+    d = F.sqrt(kmer_distance_sq(F.col("_cc"), F.col("_pc"), k))
     m = math.floor(limit / C.MIN_RESIDUE_DISTANCE_SQ) + 1
     if 2 * m <= k:
         blocks = _blocks(k, m)
@@ -122,16 +127,17 @@ def kmer_radius_exact(centers: DataFrame, kmers: DataFrame, k: int, radius: floa
     for n in range(1, longest + 1):
         part = _block_neighbours(centers.sparkSession, n, share)
         near = part if near is None else near.unionByName(part)
-    cb = c.select("center", numbered("center").alias("_table", "_block")).join(near, "_block")
-    cb = cb.select("center", "_table", F.col("_near").alias("_key"))
-    pb = p.select("kmer", numbered("kmer").alias("_table", "_key"))
+    cb = c.select("center", "_cc", numbered("center").alias("_table", "_block")).join(near, "_block")
+    cb = cb.select("center", "_cc", "_table", F.col("_near").alias("_key"))
+    pb = p.select("kmer", "_pc", numbered("kmer").alias("_table", "_key"))
     earlier = F.lit(False)
     for t, (s, n) in enumerate(blocks[:-1]):
-        part = kmer_distance_sq(F.substring("center", s, n), F.substring("kmer", s, n), n)
+        part = kmer_distance_sq(F.col("_cc"), F.col("_pc"), n, s - 1)
         earlier = earlier | ((F.col("_table") > t) & (part <= share))
     pb, cb = split_hot(pb, cb, ["_table", "_key"], ["kmer"])
     joined = pb.join(cb, ["_table", "_key", "_salt"])
-    return joined.filter(~earlier & (d <= limit)).select("center", "kmer", F.sqrt(d).alias("distance"))
+    measured = joined.filter(~earlier).select("center", "kmer", d.alias("distance"))
+    return measured.filter(F.col("distance") <= radius)
 
 
 def locate_hits(hits: DataFrame, kmers: DataFrame) -> DataFrame:
@@ -143,10 +149,14 @@ def radius_lsh(centers: DataFrame, points: DataFrame, radius: float, family: Lsh
     """LSH radius search over (center_id, center) and (point_id, point)."""
     c = centers.withColumn("_ckeys", lsh_keys(F.col("center"), family))
     p = points.withColumn("_pkeys", lsh_keys(F.col("point"), family))
-    d = distance_sq(F.col("point"), F.col("center"), family.dim)
+    d = row_distance(F.col("point"), F.col("center"))
     return _meet(p, c, family.tables, d, radius, ["center_id", "point_id"], ["point_id"])
 
 
+# rows of one side a block comparison holds
+BLOCK_ROWS = 8_000
+
+
 def _bands(point: Column, dim: int, radius: float) -> list[Column]:
     """Cells of width ``radius`` along two orthogonal unit directions.
 
@@ -154,35 +164,80 @@ def _bands(point: Column, dim: int, radius: float) -> list[Column]:
     the same cell or in neighbouring ones.
     """
     norm = math.sqrt(dim)
-    even = sum((point.getItem(i) for i in range(0, dim, 2)), F.lit(0.0))
-    odd = sum((point.getItem(i) for i in range(1, dim, 2)), F.lit(0.0))
-    return [F.floor((even + odd) / norm / radius), F.floor((even - odd) / norm / radius)]
+    zero = F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("o"))
+    numbered = F.transform(point, lambda x, i: F.struct(x.alias("x"), (i % 2).alias("odd")))
+    halves = F.aggregate(
+        numbered, zero,
+        lambda s, v: F.struct((s["e"] + F.when(v["odd"] == 0, v["x"]).otherwise(0.0)).alias("e"),
+                              (s["o"] + F.when(v["odd"] == 1, v["x"]).otherwise(0.0)).alias("o")),
+        lambda s: F.struct(F.floor((s["e"] + s["o"]) / norm / radius).alias("x"),
+                           F.floor((s["e"] - s["o"]) / norm / radius).alias("y")),
+    )
+    return [halves["x"], halves["y"]]
+
+
+def _block_hits(radius: float):
+    """Hits between one block of points and one block of centres."""
+
+    def run(points: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"center_id": [], "point_id": [], "distance": []}).astype(
+            {"center_id": "int64", "point_id": "int64"})
+        if len(points) == 0 or len(centers) == 0:
+            return none
+        x, y = np.stack(points["point"].to_numpy()), np.stack(centers["center"].to_numpy())
+        xs, ys = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        parts = [none]
+        for at in range(0, len(x), 1024):
+            rough = xs[at:at + 1024, None] + ys[None, :] - 2 * (x[at:at + 1024] @ y.T)
+            # the product form rounds differently: keep a margin, then measure exactly
+            margin = 1e-9 * (1 + xs[at:at + 1024, None] + ys[None, :])
+            i, j = np.nonzero(rough <= radius * radius + margin)
+            d = np.sqrt(((x[at + i] - y[j]) ** 2).sum(axis=1))
+            near = d <= radius
+            parts.append(pd.DataFrame({
+                "center_id": centers["center_id"].to_numpy()[j[near]],
+                "point_id": points["point_id"].to_numpy()[at + i[near]], "distance": d[near],
+            }))
+        return pd.concat(parts)
+
+    return run
 
 
 def radius_exact(centers: DataFrame, points: DataFrame, dim: int, radius: float) -> DataFrame:
-    """All (center_id, point_id, distance) within the radius, as an equi-join on cells.
+    """All (center_id, point_id, distance) within the radius.
 
     Centres are entered into the nine cells around their own; a point meets a
-    centre in exactly one cell.
+    centre in exactly one cell. A cell's points and centres are cut into blocks
+    of bounded size and every pair of blocks is one matrix product in its own
+    group, so a cell that holds most of the data is spread over many tasks.
     """
     near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
     c1, c2 = _bands(F.col("center"), dim, radius)
-    c = centers.select("center_id", "center", c1.alias("_x"), c2.alias("_y"))
+    c = centers.select(F.col("center_id").cast("long").alias("center_id"),
+                       F.col("center").cast("array<double>").alias("center"), c1.alias("_x"), c2.alias("_y"))
     c = c.withColumn("_dx", near).withColumn("_dy", near)
     c = c.select("center_id", "center", (F.col("_x") + F.col("_dx")).alias("_x"),
                  (F.col("_y") + F.col("_dy")).alias("_y"))
     p1, p2 = _bands(F.col("point"), dim, radius)
-    p = points.select("point_id", "point", p1.alias("_x"), p2.alias("_y"))
-    d = distance_sq(F.col("point"), F.col("center"), dim)
-    hinted = broadcast_if_small(c)
-    if hinted is not c:
-        joined = p.join(hinted, ["_x", "_y"])
-    else:
-        p, c = split_hot(p, c, ["_x", "_y"], ["point_id"])
-        joined = p.join(c, ["_x", "_y", "_salt"])
-    return joined.filter(d <= radius * radius).select(
-        "center_id", "point_id", F.sqrt(d).alias("distance")
-    )
+    p = points.select("point_id", F.col("point").cast("array<double>").alias("point"),
+                      p1.alias("_x"), p2.alias("_y"))
+    cell = ["_x", "_y"]
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        counted = side.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+        return counted.select(*cell, F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias(name))
+
+    # cells without points or without centres drop out here
+    shape = broadcast_if_small(blocks(p, "_pn").join(blocks(c, "_cn"), cell))
+    p = p.join(shape, cell).select(
+        "point_id", "point", *cell, F.pmod(F.xxhash64("point_id"), F.col("_pn")).cast("int").alias("_pb"),
+        F.explode(F.sequence(F.lit(0), F.col("_cn") - 1)).alias("_cb"))
+    c = c.join(shape, cell).select(
+        "center_id", "center", *cell, F.explode(F.sequence(F.lit(0), F.col("_pn") - 1)).alias("_pb"),
+        F.pmod(F.xxhash64("center_id"), F.col("_cn")).cast("int").alias("_cb"))
+    group = [*cell, "_pb", "_cb"]
+    return p.groupBy(*group).cogroup(c.groupBy(*group)).applyInPandas(
+        _block_hits(radius), "center_id long, point_id long, distance double")
 
 
 def nearest_center(hits: DataFrame, point_id: str = "point_id", center_id: str = "center_id") -> DataFrame:

@@ -30,9 +30,8 @@ def read_lines(spark: SparkSession, path: str | list[str], separator: str | None
 def number_lines(lines: DataFrame, name: str = "line_no") -> DataFrame:
     """Zero-based number over all files in path order.
 
-    Inside a file split the running id already counts rows (drop unwanted lines
-    with a filter before :func:`read_lines` ids are compared, not after); what
-    earlier splits hold comes from a table with one row per split.
+    A window counts inside each file split, whose size is bounded; what earlier
+    splits hold comes from a table with one row per split.
     """
     inside = F.row_number().over(W.partitionBy(*_SPLIT).orderBy("_mid")) - 1
     counted = lines.groupBy(*_SPLIT).agg(F.count(F.lit(1)).alias("_n"))

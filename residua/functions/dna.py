@@ -82,8 +82,17 @@ def translate_frame(dna: Column, offset: Column | int) -> Column:
     offset = F.lit(offset) if isinstance(offset, int) else offset
     rest = F.substring(dna, offset + 1, F.length(dna))
     codons = F.regexp_extract_all(rest, F.lit("(.{3})"), F.lit(1))
-    residues = F.array_join(F.transform(codons, codon_residue), "")
-    return F.substring_index(residues, "*", 1)
+    stops = [i for i, r in enumerate(C.CODON_RESIDUES) if r == "*"]
+    bases = C.CODON_BASES
+    names = [bases[i // 16] + bases[i // 4 % 4] + bases[i % 4] for i in stops]
+
+    # only the codons before the first stop are translated
+    def head(all_codons: Column) -> Column:
+        found = F.filter(F.array(*[F.array_position(all_codons, n) for n in names]), lambda p: p > 0)
+        end = F.coalesce(F.array_min(found).cast("int") - 1, F.size(all_codons))
+        return F.array_join(F.transform(F.slice(all_codons, F.lit(1), end), codon_residue), "")
+
+    return F.element_at(F.transform(F.array(codons), head), 1)
 
 
 def adaptor_matches(read: Column, position: Column, adaptor: str) -> Column:

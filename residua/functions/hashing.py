@@ -44,41 +44,55 @@ def line_bucket(point: Column, direction, offset: float, width: float) -> Column
     return F.floor((dot(point, literal) + F.lit(float(offset))) / F.lit(float(width)))
 
 
-def lsh_keys_native(point: Column, family: LshFamily) -> Column:
-    """One key per table from built-in expressions only."""
+def lsh_buckets_native(point: Column, family: LshFamily) -> Column:
+    """The buckets of every table's projections, from built-in expressions only."""
     a, b = family.directions(), family.offsets()
     return F.array(
         *[
-            F.concat_ws(
-                "_",
-                *[
-                    line_bucket(point, a[t, j], b[t, j], family.width).cast("string")
-                    for j in range(family.lines)
-                ],
-            )
+            F.array(*[line_bucket(point, a[t, j], b[t, j], family.width) for j in range(family.lines)])
             for t in range(family.tables)
         ]
     )
 
 
-def _join_buckets(buckets: np.ndarray) -> list[list[str]]:
-    return [["_".join(map(str, table)) for table in row] for row in buckets.tolist()]
+def _mix(buckets: np.ndarray) -> np.ndarray:
+    """One 64-bit key per table from its buckets, [row, table, line] -> [row, table].
+
+    Two different bucket lists share a key about once in 2^64 cases; that would
+    add a candidate, which the distance check after the join decides.
+    """
+    key = np.full(buckets.shape[:2], 1469598103934665603, dtype=np.uint64)
+    for j in range(buckets.shape[2]):
+        key = (key ^ buckets[:, :, j].astype(np.uint64)) * np.uint64(1099511628211)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def _keys_frame(totals: np.ndarray, width: float, tables: int, lines: int) -> pd.DataFrame:
+    buckets = np.floor(totals / width).astype(np.int64).reshape(len(totals), tables, lines)
+    return pd.DataFrame(_mix(buckets), columns=[f"k{t}" for t in range(tables)])
+
+
+def _keys_type(tables: int) -> T.StructType:
+    # plain number columns cross the Arrow border without a Python object per row
+    return T.StructType([T.StructField(f"k{t}", T.LongType()) for t in range(tables)])
+
+
+def keys_array(keys: Column, tables: int) -> Column:
+    """The keys of :func:`lsh_keys` as one array."""
+    return F.array(*[keys[f"k{t}"] for t in range(tables)])
 
 
 def lsh_keys(point: Column, family: LshFamily) -> Column:
-    """One key per table, all projections of an Arrow batch in one matrix product."""
-    shape = (family.tables, family.lines)
+    """Struct of one key per table, all projections of an Arrow batch in one matrix product."""
+    tables, lines, width = family.tables, family.lines, family.width
     a = family.directions().reshape(-1, family.dim).T.copy()
     b = family.offsets().reshape(-1)
-    width = family.width
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def keys(points: pd.Series) -> pd.Series:
-        if len(points) == 0:
-            return pd.Series([], dtype=object)
-        x = np.stack(points.to_numpy())
-        buckets = np.floor((x @ a + b) / width).astype(np.int64)
-        return pd.Series(_join_buckets(buckets.reshape(len(x), *shape)))
+    @F.pandas_udf(_keys_type(tables))
+    def keys(points: pd.Series) -> pd.DataFrame:
+        x = np.stack(points.to_numpy()) if len(points) else np.empty((0, a.shape[0]))
+        return _keys_frame(x @ a + b, width, tables, lines)
 
     return keys(point.cast("array<double>"))
 
@@ -92,26 +106,23 @@ def kmer_lsh_keys(kmer: Column, k: int, family: LshFamily) -> Column:
     """
     if family.dim != C.POINT_WIDTH * k:
         raise ValueError("the hash family must have 8 dimensions per residue")
+    tables, lines, width = family.tables, family.lines, family.width
     coordinates = np.array([C.COORDINATES[r] for r in C.RESIDUES])
     directions = family.directions().reshape(-1, k, C.POINT_WIDTH)
     # [position, residue, projection]
     parts = np.einsum("pkc,rc->krp", directions, coordinates)
     b = family.offsets().reshape(-1)
-    width, shape = family.width, (family.tables, family.lines)
     index = np.full(256, -1, dtype=np.int64)
     index[[ord(r) for r in C.RESIDUES]] = np.arange(20)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def keys(kmers: pd.Series) -> pd.Series:
-        if len(kmers) == 0:
-            return pd.Series([], dtype=object)
+    @F.pandas_udf(_keys_type(tables))
+    def keys(kmers: pd.Series) -> pd.DataFrame:
         letters = np.frombuffer("".join(kmers).encode("ascii"), dtype=np.uint8).reshape(-1, k)
         codes = index[letters]
-        total = np.tile(b, (len(codes), 1))
+        totals = np.tile(b, (len(codes), 1))
         for position in range(k):
-            total += parts[position][codes[:, position]]
-        buckets = np.floor(total / width).astype(np.int64)
-        return pd.Series(_join_buckets(buckets.reshape(len(codes), *shape)))
+            totals += parts[position][codes[:, position]]
+        return _keys_frame(totals, width, tables, lines)
 
     return keys(kmer)
 

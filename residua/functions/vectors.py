@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from residua import constants as C
 
@@ -56,7 +56,7 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(distance_sq(a, b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _row_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     if len(a) == 0:
         return pd.Series([], dtype="float64")

@@ -114,7 +114,7 @@ def leader_clusters(points: DataFrame, radius: float, family: LshFamily) -> Data
     for t in range(rounds):
         one = replace(family, tables=1, seed=family.seed + 1000 * t)
         live = state.filter("leader IS NULL").withColumn(
-            "bucket", F.get(lsh_keys(F.col("point"), one), F.lit(0))
+            "bucket", lsh_keys(F.col("point"), one)["k0"]
         ).select("id", "point", "is_leader", "bucket")
         sizes = live.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
         sized = live.join(sizes, "bucket")
@@ -156,7 +156,7 @@ def hierarchical_clusters(points: DataFrame, radius: float, family: LshFamily) -
     ))
     for t in range(family.tables):
         one = replace(family, tables=1, seed=family.seed + 1000 * t)
-        keyed = clusters.withColumn("bucket", F.get(lsh_keys(F.col("center"), one), F.lit(0)))
+        keyed = clusters.withColumn("bucket", lsh_keys(F.col("center"), one)["k0"])
         shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
         keyed = cut_lineage(keyed.join(shared, "bucket", "left_semi"))
         middles = centroids(keyed, "bucket", dim, "center", "size").select(

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from residua import constants as C
-from residua.functions.hashing import LshFamily, kmer_lsh_keys, lsh_keys
+from residua.functions.hashing import LshFamily, keys_array, kmer_lsh_keys, lsh_keys
 from residua.functions.vectors import kmer_codes, kmer_distance_sq, row_distance
 from residua.operators.layout import broadcast_if_small, join_split_hot, split_hot
 
@@ -22,7 +22,7 @@ def _met_before(left: str, right: str, tables: int) -> Column:
     """
     before = F.lit(False)
     for t in range(tables - 1):
-        same = F.get(F.col(left), F.lit(t)) == F.get(F.col(right), F.lit(t))
+        same = F.col(left)[f"k{t}"] == F.col(right)[f"k{t}"]
         before = before | ((F.col("_table") > t) & same)
     return before
 
@@ -36,8 +36,8 @@ def _meet(points: DataFrame, centers: DataFrame, tables: int, distance: Column,
     shuffled at all; otherwise hot keys are split. Distances are checked where
     pairs are formed, so only hits go on.
     """
-    p = points.select("*", F.posexplode("_pkeys").alias("_table", "_key"))
-    c = centers.select("*", F.posexplode("_ckeys").alias("_table", "_key"))
+    p = points.select("*", F.posexplode(keys_array(F.col("_pkeys"), tables)).alias("_table", "_key"))
+    c = centers.select("*", F.posexplode(keys_array(F.col("_ckeys"), tables)).alias("_table", "_key"))
     hinted = broadcast_if_small(c)
     if hinted is not c:
         joined = p.join(hinted, ["_table", "_key"])
@@ -78,20 +78,53 @@ def _blocks(k: int, m: int) -> list[tuple[int, int]]:
     return [(a + 1, b - a) for a, b in zip(borders, borders[1:])]
 
 
-def _block_neighbours(spark, length: int, limit: float) -> DataFrame:
-    """Every residue block with all blocks within a squared distance."""
-    n = 20**length
+# most neighbours a centre's block may have on average
+NEIGHBOURS = 500
 
-    def text(code: Column) -> Column:
-        return F.concat(*[
-            F.substring(F.lit(C.RESIDUES), F.pmod(F.floor(code / 20**i), F.lit(20)).cast("int") + 1, F.lit(1))
-            for i in range(length)
-        ])
 
-    pairs = spark.range(n).select(
-        text(F.col("id")).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_other")
-    ).select("_block", text(F.col("_other")).alias("_near"))
-    return pairs.filter(kmer_distance_sq(kmer_codes(F.col("_block")), kmer_codes(F.col("_near")), length) <= limit)
+def _expected_neighbours(length: int, limit: float) -> float:
+    """Mean number of blocks within a squared distance of a uniformly random block."""
+    steps: dict[float, float] = {}
+    for row in C.COORDINATE_DISTANCE_SQ:
+        for d in row:
+            if d <= limit:
+                steps[round(d, 1)] = steps.get(round(d, 1), 0.0) + 1 / 20
+    sums = {0.0: 1.0}
+    for _ in range(length):
+        longer: dict[float, float] = {}
+        for s, n in sums.items():
+            for d, w in steps.items():
+                if s + d <= limit:
+                    longer[round(s + d, 1)] = longer.get(round(s + d, 1), 0.0) + n * w
+        sums = longer
+    return sum(sums.values())
+
+
+def _choose_blocks(k: int, limit: float) -> list[tuple[int, int]]:
+    """The fewest blocks whose neighbourhoods stay small."""
+    for m in range(1, k):
+        blocks = _blocks(k, m)
+        if max(_expected_neighbours(n, limit / m) for n in {n for _, n in blocks}) <= NEIGHBOURS:
+            return blocks
+    return _blocks(k, k)
+
+
+def _near_blocks(block: Column, limit: float) -> Column:
+    """All residue strings of a block's length within a squared distance of it."""
+    near = F.array(*[
+        F.array(*[F.struct(F.lit(b).alias("r"), F.lit(C.COORDINATE_DISTANCE_SQ[i][j]).alias("d"))
+                  for j, b in enumerate(C.RESIDUES) if C.COORDINATE_DISTANCE_SQ[i][j] <= limit])
+        for i in range(20)
+    ])
+    start = F.array(F.struct(F.lit("").alias("text"), F.lit(0.0).alias("sq")))
+
+    def longer(found: Column, code: Column) -> Column:
+        options = F.get(near, code)
+        grown = F.flatten(F.transform(found, lambda s: F.transform(
+            options, lambda o: F.struct(F.concat(s["text"], o["r"]).alias("text"), (s["sq"] + o["d"]).alias("sq")))))
+        return F.filter(grown, lambda g: g["sq"] <= limit)
+
+    return F.transform(F.aggregate(kmer_codes(block), start, longer), lambda g: g["text"])
 
 
 def kmer_radius_exact(centers: DataFrame, kmers: DataFrame, k: int, radius: float) -> DataFrame:
@@ -99,43 +132,36 @@ def kmer_radius_exact(centers: DataFrame, kmers: DataFrame, k: int, radius: floa
 
     The squared distance is a sum over positions. When it is at most radius^2 and
     the k positions are cut into m blocks, some block's share is at most
-    radius^2 / m. With enough blocks that share lies below the smallest distance
-    of two residues, so one block agrees letter by letter; with a larger radius
-    the block of the k-mer is one of the centre block's near neighbours.
+    radius^2 / m. The centre's blocks are therefore replaced by all their
+    neighbours within that share and joined with the k-mers' blocks on equality.
+    A small radius needs one block, whose neighbours are the hits themselves; a
+    larger one takes more and shorter blocks.
     """
     c, p = _coded_sides(centers, kmers)
     limit = radius * radius
-    d = F.sqrt(kmer_distance_sq(F.col("_cc"), F.col("_pc"), k))
-    m = math.floor(limit / C.MIN_RESIDUE_DISTANCE_SQ) + 1
-    if 2 * m <= k:
-        blocks = _blocks(k, m)
+    blocks = _choose_blocks(k, limit)
+    # a little slack, so rounding never loses a pair; the distance decides below
+    share = limit / len(blocks) + 1e-9
 
-        def keys(col: str) -> Column:
-            return F.array(*[F.substring(F.col(col), s, n) for s, n in blocks])
+    def texts(col: str) -> Column:
+        return F.array(*[F.substring(F.col(col), s, n) for s, n in blocks])
 
-        c, p = c.withColumn("_ckeys", keys("center")), p.withColumn("_pkeys", keys("kmer"))
-        return _meet(p, c, m, d, radius, ["center", "kmer"], ["kmer"])
-
-    blocks = _blocks(k, max(1, k // 2))
-    share = limit / len(blocks)
-
-    def numbered(col: str) -> Column:
-        return F.posexplode(F.array(*[F.substring(F.col(col), s, n) for s, n in blocks]))
-
-    longest = max(n for _, n in blocks)
-    near = None
-    for n in range(1, longest + 1):
-        part = _block_neighbours(centers.sparkSession, n, share)
-        near = part if near is None else near.unionByName(part)
-    cb = c.select("center", "_cc", numbered("center").alias("_table", "_block")).join(near, "_block")
-    cb = cb.select("center", "_cc", "_table", F.col("_near").alias("_key"))
-    pb = p.select("kmer", "_pc", numbered("kmer").alias("_table", "_key"))
+    near = F.transform(texts("center"), lambda block: _near_blocks(block, share))
+    c = c.select("center", "_cc", F.posexplode(near).alias("_table", "_near"))
+    c = c.select("center", "_cc", "_table", F.explode("_near").alias("_key"))
+    p = p.select("kmer", "_pc", F.posexplode(texts("kmer")).alias("_table", "_key"))
+    hinted = broadcast_if_small(c)
+    if hinted is not c:
+        joined = p.join(hinted, ["_table", "_key"])
+    else:
+        p, c = split_hot(p, c, ["_table", "_key"], ["kmer"])
+        joined = p.join(c, ["_table", "_key", "_salt"])
+    # a pair that meets in several blocks counts in the first of them
     earlier = F.lit(False)
     for t, (s, n) in enumerate(blocks[:-1]):
         part = kmer_distance_sq(F.col("_cc"), F.col("_pc"), n, s - 1)
         earlier = earlier | ((F.col("_table") > t) & (part <= share))
-    pb, cb = split_hot(pb, cb, ["_table", "_key"], ["kmer"])
-    joined = pb.join(cb, ["_table", "_key", "_salt"])
+    d = F.sqrt(kmer_distance_sq(F.col("_cc"), F.col("_pc"), k))
     measured = joined.filter(~earlier).select("center", "kmer", d.alias("distance"))
     return measured.filter(F.col("distance") <= radius)
 
@@ -228,7 +254,7 @@ def radius_exact(centers: DataFrame, points: DataFrame, dim: int, radius: float)
         return counted.select(*cell, F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias(name))
 
     # cells without points or without centres drop out here
-    shape = broadcast_if_small(blocks(p, "_pn").join(blocks(c, "_cn"), cell))
+    shape = blocks(p, "_pn").join(blocks(c, "_cn"), cell)
     p = p.join(shape, cell).select(
         "point_id", "point", *cell, F.pmod(F.xxhash64("point_id"), F.col("_pn")).cast("int").alias("_pb"),
         F.explode(F.sequence(F.lit(0), F.col("_cn") - 1)).alias("_cb"))

@@ -80,14 +80,15 @@ w AS (SELECT conv_id, turn, read, list_transform(range(0, greatest(length(read)
     same := {' + '.join(f"CASE WHEN substr(read, CAST(i + {j + 1} AS INTEGER), 1) = '{a}' THEN 1 ELSE 0 END" for j, a in enumerate(ADAPTOR))})) AS w FROM r),
 s AS (SELECT conv_id, turn, read, COALESCE(list_filter(w.w, lambda x: x.n = 14 AND x.same >= 11)[1].spot,
   list_filter(w.w, lambda x: x.n < 14 AND x.same >= x.n - 1)[1].spot) AS spot FROM w)
-SELECT conv_id, turn, spot AS "at", length(read) - spot AS clipped, CASE WHEN spot IS NULL THEN read ELSE rpad(substr(read, 1, CAST(spot AS INTEGER)), length(read), 'N') END AS kept FROM s""")
+SELECT conv_id, turn, COALESCE(spot, -1) AS "at", COALESCE(length(read) - spot, 0) AS clipped, CASE WHEN spot IS NULL THEN read ELSE rpad(substr(read, 1, CAST(spot AS INTEGER)), CAST(length(read) AS INTEGER), 'N') END AS kept FROM s""")
 def adaptor_clip(spark, sf_dir):
     from residua.functions.alphabet import clean_residues
 
     reads = table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", F.translate(clean_residues(F.col("text")), C.RESIDUES, DNA_LETTERS).alias("read"))
     at = D.adaptor_start(F.col("read"), ADAPTOR).cast("long")
-    return reads.select("conv_id", "turn", at.alias("at"), (F.length("read") - at).alias("clipped"),
+    return reads.select("conv_id", "turn", F.coalesce(at, F.lit(-1)).alias("at"),
+                        F.coalesce(F.length("read") - at, F.lit(0)).alias("clipped"),
                         D.clip_adaptor(F.col("read"), ADAPTOR).alias("kept"))
 
 

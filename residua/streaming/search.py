@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from residua.functions.hashing import LshFamily, kmer_lsh_keys
+from residua.functions.hashing import LshFamily, keys_array, kmer_lsh_keys
 from residua.functions.vectors import kmer_codes, kmer_distance_sq
 from residua.operators.layout import small_enough
 from residua.operators.search import _met_before
@@ -18,12 +18,12 @@ def stream_kmer_hits(arriving: DataFrame, centers: DataFrame, k: int, radius: fl
     """
     c = centers.select("kmer").distinct().select(F.col("kmer").alias("center"), kmer_codes(F.col("kmer")).alias("_cc"))
     c = c.withColumn("_ckeys", kmer_lsh_keys(F.col("center"), k, family))
-    c = c.select("*", F.posexplode("_ckeys").alias("_table", "_key"))
+    c = c.select("*", F.posexplode(keys_array(F.col("_ckeys"), family.tables)).alias("_table", "_key"))
     if small_enough(c):
         c = F.broadcast(c)
     p = arriving.withColumn("_pc", kmer_codes(F.col("kmer")))
     p = p.withColumn("_pkeys", kmer_lsh_keys(F.col("kmer"), k, family))
-    p = p.select("*", F.posexplode("_pkeys").alias("_table", "_key"))
+    p = p.select("*", F.posexplode(keys_array(F.col("_pkeys"), family.tables)).alias("_table", "_key"))
     d = kmer_distance_sq(F.col("_cc"), F.col("_pc"), k)
     fresh = ~_met_before("_pkeys", "_ckeys", family.tables)
     hits = p.join(c, ["_table", "_key"]).filter(fresh & (d <= radius * radius))

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from residua import constants as C
+from tests_support import adjust_slowly
+
 from residua.functions import alphabet as A, dna as D, hashing as H, quality as Q, scoring as S, text as X, vectors as V
 
 
@@ -151,18 +153,6 @@ def test_text(spark):
     assert one(spark, X.file_stem(F.col("s")), s="/a/b/c.x.fa") == "c.x"
 
 
-def adjust_slowly(m, n, count):
-    ka = S.GAPPED
-    c = n * m - max(m, n) / ka.k
-    if m <= 10 or c < 0:
-        return 0
-    half = m * count + n
-    top = int(2 * c / (half + math.sqrt(half * half - 4 * count * c)))
-    good = [x for x in range(top + 1)
-            if ka.alpha_per_lambda * (ka.log_k + math.log((m - x) * (n - count * x))) + ka.beta >= x]
-    return max(good, default=0)
-
-
 def test_length_adjustment(spark):
     cases = [(m, n, k) for m in (5, 11, 40, 100, 350, 2000) for n, k in ((200, 2), (5000, 20), (10**6, 3000), (10**9, 10**6))]
     df = spark.createDataFrame(cases, "m long, n long, k long")

@@ -96,6 +96,12 @@ def residue_pair_sum(a: Column, b: Column, table: Sequence[Sequence[float]], k:
     )
 
 
+def position_scores(a: Column, b: Column, table: Sequence[Sequence[float]], kind: str) -> Column:
+    """The residue table's value at each position of two arrays of residue indices."""
+    cells = F.array(*[F.lit(x).cast(kind) for row in table for x in row])
+    return F.zip_with(a, b, lambda x, y: F.get(cells, x * 20 + y))
+
+
 def kmer_distance_sq(a: Column, b: Column, k: int, start: int = 0) -> Column:
     """Squared distance of two k-mers' points over k positions, from their residue indices."""
     return residue_pair_sum(a, b, C.COORDINATE_DISTANCE_SQ, k, "double", start, start)

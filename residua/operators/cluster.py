@@ -18,32 +18,49 @@ from residua.session import cut_lineage
 CHUNK = 2_000
 
 
-def _leader_pass(radius_sq: float):
+def _first_matches(pdf: pd.DataFrame, radius_sq: float) -> tuple[np.ndarray, np.ndarray]:
     """Greedy pass over one bounded bucket, in (leader first, id) order."""
+    ids = pdf["id"].to_numpy()
+    free = ~pdf["is_leader"].to_numpy(dtype=bool)
+    order = np.lexsort((ids, free))
+    ids, free, vectors = ids[order], free[order], np.stack(pdf["point"].to_numpy())[order]
+    joined = np.full(len(ids), -1, dtype=np.int64)
+    centers = np.empty(len(ids), dtype=np.int64)
+    n = 0
+    for i in range(len(ids)):
+        if free[i] and n:
+            delta = vectors[centers[:n]] - vectors[i]
+            near = np.flatnonzero(np.einsum("ij,ij->i", delta, delta) <= radius_sq)
+            if len(near):
+                joined[i] = ids[centers[near[0]]]
+                continue
+        centers[n] = i
+        n += 1
+    return ids[joined >= 0], joined[joined >= 0]
+
+
+def _leader_pass(radius_sq: float):
+    """The greedy pass for each bucket of one pack."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["is_leader", "id"], ascending=[False, True])
-        ids = pdf["id"].to_numpy()
-        vectors = np.stack(pdf["point"].to_numpy())
-        free = ~pdf["is_leader"].to_numpy(dtype=bool)
-        joined = np.full(len(ids), -1, dtype=np.int64)
-        centers = np.empty(len(ids), dtype=np.int64)
-        n = 0
-        for i in range(len(ids)):
-            if free[i] and n:
-                delta = vectors[centers[:n]] - vectors[i]
-                near = np.flatnonzero(np.einsum("ij,ij->i", delta, delta) <= radius_sq)
-                if len(near):
-                    joined[i] = ids[centers[near[0]]]
-                    continue
-            centers[n] = i
-            n += 1
-        out = pd.DataFrame({"id": ids, "leader": joined})
-        return out[out["leader"] >= 0]
+        parts = [_first_matches(bucket, radius_sq) for _, bucket in pdf.groupby("bucket", sort=False)]
+        return pd.DataFrame({"id": np.concatenate([p[0] for p in parts]),
+                             "leader": np.concatenate([p[1] for p in parts])})
 
     return run
 
 
+def _settle(bounded: DataFrame, radius: float) -> DataFrame:
+    """(id, leader) inside buckets of at most about CHUNK rows.
+
+    Many buckets are tiny, so they are handed over in packs of a few CHUNKs.
+    """
+    packs = 1 + bounded.count() // (2 * CHUNK)
+    packed = bounded.select("bucket", "id", "is_leader", "point",
+                            F.pmod(F.xxhash64("bucket"), F.lit(packs)).alias("_pack"))
+    return packed.groupBy("_pack").applyInPandas(_leader_pass(radius * radius), "id long, leader long")
+
+
 def _absorb(points: DataFrame, leaders: DataFrame, radius: float) -> DataFrame:
     """(id, leader) for points within the radius of a leader of their bucket, lowest leader id."""
     left, right = split_hot(
@@ -84,9 +101,7 @@ def _large_buckets(live: DataFrame, radius: float) -> DataFrame:
         bordered = pending.join(_head_border(pending), "bucket")
         head = bordered.filter("id <= _border").drop("_border")
         rest = bordered.filter("id > _border").drop("_border")
-        inside = cut_lineage(
-            head.groupBy("bucket").applyInPandas(_leader_pass(radius * radius), "id long, leader long")
-        )
+        inside = cut_lineage(_settle(head, radius))
         centers = head.join(inside.select("id"), "id", "left_anti")
         outside = cut_lineage(_absorb(rest, centers, radius))
         taken = cut_lineage(taken.unionByName(inside).unionByName(outside))
@@ -121,7 +136,7 @@ def leader_clusters(points: DataFrame, radius: float, family: LshFamily) -> Data
         sized = cut_lineage(sized)
         small = sized.filter(F.col("_n") <= CHUNK).drop("_n")
         large = sized.filter(F.col("_n") > CHUNK).drop("_n")
-        joined = small.groupBy("bucket").applyInPandas(_leader_pass(radius * radius), "id long, leader long")
+        joined = _settle(small, radius)
         if not large.isEmpty():
             joined = joined.unionByName(_large_buckets(large, radius))
         joined = cut_lineage(joined)
@@ -157,9 +172,10 @@ def hierarchical_clusters(points: DataFrame, radius: float, family: LshFamily) -
     for t in range(family.tables):
         one = replace(family, tables=1, seed=family.seed + 1000 * t)
         keyed = clusters.withColumn("bucket", lsh_keys(F.col("center"), one)["k0"])
+        keyed = cut_lineage(keyed)
+        # a bucket of one cluster has nothing to merge
         shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
-        keyed = cut_lineage(keyed.join(shared, "bucket", "left_semi"))
-        middles = centroids(keyed, "bucket", dim, "center", "size").select(
+        middles = centroids(keyed, "bucket", dim, "center", "size").join(shared, "bucket", "left_semi").select(
             "bucket", F.col("center").alias("_middle")
         )
         near = keyed.join(middles, "bucket")
@@ -168,14 +184,13 @@ def hierarchical_clusters(points: DataFrame, radius: float, family: LshFamily) -
         targets = near.groupBy("bucket").agg(
             F.min("cluster_id").alias("_target"), F.count(F.lit(1)).alias("_n")
         ).filter("_n > 1").drop("_n")
-        moves = near.join(targets, "bucket")
-        moves = cut_lineage(moves)
+        moves = cut_lineage(near.join(targets, "bucket"))
         if moves.isEmpty():
             continue
         members = members.join(moves.select("cluster_id", "_target"), "cluster_id", "left").select("id", F.coalesce("_target", "cluster_id").alias("cluster_id"))
         members = cut_lineage(members)
         merged = centroids(moves, "_target", dim, "center", "size")
-        merged = cut_lineage(merged.withColumnRenamed("_target", "cluster_id"))
+        merged = merged.withColumnRenamed("_target", "cluster_id")
         inside = members.join(merged.select("cluster_id", "center"), "cluster_id")
         inside = inside.join(points, "id")
         measured = inside.select("cluster_id", row_distance(F.col("point"), F.col("center")).alias("_d"))

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-# rows a side may have to be sent whole to every executor
-BROADCAST_ROWS = 50_000
+# bytes a side may have to be sent whole to every executor
+BROADCAST_BYTES = 64 << 20
 # a key is hot when it holds more than this share of the rows, so that at most
 # 1 / HOT_SHARE keys can be hot, whatever the size of the data
 HOT_SHARE = 0.002
@@ -23,14 +23,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores * 2, *keys)
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; stops counting soon after."""
-    return df.limit(rows + 1).count() <= rows
-
+def small_enough(df: DataFrame, row_bytes: int = 1_000) -> bool:
+    """Whether ``df`` surely fits the broadcast bound, given the width of a row.
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint when the row count allows it, otherwise leave it to a shuffle join."""
-    return F.broadcast(df) if small_enough(df, rows) else df
+    Counts the rows up to the bound and no further.
+    """
+    rows = max(1, BROADCAST_BYTES // row_bytes)
+    return df.limit(rows + 1).count() <= rows
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], sample_by: Sequence[str], share: float = HOT_SHARE,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from residua import constants as C
 from residua.functions.hashing import LshFamily, keys_array, kmer_lsh_keys, lsh_keys
 from residua.functions.vectors import kmer_codes, kmer_distance_sq, row_distance
-from residua.operators.layout import broadcast_if_small, join_split_hot, split_hot
+from residua.operators.layout import join_split_hot, small_enough, split_hot
 
 
 def _met_before(left: str, right: str, tables: int) -> Column:
@@ -27,25 +27,20 @@ def _met_before(left: str, right: str, tables: int) -> Column:
     return before
 
 
-def _meet(points: DataFrame, centers: DataFrame, tables: int, distance: Column, radius: float,
-          keep: list[str], spread_by: list[str]) -> DataFrame:
-    """Pairs that share a key in some table and lie within the radius.
+def _keyed(side: DataFrame, keys: str, tables: int) -> DataFrame:
+    return side.select("*", F.posexplode(keys_array(F.col(keys), tables)).alias("_table", "_key"))
 
-    ``points`` carries ``_pkeys``, ``centers`` carries ``_ckeys``, one key per
-    table. A checked small centre side is broadcast and the points are not
-    shuffled at all; otherwise hot keys are split. Distances are checked where
-    pairs are formed, so only hits go on.
+
+def _pair_up(points: DataFrame, centers: DataFrame, small: bool, spread_by: str) -> DataFrame:
+    """Pairs of both sides that share (_table, _key).
+
+    A small centre side is broadcast and the points are not shuffled at all;
+    otherwise both are shuffled and hot keys are split.
     """
-    p = points.select("*", F.posexplode(keys_array(F.col("_pkeys"), tables)).alias("_table", "_key"))
-    c = centers.select("*", F.posexplode(keys_array(F.col("_ckeys"), tables)).alias("_table", "_key"))
-    hinted = broadcast_if_small(c)
-    if hinted is not c:
-        joined = p.join(hinted, ["_table", "_key"])
-    else:
-        p, c = split_hot(p, c, ["_table", "_key"], spread_by)
-        joined = p.join(c, ["_table", "_key", "_salt"])
-    fresh = joined.filter(~_met_before("_pkeys", "_ckeys", tables))
-    return fresh.select(*keep, distance.alias("distance")).filter(F.col("distance") <= radius)
+    if small:
+        return points.join(F.broadcast(centers), ["_table", "_key"])
+    points, centers = split_hot(points, centers, ["_table", "_key"], [spread_by])
+    return points.join(centers, ["_table", "_key", "_salt"])
 
 
 def distinct_kmers(kmers: DataFrame, col: str = "kmer") -> DataFrame:
@@ -53,10 +48,27 @@ def distinct_kmers(kmers: DataFrame, col: str = "kmer") -> DataFrame:
     return kmers.select(col).distinct()
 
 
-def _coded_sides(centers: DataFrame, kmers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct centres and k-mers, each with its residue indices."""
-    c = distinct_kmers(centers).select(F.col("kmer").alias("center"), kmer_codes(F.col("kmer")).alias("_cc"))
-    return c, distinct_kmers(kmers).withColumn("_pc", kmer_codes(F.col("kmer")))
+def _coded_centers(centers: DataFrame) -> DataFrame:
+    return distinct_kmers(centers).select(F.col("kmer").alias("center"), kmer_codes(F.col("kmer")).alias("_cc"))
+
+
+def _kmer_hits(kmers: DataFrame, centers: DataFrame, k: int, radius: float, key_points, seen_before) -> DataFrame:
+    """Hits of keyed centres among k-mers.
+
+    Copies of a k-mer share one point. With a small centre side every k-mer is
+    looked up where it is read and copies of hits are dropped at the end; with a
+    large one copies are merged first, so that they are shuffled once.
+    """
+    # key, table number, residue indices, letters and the hash table's own needs
+    small = small_enough(centers, 200 + 12 * k)
+    points = kmers.select("kmer") if small else distinct_kmers(kmers)
+    points = key_points(points.withColumn("_pc", kmer_codes(F.col("kmer"))))
+    fresh = _pair_up(points, centers, small, "kmer").filter(~seen_before)
+    d = F.sqrt(kmer_distance_sq(F.col("_cc"), F.col("_pc"), k))
+    hits = fresh.select("center", "kmer", d.alias("distance")).filter(F.col("distance") <= radius)
+    if not small:
+        return hits
+    return hits.groupBy("center", "kmer").agg(F.first("distance").alias("distance"))
 
 
 def kmer_radius_lsh(centers: DataFrame, kmers: DataFrame, k: int, radius: float,
@@ -65,11 +77,13 @@ def kmer_radius_lsh(centers: DataFrame, kmers: DataFrame, k: int, radius: float,
 
     A subset of :func:`kmer_radius_exact` with equal distances.
     """
-    c, p = _coded_sides(centers, kmers)
-    c = c.withColumn("_ckeys", kmer_lsh_keys(F.col("center"), k, family))
-    p = p.withColumn("_pkeys", kmer_lsh_keys(F.col("kmer"), k, family))
-    d = F.sqrt(kmer_distance_sq(F.col("_cc"), F.col("_pc"), k))
-    return _meet(p, c, family.tables, d, radius, ["center", "kmer"], ["kmer"])
+    c = _coded_centers(centers).withColumn("_ckeys", kmer_lsh_keys(F.col("center"), k, family))
+
+    def keyed(points: DataFrame) -> DataFrame:
+        return _keyed(points.withColumn("_pkeys", kmer_lsh_keys(F.col("kmer"), k, family)), "_pkeys", family.tables)
+
+    before = _met_before("_pkeys", "_ckeys", family.tables)
+    return _kmer_hits(kmers, _keyed(c, "_ckeys", family.tables), k, radius, keyed, before)
 
 
 def _blocks(k: int, m: int) -> list[tuple[int, int]]:
@@ -137,33 +151,27 @@ def kmer_radius_exact(centers: DataFrame, kmers: DataFrame, k: int, radius: floa
     A small radius needs one block, whose neighbours are the hits themselves; a
     larger one takes more and shorter blocks.
     """
-    c, p = _coded_sides(centers, kmers)
     limit = radius * radius
     blocks = _choose_blocks(k, limit)
-    # a little slack, so rounding never loses a pair; the distance decides below
+    # a little slack, so rounding never loses a pair; the distance decides
     share = limit / len(blocks) + 1e-9
 
     def texts(col: str) -> Column:
         return F.array(*[F.substring(F.col(col), s, n) for s, n in blocks])
 
     near = F.transform(texts("center"), lambda block: _near_blocks(block, share))
-    c = c.select("center", "_cc", F.posexplode(near).alias("_table", "_near"))
+    c = _coded_centers(centers).select("center", "_cc", F.posexplode(near).alias("_table", "_near"))
     c = c.select("center", "_cc", "_table", F.explode("_near").alias("_key"))
-    p = p.select("kmer", "_pc", F.posexplode(texts("kmer")).alias("_table", "_key"))
-    hinted = broadcast_if_small(c)
-    if hinted is not c:
-        joined = p.join(hinted, ["_table", "_key"])
-    else:
-        p, c = split_hot(p, c, ["_table", "_key"], ["kmer"])
-        joined = p.join(c, ["_table", "_key", "_salt"])
     # a pair that meets in several blocks counts in the first of them
-    earlier = F.lit(False)
+    before = F.lit(False)
     for t, (s, n) in enumerate(blocks[:-1]):
         part = kmer_distance_sq(F.col("_cc"), F.col("_pc"), n, s - 1)
-        earlier = earlier | ((F.col("_table") > t) & (part <= share))
-    d = F.sqrt(kmer_distance_sq(F.col("_cc"), F.col("_pc"), k))
-    measured = joined.filter(~earlier).select("center", "kmer", d.alias("distance"))
-    return measured.filter(F.col("distance") <= radius)
+        before = before | ((F.col("_table") > t) & (part <= share))
+
+    def keyed(points: DataFrame) -> DataFrame:
+        return points.select("*", F.posexplode(texts("kmer")).alias("_table", "_key"))
+
+    return _kmer_hits(kmers, c, k, radius, keyed, before)
 
 
 def locate_hits(hits: DataFrame, kmers: DataFrame) -> DataFrame:
@@ -173,10 +181,14 @@ def locate_hits(hits: DataFrame, kmers: DataFrame) -> DataFrame:
 
 def radius_lsh(centers: DataFrame, points: DataFrame, radius: float, family: LshFamily) -> DataFrame:
     """LSH radius search over (center_id, center) and (point_id, point)."""
-    c = centers.withColumn("_ckeys", lsh_keys(F.col("center"), family))
-    p = points.withColumn("_pkeys", lsh_keys(F.col("point"), family))
+    c = _keyed(centers.select("center_id", "center", lsh_keys(F.col("center"), family).alias("_ckeys")),
+               "_ckeys", family.tables)
+    p = _keyed(points.select("point_id", "point", lsh_keys(F.col("point"), family).alias("_pkeys")),
+               "_pkeys", family.tables)
+    small = small_enough(c, 200 + 8 * family.dim)
+    fresh = _pair_up(p, c, small, "point_id").filter(~_met_before("_pkeys", "_ckeys", family.tables))
     d = row_distance(F.col("point"), F.col("center"))
-    return _meet(p, c, family.tables, d, radius, ["center_id", "point_id"], ["point_id"])
+    return fresh.select("center_id", "point_id", d.alias("distance")).filter(F.col("distance") <= radius)
 
 
 # rows of one side a block comparison holds

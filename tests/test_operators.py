@@ -74,6 +74,8 @@ def test_running_totals(spark):
 @pytest.mark.parametrize("k,radius", [(6, 3.0), (6, 5.0), (6, 12.0), (6, 30.0), (5, 60.0), (3, 0.0)])
 def test_kmer_radius_exact_is_complete(spark, monkeypatch, k, radius):
     monkeypatch.setattr(S, "NEIGHBOURS", 40)
+    if radius in (5.0, 12.0):
+        monkeypatch.setattr(S, "small_enough", lambda df, row_bytes=0: False)
     letters = "ILVMKR" if radius < 10 else C.RESIDUES
     centers, points = random_seqs(25, k, k, 5, letters), random_seqs(300, k, k, 6, letters)
     points += centers[:5]
@@ -88,7 +90,7 @@ def test_kmer_radius_exact_is_complete(spark, monkeypatch, k, radius):
 @pytest.mark.parametrize("small", [True, False])
 def test_kmer_radius_lsh_is_a_subset(spark, monkeypatch, small):
     if not small:
-        monkeypatch.setattr(S, "broadcast_if_small", lambda df, rows=0: df)
+        monkeypatch.setattr(S, "small_enough", lambda df, row_bytes=0: False)
     centers, points = random_seqs(40, 6, 6, 7, "ILVMK"), random_seqs(400, 6, 6, 8, "ILVMK")
     c = spark.createDataFrame([(x,) for x in centers], "kmer string")
     p = spark.createDataFrame([(x,) for x in points], "kmer string")

@@ -14,7 +14,7 @@ from residua.operators.search import owner_of_position
 from residua.operators.layout import range_slices, running_total
 from residua.operators.sequences import suffix_order, truncate_motifs
 from residua.plans.registry import (
-    kmers_sql, list_sql, pair_sum_sql, points, proteins, proteins_sql, query, residues_sql, table,
+    kmers_sql, list_sql, pair_sum_sql, proteins, proteins_sql, query, residues_sql, table,
 )
 from residua.sources.motifs import first_blocks
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residua.llm import chat, decontaminate, packing, quality, simhash, urls
+from residua.llm import chat, decontaminate, packing, quality, simhash, sql, urls
 from residua.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +27,7 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(*columns)
 
 
-@query("op1_benchmark_decontamination")
+@query("op1_benchmark_decontamination", sql.DECONTAMINATION)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("scan.items", lambda i: i.cast("string")))
@@ -39,7 +39,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op3_chat_formatting")
+@query("op3_chat_formatting", sql.CHAT)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
@@ -51,7 +51,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
-@query("op6_quality_rules")
+@query("op6_quality_rules", sql.QUALITY)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.assess(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", *[f"quality.{c}" for c in (
@@ -65,7 +65,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sized)
 
 
-@query("op10_url_filters")
+@query("op10_url_filters", sql.URL_FILTERS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
     return found.select("page_id", *[f"judged.{c}" for c in ("host", "path", "rule", "verdict")])

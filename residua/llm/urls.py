@@ -50,12 +50,12 @@ def site_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
 
 
 def to_regex(part: str, pattern: str) -> str:
-    """The regular expression of a pattern, over a lower-cased URL."""
+    """The regular expression of a pattern, over what follows :// in a lower-cased URL."""
     inside = "[^/?#]" if part == "host" else "."
     body = "".join(f"{inside}*" if c == "*" else re.escape(c) for c in pattern)
     before = f"(?:{inside}*)?" if not _TOKEN.match(pattern) else f"(?:{inside}*{_edge(inside)})?"
     after = "(?:[^a-z0-9]|$)" if _TOKEN.match(pattern[-1:]) else ""
-    start = "://" if part == "host" else "://[^/?#]*[/?#]"
+    start = "^" if part == "host" else "^[^/?#]*[/?#]"
     return start + before + body + after
 
 
@@ -96,7 +96,7 @@ class RuleIndex:
 
     def first_match(self, url: str) -> str | None:
         """The first pattern in the given order that fits; only fetched ones are run."""
-        low = url.lower()
+        low = url.lower().partition(_SCHEME)[2]
         fetched = set(self.rest)
         for token in set(_TOKEN.findall(low)):
             fetched.update(self.by_token.get(token, ()))
@@ -122,7 +122,7 @@ def judge(pages: DataFrame, url: str = "url", patterns: Sequence[tuple[str, str]
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         rules = RuleIndex(*index)
         for urls in batches:
-            yield pa.array([rules.first_match(u) if u and _SCHEME in u else None for u in texts_of(urls)], pa.string())
+            yield pa.array([rules.first_match(u) if u else None for u in texts_of(urls)], pa.string())
 
     name = free_name(pages, "_pattern")
     found = pages.withColumn(name, F.arrow_udf(match, "string").asNondeterministic()(F.col(url)))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residua.llm import chat, decontaminate, packing, quality, simhash, sql, urls
+from residua.llm import chat, decontaminate, langid, packing, quality, simhash, sql, urls
+from residua.llm.texts import id_remainder
 from residua.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +59,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words", "base_failed", "kept")])
 
 
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = langid.fit(docs.filter(id_remainder(F.col("doc_id"), 5) != 0))
+    found = docs.select("doc_id", langid.identify(docs, model).alias("found"))
+    return found.select(
+        "doc_id", F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"),
+        F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"),
+    )
+
+
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = documents(spark, sf_dir, "doc_id", "text", "source").select(

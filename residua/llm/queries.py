@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residua.llm import chat, decontaminate, langid, packing, quality, simhash, sql, urls
+from residua.llm import chat, decontaminate, langid, packing, pii, quality, simhash, sql, urls
 from residua.llm.texts import id_remainder
 from residua.plans.registry import table
 
@@ -70,6 +70,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    listed = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("pii.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS],
+                        F.sha2(listed(F.col("pii.base")), 256).alias("base_sha256"),
+                        listed(F.col("pii.spans")).alias("spans"))
+
+
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = documents(spark, sf_dir, "doc_id", "text", "source").select(

@@ -1,5 +1,10 @@
 """All queries of the text operators, the pipeline among them."""
 
+import corpus_pipeline
 from residua.llm.queries import ORACLES, QUERIES
 
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residua.llm import chat, decontaminate, langid, packing, pii, quality, simhash, sql, urls
+from residua.llm import chat, decontaminate, langid, lm, packing, pii, quality, simhash, sql, urls
 from residua.llm.texts import id_remainder
 from residua.plans.registry import table
 
@@ -45,6 +45,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+@query("op4_lm_scoring")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = F.coalesce(id_remainder(F.col("doc_id"), 10), F.lit(0))
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    found = lm.score(docs, left != 0)
+    return found.select("doc_id", (left == 0).alias("held_out"), *[f"lm.{c}" for c in (
+        "n_tokens", "n_known", "train_tokens", "base_score", "score")])
+
+
 @query("op5_simhash_near_duplicates")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residua.llm import chat, decontaminate, langid, lm, packing, pii, quality, simhash, sql, urls
+from residua.llm import chat, decontaminate, langid, lm, packing, passages, pii, quality, simhash, sql, urls
 from residua.llm.texts import id_remainder
 from residua.plans.registry import table
 
@@ -40,6 +40,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir, "doc_id", "text"))
+
+
 @query("op3_chat_formatting", sql.CHAT)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))

@@ -228,8 +228,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 WIDE = 128
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
-# chance that a pair just at the radius meets in no shard
-MISSED = 0.02
+# chance that a pair just at the radius meets in no shard; at a bit less it is far smaller
+MISSED = 0.1
 
 
 def wide_fingerprint(text: str | None, size: int = SIMILAR_SHINGLE) -> tuple[int, int]:
@@ -252,9 +252,12 @@ def wide_fingerprint(text: str | None, size: int = SIMILAR_SHINGLE) -> tuple[int
 
 
 def wide_radius(similarity: float = SIMILARITY, bits: int = WIDE) -> int:
-    """Bits in which two fingerprints differ on average at this Jaccard similarity of their shingles."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(bits * math.acos(cosine) / math.pi)
+    """Bits in which two fingerprints at this Jaccard similarity differ: the mean and one standard deviation.
+
+    Five in six pairs at the similarity lie within it, nearly all at a twentieth more, one in ten at a fifth less.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + math.sqrt(bits * share * (1 - share)))
 
 
 def wide_shards(rows: int, radius: int, fill: int = 16, missed: float = MISSED, bits: int = WIDE) -> list[list[int]]:
@@ -280,9 +283,9 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """(doc_id, high, low, component): one row per row of ``docs``.
 
     Texts are linked when their 128-bit fingerprints over shingles of ``size``
-    plain words differ in no more bits than ``similarity`` lets expect; what
-    nearly all pairs well above it do, and few below. A narrow fingerprint
-    cannot tell such pairs from chance in a large table. Pairs meet in shards
+    plain words differ in no more bits than texts of this ``similarity`` do
+    (``wide_radius``). A narrow fingerprint cannot tell such pairs from chance
+    in a large table. Pairs meet in shards
     of shared random bits; a pair just at the radius is missed with chance
     ``MISSED``, closer ones far less often. Ids, nulls, empty texts and tables
     are treated as in ``near_duplicates``, but texts of equal fingerprint with

@@ -97,9 +97,12 @@ def lsh_keys(point: Column, family: LshFamily) -> Column:
     return keys(point.cast("array<double>"))
 
 
-def kmer_lsh_keys(kmer: Column, k: int, family: LshFamily) -> Column:
+def kmer_lsh_keys(kmer: Column, k: int, family: LshFamily, known: list[np.ndarray] | None = None) -> Column:
     """Keys of a k-mer's point, from the letters.
 
+    With ``known`` sorted keys for each table the struct also says in ``met``
+    whether any of the k-mer's keys is among them.
+
     The projection of a k-mer point is a sum of one number per position and
     residue, so k table look-ups replace a product over 8k coordinates and only
     k bytes per row travel to the worker.
@@ -115,16 +118,33 @@ def kmer_lsh_keys(kmer: Column, k: int, family: LshFamily) -> Column:
     index = np.full(256, -1, dtype=np.int64)
     index[[ord(r) for r in C.RESIDUES]] = np.arange(20)
 
-    @F.pandas_udf(_keys_type(tables))
+    kind = _keys_type(tables)
+    if known is not None:
+        kind = T.StructType([*kind.fields, T.StructField("met", T.BooleanType())])
+
+    @F.pandas_udf(kind)
     def keys(kmers: pd.Series) -> pd.DataFrame:
         letters = np.frombuffer("".join(kmers).encode("ascii"), dtype=np.uint8).reshape(-1, k)
         codes = index[letters]
         totals = np.tile(b, (len(codes), 1))
         for position in range(k):
             totals += parts[position][codes[:, position]]
-        return _keys_frame(totals, width, tables, lines)
-
-    return keys(kmer)
+        frame = _keys_frame(totals, width, tables, lines)
+        if known is not None:
+            frame["met"] = _any_known(frame.to_numpy(), known)
+        return frame
+
+    # the filter on ``met`` must not make the optimizer run the function twice
+    return (keys if known is None else keys.asNondeterministic())(kmer)
+
+
+def _any_known(keys: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
+    met = np.zeros(len(keys), dtype=bool)
+    for t, table in enumerate(known):
+        if len(table):
+            place = np.minimum(np.searchsorted(table, keys[:, t]), len(table) - 1)
+            met |= table[place] == keys[:, t]
+    return met
 
 
 def collision_probability(distance: float, width: float) -> float:

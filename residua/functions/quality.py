@@ -61,7 +61,8 @@ def probability_to_char(p: Column, kind: str = "phred") -> Column:
 
 def string_scores(quality: Column, kind: str = "phred") -> Column:
     """Scores of a quality string, one per character."""
-    return F.transform(F.split(quality, ""), lambda c: char_to_score(c, kind).cast("double"))
+    letters = F.filter(F.split(quality, ""), lambda c: c != "")  # an empty string splits into one empty letter
+    return F.transform(letters, lambda c: char_to_score(c, kind).cast("double"))
 
 
 def dispatch_error(value: Column, kind: Column, is_char: bool) -> Column:

@@ -74,7 +74,7 @@ def _absorb(points: DataFrame, leaders: DataFrame, radius: float) -> DataFrame:
 
 def _head_border(pending: DataFrame) -> DataFrame:
     """Per bucket, an id below which about CHUNK of the pending points lie."""
-    halvings = list(range(1, 17))
+    halvings = list(range(1, 41))
     stats = pending.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("_n"),
         F.max("id").alias("_max"),

@@ -28,9 +28,11 @@ def weighted_recall(matched: DataFrame, radius: float, linear: bool = False) ->
     return sums.select("*", (F.col("tp") / (F.col("tp") + F.col("fn"))).alias("recall"))
 
 
-def recall_by_bin(matched: DataFrame, per_unit: float = 10.0, bins: int = 500) -> DataFrame:
-    """Share of pairs found in each distance bin, with the counts behind it."""
-    binned = matched.withColumn("bin", F.floor(F.col("distance") * per_unit)).filter(F.col("bin") < bins)
+def recall_by_bin(matched: DataFrame, per_unit: float = 10.0, bins: int | None = None) -> DataFrame:
+    """Share of pairs found in each distance bin, with the counts behind it; ``bins`` lists only the first ones."""
+    binned = matched.withColumn("bin", F.floor(F.col("distance") * per_unit))
+    if bins is not None:
+        binned = binned.filter(F.col("bin") < bins)
     return binned.groupBy("bin").agg(
         F.count_if(F.col("hit")).alias("tp"), F.count_if(~F.col("hit")).alias("fn")
     ).select("bin", (F.col("tp") / (F.col("tp") + F.col("fn"))).alias("ratio"), "tp", "fn")

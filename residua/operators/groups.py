@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from residua import constants as C
-from residua.functions.alphabet import octet_code
 from residua.functions.hashing import KernelFamily, kernel_bucket
 from residua.functions.vectors import row_distance
-from residua.operators.kmers import explode_kmers
 from residua.operators.layout import join_split_hot
 
 
@@ -62,29 +62,52 @@ def weight_matrix(members: DataFrame, motif: str = "motif", kmer: str = "kmer",
 
 
 def feature_counts(seqs: DataFrame, id_col: str = "protein_id", length: int = 3) -> DataFrame:
-    """Sparse histogram of a sequence's k-mers over the eight residue groups."""
-    kmers = explode_kmers(seqs, length, id_col)
-    words = kmers.groupBy(id_col, "kmer").agg(F.count(F.lit(1)).alias("_n"))
-    return words.groupBy(id_col, octet_code(F.col("kmer"), length).alias("code")).agg(
-        F.sum("_n").alias("n")
-    )
+    """Sparse histogram of each sequence's k-mers over the eight residue groups; a row is one sequence."""
+
+    @F.arrow_udf("array<struct<code:int,n:long>>")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("code", pa.int32()), ("n", pa.int64())]))
+        for texts in batches:
+            rows = []
+            for text in texts:
+                codes, n = np.unique(_octet_codes(text.as_py(), length), return_counts=True)
+                rows.append([{"code": c, "n": m} for c, m in zip(codes.tolist(), n.tolist())])
+            yield pa.array(rows, kind)
+
+    found = seqs.select(id_col, F.explode(counted("seq")).alias("_f"))
+    return found.select(id_col, F.col("_f.code").alias("code"), F.col("_f.n").alias("n"))
+
+
+def _octet_codes(text: str | None, length: int) -> np.ndarray:
+    """Base-8 number of each k-mer, first residue lowest."""
+    digits = _OCTETS[np.frombuffer((text or "").encode("ascii"), dtype=np.uint8)]
+    n = len(digits) - length + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    return sum(digits[i:i + n] << (3 * i) for i in range(length))
+
+
+_OCTETS = np.zeros(256, dtype=np.int64)
+_OCTETS[[ord(r) for r in C.RESIDUES]] = [int(c) for c in C.group_codes("octet")]
 
 
 def pre_groups(seqs: DataFrame, family: KernelFamily, id_col: str = "protein_id",
                length: int = 3) -> DataFrame:
-    """Bucket of every sequence from the kernel hash of its histogram."""
-    spark = seqs.sparkSession
-    weights = family.weights()
-    table = spark.createDataFrame(
-        [(code, *map(float, weights[:, code])) for code in range(family.dim)],
-        "code int, " + ", ".join(f"_w{i} double" for i in range(family.bits)),
-    )
-    counted = feature_counts(seqs, id_col, length).join(F.broadcast(table), "code")
-    sums = counted.groupBy(id_col).agg(
-        *[F.sum(F.col("n") * F.col(f"_w{i}")).alias(f"_p{i}") for i in range(family.bits)]
-    )
-    projections = [F.col(f"_p{i}") for i in range(family.bits)]
-    return sums.select(id_col, kernel_bucket(projections, family).alias("bucket"))
+    """Bucket of every sequence from the kernel hash of its histogram, in one pass where it is read.
+
+    Sequences shorter than ``length`` have no histogram and no bucket.
+    """
+    weights = np.ascontiguousarray(family.weights().T)
+
+    @F.arrow_udf("array<double>")
+    def projected(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            counts = np.stack([np.bincount(_octet_codes(t.as_py(), length), minlength=len(weights)) for t in texts])
+            yield pa.array(list(counts @ weights), pa.list_(pa.float64()))
+
+    rows = seqs.filter(F.length("seq") >= length).select(id_col, projected("seq").alias("_p"))
+    projections = [F.col("_p")[i] for i in range(family.bits)]
+    return rows.select(id_col, kernel_bucket(projections, family).alias("bucket"))
 
 
 def bucket_histograms(buckets: DataFrame, lengths: DataFrame, id_col: str = "protein_id"

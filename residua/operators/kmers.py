@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from residua import constants as C
 from residua.functions.alphabet import reduce_sequence
 from residua.functions.vectors import kmer_point
 from residua.operators.layout import range_slices, running_total
@@ -59,7 +60,10 @@ def sample_kmers(seqs: DataFrame, k: int, id_col: str = "protein_id", min_step:
     """
     used = seqs if first is None else seqs.filter(F.col(id_col) < first)
     step = F.lit(min_step) + F.pmod(F.col(id_col), F.lit(steps))
-    taken = explode_kmers(used, k, id_col).filter(F.pmod(F.col("pos"), step) == 0)
+    last = F.length("seq") - k
+    places = F.explode(F.sequence(F.lit(0), last, step.cast("int"))).alias("pos")
+    taken = used.filter(last >= 0).select(id_col, "seq", places).select(
+        id_col, "pos", F.substring(F.col("seq"), F.col("pos") + 1, F.lit(k)).alias("kmer"))
     return count_kmers(taken, id_col).select(id_col, "pos", "kmer")
 
 
@@ -104,10 +108,17 @@ def drop_repeated(kmers: DataFrame, key: str = "kmer") -> DataFrame:
 
 def group_frequency(seqs: DataFrame, alphabet: str = "murphy10", seq_col: str = "seq") -> DataFrame:
     """Share of every residue group among all residues."""
-    letters = seqs.select(F.explode(F.split(reduce_sequence(F.col(seq_col), alphabet), "")).alias("grp"))
-    counts = letters.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    return counts.select("grp", "n", (F.col("n") / total).alias("frequency"))
+    text = F.col(seq_col)
+    groups: dict[str, str] = {}
+    for residue, code in zip(C.RESIDUES, C.group_codes(alphabet)):
+        groups[code] = groups.get(code, "") + residue
+    sums = seqs.agg(*[F.sum(F.length(text) - F.length(F.translate(text, letters, ""))).cast("long").alias(code)
+                      for code, letters in groups.items()])
+    listed = sums.select(F.explode(F.array(*[
+        F.struct(F.lit(code).alias("grp"), F.col(f"`{code}`").alias("n")) for code in groups])).alias("_g"), *[
+        F.col(f"`{code}`") for code in groups])
+    total = sum(F.col(f"`{code}`") for code in groups)
+    return listed.select("_g.grp", "_g.n", (F.col("_g.n") / total).alias("frequency")).filter("n > 0")
 
 
 def seed_word_counts(seqs: DataFrame, length: int = 6, id_col: str = "protein_id") -> DataFrame:

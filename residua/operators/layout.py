@@ -12,7 +12,8 @@ BROADCAST_BYTES = 64 << 20
 # 1 / HOT_SHARE keys can be hot, whatever the size of the data
 HOT_SHARE = 0.002
 HOT_MIN_ROWS = 20_000
-SALTS = 32
+# rows of a hot key that one salt stands for
+SALT_ROWS = 250_000
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -34,7 +35,7 @@ def small_enough(df: DataFrame, row_bytes: int = 1_000) -> bool:
 
 def hot_keys(df: DataFrame, keys: Sequence[str], sample_by: Sequence[str], share: float = HOT_SHARE,
              min_rows: int = HOT_MIN_ROWS, rate: int = 16) -> DataFrame:
-    """Keys with about more than ``share`` of all rows and ``min_rows`` rows.
+    """(keys, _n): keys with about more than ``share`` of all rows and ``min_rows`` rows, and how many.
 
     Counted on one in ``rate`` rows, chosen by hash; what this misses is joined
     unsplit, so only speed depends on it. At most 1/share keys qualify.
@@ -42,27 +43,28 @@ def hot_keys(df: DataFrame, keys: Sequence[str], sample_by: Sequence[str], share
     sampled = df.filter(F.pmod(F.xxhash64(*[F.col(c) for c in sample_by]), F.lit(rate)) == 0)
     counts = sampled.groupBy(*keys).agg((F.count(F.lit(1)) * rate).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
-    return counts.filter((F.col("_n") > total * F.lit(share)) & (F.col("_n") > min_rows)).select(*keys)
+    return counts.filter((F.col("_n") > total * F.lit(share)) & (F.col("_n") > min_rows))
 
 
 def split_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: Sequence[str],
               share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS,
-              salts: int = SALTS) -> tuple[DataFrame, DataFrame]:
+              salt_rows: int = SALT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Give both sides a ``_salt`` column so that no hot key meets in one task.
 
-    Rows of ``left`` under a hot key are spread over the salts by ``salt_by``;
-    the matching rows of ``right`` are repeated once per salt. All other rows
+    Rows of ``left`` under a hot key are spread by ``salt_by`` over as many salts
+    as the key's size asks for; the matching rows of ``right`` are repeated once per salt. All other rows
     get salt 0. Joining on keys and ``_salt`` yields exactly the unsalted join.
     Only rows of hot keys are repeated.
     """
     hot = hot_keys(left, keys, salt_by, share, min_rows)
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    spread_salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_by]), F.lit(salts)).cast("int")
+    # 32 at least, so that a key just above the limits is also spread over the cores of a machine
+    hot = F.broadcast(hot.select(*keys, F.greatest(F.lit(32), F.ceil(F.col("_n") / salt_rows)).cast("int").alias("_salts")))
+    spread_salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_by]), F.col("_salts")).cast("int")
     salted = left.join(hot, list(keys), "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread_salt).otherwise(F.lit(0))
-    ).drop("_hot")
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(every)).drop("_hot")
+        "_salt", F.when(F.col("_salts").isNotNull(), spread_salt).otherwise(F.lit(0))
+    ).drop("_salts")
+    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    repeated = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(every)).drop("_salts")
     return salted, repeated
 
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from residua import constants as C
 from residua.functions.hashing import LshFamily, keys_array, kmer_lsh_keys, lsh_keys
 from residua.functions.vectors import kmer_codes, kmer_distance_sq, row_distance
-from residua.operators.layout import join_split_hot, small_enough, split_hot
+from residua.operators.layout import BROADCAST_BYTES, join_split_hot, small_enough, split_hot
+from residua.session import cut_lineage
 
 
 def _met_before(left: str, right: str, tables: int) -> Column:
@@ -62,8 +65,8 @@ def _kmer_hits(kmers: DataFrame, centers: DataFrame, k: int, radius: float, key_
     # key, table number, residue indices, letters and the hash table's own needs
     small = small_enough(centers, 200 + 12 * k)
     points = kmers.select("kmer") if small else distinct_kmers(kmers)
-    points = key_points(points.withColumn("_pc", kmer_codes(F.col("kmer"))))
-    fresh = _pair_up(points, centers, small, "kmer").filter(~seen_before)
+    points = key_points(points)
+    fresh = _pair_up(points, centers, small, "kmer").withColumn("_pc", kmer_codes(F.col("kmer"))).filter(~seen_before)
     d = F.sqrt(kmer_distance_sq(F.col("_cc"), F.col("_pc"), k))
     hits = fresh.select("center", "kmer", d.alias("distance")).filter(F.col("distance") <= radius)
     if not small:
@@ -77,13 +80,21 @@ def kmer_radius_lsh(centers: DataFrame, kmers: DataFrame, k: int, radius: float,
 
     A subset of :func:`kmer_radius_exact` with equal distances.
     """
-    c = _coded_centers(centers).withColumn("_ckeys", kmer_lsh_keys(F.col("center"), k, family))
+    c = cut_lineage(_keyed(
+        _coded_centers(centers).withColumn("_ckeys", kmer_lsh_keys(F.col("center"), k, family)), "_ckeys", family.tables))
+    known = None
+    if small_enough(c, 200 + 12 * k):  # then so are their keys, and k-mers without one of them stay in the worker
+        known = c.select("_table", "_key").distinct().toArrow()
+        known = [np.sort(known.column("_key").to_numpy()[known.column("_table").to_numpy() == t]) for t in range(family.tables)]
 
     def keyed(points: DataFrame) -> DataFrame:
-        return _keyed(points.withColumn("_pkeys", kmer_lsh_keys(F.col("kmer"), k, family)), "_pkeys", family.tables)
+        marked = points.withColumn("_pkeys", kmer_lsh_keys(F.col("kmer"), k, family, known))
+        if known is not None:
+            marked = marked.filter(F.col("_pkeys.met"))
+        return _keyed(marked, "_pkeys", family.tables)
 
     before = _met_before("_pkeys", "_ckeys", family.tables)
-    return _kmer_hits(kmers, _keyed(c, "_ckeys", family.tables), k, radius, keyed, before)
+    return _kmer_hits(kmers, c, k, radius, keyed, before)
 
 
 def _blocks(k: int, m: int) -> list[tuple[int, int]]:
@@ -94,33 +105,42 @@ def _blocks(k: int, m: int) -> list[tuple[int, int]]:
 
 # most neighbours a centre's block may have on average
 NEIGHBOURS = 500
+# cells of the grid on which sums of squared distances are counted
+_GRID = 4096
+
 
+def _expected_neighbours(longest: int, limit: float) -> np.ndarray:
+    """[length, cell]: mean number of blocks up to a cell's squared distance from a random block of that length.
 
-def _expected_neighbours(length: int, limit: float) -> float:
-    """Mean number of blocks within a squared distance of a uniformly random block."""
-    steps: dict[float, float] = {}
-    for row in C.COORDINATE_DISTANCE_SQ:
-        for d in row:
-            if d <= limit:
-                steps[round(d, 1)] = steps.get(round(d, 1), 0.0) + 1 / 20
-    sums = {0.0: 1.0}
-    for _ in range(length):
-        longer: dict[float, float] = {}
-        for s, n in sums.items():
-            for d, w in steps.items():
-                if s + d <= limit:
-                    longer[round(s + d, 1)] = longer.get(round(s + d, 1), 0.0) + n * w
-        sums = longer
-    return sum(sums.values())
-
-
-def _choose_blocks(k: int, limit: float) -> list[tuple[int, int]]:
-    """The fewest blocks whose neighbourhoods stay small."""
-    for m in range(1, k):
+    Distances are rounded down to the grid, so a count is never too low.
+    """
+    steps, weights = np.unique(
+        np.floor(np.array(C.COORDINATE_DISTANCE_SQ).ravel() * (_GRID - 1) / limit).astype(int), return_counts=True)
+    found = np.zeros((longest + 1, _GRID))
+    found[0, 0] = 1.0
+    for n in range(1, longest + 1):
+        for step, weight in zip(steps.tolist(), (weights / 20).tolist()):
+            if step < _GRID:
+                found[n, step:] += weight * found[n - 1, :_GRID - step]
+    return found.cumsum(axis=1)
+
+
+def _choose_blocks(k: int, limit: float, neighbours: int = NEIGHBOURS) -> list[tuple[int, int]]:
+    """The blocks under which the fewest pairs meet, among those whose neighbourhoods stay small.
+
+    When no choice keeps the neighbourhoods small, the one with the fewest
+    neighbours per centre is taken.
+    """
+    if limit <= 0:
+        return _blocks(k, 1)
+    counts = _expected_neighbours(k, limit)
+    plans = []
+    for m in range(1, k + 1):
         blocks = _blocks(k, m)
-        if max(_expected_neighbours(n, limit / m) for n in {n for _, n in blocks}) <= NEIGHBOURS:
-            return blocks
-    return _blocks(k, k)
+        near = [counts[n, min(_GRID - 1, int((_GRID - 1) / m) + 1)] for _, n in blocks]
+        share = sum(x / 20.0**n for x, (_, n) in zip(near, blocks))
+        plans.append((max(near) > neighbours, share if max(near) <= neighbours else sum(near), m))
+    return _blocks(k, min(plans)[2])
 
 
 def _near_blocks(block: Column, limit: float) -> Column:
@@ -223,36 +243,65 @@ def _block_hits(radius: float):
         if len(points) == 0 or len(centers) == 0:
             return none
         x, y = np.stack(points["point"].to_numpy()), np.stack(centers["center"].to_numpy())
-        xs, ys = (x * x).sum(axis=1), (y * y).sum(axis=1)
         parts = [none]
         for at in range(0, len(x), 1024):
-            rough = xs[at:at + 1024, None] + ys[None, :] - 2 * (x[at:at + 1024] @ y.T)
-            # the product form rounds differently: keep a margin, then measure exactly
-            margin = 1e-9 * (1 + xs[at:at + 1024, None] + ys[None, :])
-            i, j = np.nonzero(rough <= radius * radius + margin)
-            d = np.sqrt(((x[at + i] - y[j]) ** 2).sum(axis=1))
-            near = d <= radius
-            parts.append(pd.DataFrame({
-                "center_id": centers["center_id"].to_numpy()[j[near]],
-                "point_id": points["point_id"].to_numpy()[at + i[near]], "distance": d[near],
-            }))
+            for by in range(0, len(y), BLOCK_ROWS):
+                i, j, d = _near_pairs(x[at:at + 1024], y[by:by + BLOCK_ROWS], radius)
+                parts.append(pd.DataFrame({
+                    "center_id": centers["center_id"].to_numpy()[by + j],
+                    "point_id": points["point_id"].to_numpy()[at + i], "distance": d,
+                }))
         return pd.concat(parts)
 
     return run
 
 
-def radius_exact(centers: DataFrame, points: DataFrame, dim: int, radius: float) -> DataFrame:
+def _near_pairs(x: np.ndarray, y: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance) within the radius."""
+    xs, ys = (x * x).sum(axis=1)[:, None], (y * y).sum(axis=1)[None, :]
+    # the product form rounds differently: keep a margin, then measure exactly
+    i, j = np.nonzero(xs + ys - 2 * (x @ y.T) <= radius * radius + 1e-9 * (1 + xs + ys))
+    d = np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1))
+    near = d <= radius
+    return i[near], j[near], d[near]
+
+
+def _near_sent_centers(points: DataFrame, held: pa.Table, radius: float) -> DataFrame:
+    """Hits of a bounded table of centres, which is sent to the points where they are read."""
+    ids = held.column("center_id").to_numpy()
+    vectors = np.array(held.column("center").to_pylist(), dtype=float)
+    sent = points.sparkSession.sparkContext.broadcast((ids, vectors))
+    compare = _block_hits(radius)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors = sent.value
+        centers = pd.DataFrame({"center_id": ids, "center": list(vectors)})
+        for pdf in batches:
+            yield compare(pdf, centers)
+
+    rows = points.select("point_id", F.col("point").cast("array<double>").alias("point"))
+    return rows.mapInPandas(near, "center_id long, point_id long, distance double")
+
+
+def radius_exact(centers: DataFrame, points: DataFrame, dim: int, radius: float,
+                 sent_rows: int | None = None) -> DataFrame:
     """All (center_id, point_id, distance) within the radius.
 
-    Centres are entered into the nine cells around their own; a point meets a
-    centre in exactly one cell. A cell's points and centres are cut into blocks
+    Centres that pass the broadcast bound are sent to the points, which are then
+    not shuffled. Otherwise centres are entered into the nine cells around their
+    own; a point meets a centre in exactly one cell. A cell's points and centres are cut into blocks
     of bounded size and every pair of blocks is one matrix product in its own
     group, so a cell that holds most of the data is spread over many tasks.
     """
+    centers = centers.select(F.col("center_id").cast("long").alias("center_id"),
+                             F.col("center").cast("array<double>").alias("center"))
+    most = BROADCAST_BYTES // (64 + 8 * dim) if sent_rows is None else sent_rows
+    held = centers.limit(most + 1).toArrow()
+    if held.num_rows <= most:
+        return _near_sent_centers(points, held, radius)
     near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
     c1, c2 = _bands(F.col("center"), dim, radius)
-    c = centers.select(F.col("center_id").cast("long").alias("center_id"),
-                       F.col("center").cast("array<double>").alias("center"), c1.alias("_x"), c2.alias("_y"))
+    c = centers.select("center_id", "center", c1.alias("_x"), c2.alias("_y"))
     c = c.withColumn("_dx", near).withColumn("_dy", near)
     c = c.select("center_id", "center", (F.col("_x") + F.col("_dx")).alias("_x"),
                  (F.col("_y") + F.col("_dy")).alias("_y"))

@@ -54,7 +54,9 @@ def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
 def points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """(point_id, label, point) of the embeddings, and their width."""
     rows = table(spark, sf_dir, "embeddings")
-    width = rows.select(F.size("embedding")).first()[0]
+    least, width = rows.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if least != width:
+        raise ValueError(f"vectors of {least} to {width} numbers in one table")
     return rows.select(
         F.col("vec_id").alias("point_id"), "label", F.col("embedding").cast("array<double>").alias("point")
     ), width

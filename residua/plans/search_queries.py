@@ -123,7 +123,7 @@ def lsh_recall(spark, sf_dir):
 @query("recall_by_bin", f"""
 WITH {_TRUTH_SQL}, b AS (SELECT CAST(floor(distance * 500) AS BIGINT) AS bin, hit FROM matched)
 SELECT bin, round(count(*) FILTER (hit) / count(*), 9) AS ratio, count(*) FILTER (hit) AS tp, count(*) FILTER (NOT hit) AS fn
-FROM b WHERE bin < 500 GROUP BY bin""")
+FROM b GROUP BY bin""")
 def recall_by_bin(spark, sf_dir):
     matched = E.match_truth(*_truth_and_found(spark, sf_dir), keys=_PAIR)
     return E.recall_by_bin(matched, per_unit=500.0).withColumn("ratio", F.round("ratio", 9))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from residua.operators.layout import small_enough
+
 _SPLIT = ["_file", "_start"]
 
 
@@ -27,19 +29,29 @@ def read_lines(spark: SparkSession, path: str | list[str], separator: str | None
     )
 
 
-def number_lines(lines: DataFrame, name: str = "line_no") -> DataFrame:
-    """Zero-based number over all files in path order.
+def number_lines(lines: DataFrame, name: str = "line_no", trim_end: bool = False) -> DataFrame:
+    """Zero-based number over all files in path order; ``trim_end`` leaves out blank lines at the end of each file.
 
-    A window counts inside each file split, whose size is bounded; what earlier
-    splits hold comes from a table with one row per split.
+    A running id counts inside each task, whose lines are in file order; where
+    a split starts and what earlier splits hold comes from a table with one row
+    per split. The lines themselves are not shuffled, as long as that table
+    passes the broadcast bound.
     """
-    inside = F.row_number().over(W.partitionBy(*_SPLIT).orderBy("_mid")) - 1
-    counted = lines.groupBy(*_SPLIT).agg(F.count(F.lit(1)).alias("_n"))
+    marked = lines.withColumn("_own", F.monotonically_increasing_id())
+    filled = F.when(F.trim("value") != "", F.col("_own")) if trim_end else F.col("_own")
+    counted = marked.groupBy(*_SPLIT).agg(
+        F.min("_own").alias("_first"), F.max("_own").alias("_last"), F.max(filled).alias("_filled"))
+    later = W.partitionBy("_file").orderBy("_start").rowsBetween(1, W.unboundedFollowing)
+    upto = F.when(F.max("_filled").over(later).isNotNull(), F.col("_last")).otherwise(F.col("_filled"))
+    counted = counted.select(*_SPLIT, "_first", F.coalesce(upto - F.col("_first") + 1, F.lit(0)).alias("_n"))
     earlier = W.orderBy(*_SPLIT).rowsBetween(W.unboundedPreceding, -1)
-    offsets = counted.select(*_SPLIT, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    return lines.withColumn("_in", inside).join(offsets, _SPLIT).withColumn(
-        name, F.col("_before") + F.col("_in")
-    ).drop("_in", "_before")
+    offsets = counted.select(
+        *_SPLIT, "_first", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    if small_enough(offsets, 300):
+        offsets = F.broadcast(offsets)
+    placed = marked.join(offsets, _SPLIT).withColumn("_in", F.col("_own") - F.col("_first"))
+    return placed.filter(F.col("_in") < F.col("_n")).withColumn(name, F.col("_before") + F.col("_in")).drop(
+        "_own", "_first", "_n", "_before", "_in")
 
 
 def fill_down(lines: DataFrame, value: Column, name: str) -> DataFrame:
@@ -66,6 +78,19 @@ def fields(value: Column) -> Column:
     return F.filter(F.split(value, r"\s+"), lambda x: x != "")
 
 
+def with_fields(lines: DataFrame, least: int, lenient: bool = False) -> DataFrame:
+    """Lines with their ``_fields``; blank lines are left out.
+
+    A line of fewer than ``least`` fields fails the job, or is left out when ``lenient``.
+    """
+    split = lines.filter(F.trim("value") != "").withColumn("_fields", fields(F.col("value")))
+    short = F.size("_fields") < least
+    if lenient:
+        return split.filter(~short)
+    problem = F.raise_error(F.concat(F.lit(f"a line with fewer than {least} fields: "), F.col("value")))
+    return split.withColumn("_fields", F.when(short, problem.cast("array<string>")).otherwise(F.col("_fields")))
+
+
 def read_path_list(spark: SparkSession, path: str) -> list[str]:
     """Paths named in a file, one per line; a reader needs them as a plain list."""
     rows = spark.read.text(path).filter(F.trim("value") != "").select(F.trim("value").alias("p"))

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from residua.operators.layout import join_split_hot
-from residua.sources.lines import fields, fill_down, number_lines, read_lines
+from residua.sources.lines import fields, fill_down, number_lines, read_lines, with_fields
 
 
 def read_named_points(spark: SparkSession, path: str) -> DataFrame:
-    """(point_id, name, point): a name line, then a line of numbers."""
-    lines = number_lines(read_lines(spark, path).filter(F.trim("value") != ""))
+    """(point_id, name, point): a name line, then a line of numbers, which may be empty."""
+    lines = number_lines(read_lines(spark, path), trim_end=True)
     even = F.col("line_no") % 2 == 0
     rows = lines.groupBy(F.floor(F.col("line_no") / 2).alias("point_id")).agg(
         F.max(F.when(even, F.trim("value"))).alias("name"), F.max(F.when(~even, F.col("value"))).alias("_v")
     )
-    return rows.select("point_id", "name", fields(F.col("_v")).cast("array<double>").alias("point"))
+    values = fields(F.coalesce("_v", F.lit("")))
+    return rows.select("point_id", "name", values.cast("array<double>").alias("point"))
 
 
 def read_centers(spark: SparkSession, path: str) -> DataFrame:
@@ -39,20 +40,18 @@ def read_groups(spark: SparkSession, path: str, min_size: int = 1) -> DataFrame:
     return join_split_hot(members, large.select("motif"), ["motif"], ["member_idx"], how="left_semi")
 
 
-def read_hits(spark: SparkSession, path: str) -> DataFrame:
-    """(motif, protein, distance) per line."""
-    columns = fields(F.col("value"))
-    return read_lines(spark, path).filter(F.size(columns) >= 3).select(
-        F.get(columns, F.lit(0)).alias("motif"), F.get(columns, F.lit(1)).alias("protein"),
-        F.get(columns, F.lit(2)).cast("double").alias("distance"),
+def read_hits(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
+    """(motif, protein, distance) per line; shorter lines fail the job unless ``lenient``."""
+    return with_fields(read_lines(spark, path), 3, lenient).select(
+        F.get("_fields", F.lit(0)).alias("motif"), F.get("_fields", F.lit(1)).alias("protein"),
+        F.get("_fields", F.lit(2)).cast("double").alias("distance"),
     )
 
 
-def read_truth_list(spark: SparkSession, path: str) -> DataFrame:
+def read_truth_list(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
     """(motif, protein) from the first two fields of every line after the header line."""
-    columns = fields(F.col("value"))
-    lines = number_lines(read_lines(spark, path)).filter((F.col("line_no") > 0) & (F.size(columns) >= 2))
-    return lines.select(F.get(columns, F.lit(0)).alias("motif"), F.get(columns, F.lit(1)).alias("protein")).distinct()
+    lines = with_fields(number_lines(read_lines(spark, path)).filter(F.col("line_no") > 0), 2, lenient)
+    return lines.select(F.get("_fields", F.lit(0)).alias("motif"), F.get("_fields", F.lit(1)).alias("protein")).distinct()
 
 
 def gf_value(line: Column, tag: str) -> Column:
@@ -119,7 +118,7 @@ def first_blocks(rows: DataFrame, order: list[str], length: int) -> DataFrame:
     return first.select("block", "_first.*")
 
 
-def column_blocks(rows: DataFrame, length: int, keep_one_in: int = 2, seed: int = 5) -> DataFrame:
+def column_blocks(rows: DataFrame, length: int, keep_one_in: int = 1, seed: int = 5) -> DataFrame:
     """Match-state blocks from every start column; columns are sampled one in ``keep_one_in``.
 
     The look-ahead lists, for each column, the shortest stretch that holds
@@ -135,13 +134,12 @@ def column_blocks(rows: DataFrame, length: int, keep_one_in: int = 2, seed: int
     return found.filter(kept).select("entry", "column", block.alias("block")).filter(~F.col("block").contains("-"))
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Nine of the white-space separated columns of a gene annotation table."""
+def read_annotations(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
+    """Nine of the white-space separated columns of a gene annotation table; shorter lines fail unless ``lenient``."""
     names = ["ID", "Name", "Length", "Completeness", "GroupOrigin", "PhylumLevel", "GenusLevel",
              "KEGGAnnotation", "eggNOGAnnotation"]
-    columns = fields(F.col("value"))
-    rows = read_lines(spark, path).filter(F.size(columns) >= len(names))
-    picked = [F.get(columns, F.lit(i)).alias(n) for i, n in enumerate(names)]
+    rows = with_fields(read_lines(spark, path), len(names), lenient)
+    picked = [F.get("_fields", F.lit(i)).alias(n) for i, n in enumerate(names)]
     return rows.select(*picked).withColumn("Length", F.col("Length").try_cast("long"))
 
 

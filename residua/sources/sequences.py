@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from residua.functions.alphabet import clean_residues
 from residua.functions.quality import sniff_kind, string_scores
-from residua.sources.lines import fields, number_lines, read_lines
+from residua.sources.lines import fields, number_lines, read_lines, with_fields
 
 
 def read_fasta(spark: SparkSession, path: str | list[str], kind: str = "protein", full_name: bool = False,
@@ -50,12 +50,12 @@ def read_kmer_fasta(spark: SparkSession, path: str, keep_mark: bool = False) ->
 
 
 def read_two_line_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(protein_id, name, seq, well_formed) where name and peptide lines must alternate."""
-    lines = number_lines(read_lines(spark, path).filter(F.trim("value") != ""))
+    """(protein_id, name, seq, well_formed) where name and peptide lines must alternate; a peptide may be empty."""
+    lines = number_lines(read_lines(spark, path), trim_end=True)
     pair = F.floor(F.col("line_no") / 2)
     even = F.col("line_no") % 2 == 0
     rows = lines.groupBy(pair.alias("protein_id")).agg(
-        F.max(F.when(even, F.col("value"))).alias("_name"), F.max(F.when(~even, F.col("value"))).alias("seq")
+        F.max(F.when(even, F.col("value"))).alias("_name"), F.coalesce(F.max(F.when(~even, F.col("value"))), F.lit("")).alias("seq")
     )
     good = F.col("_name").startswith(">") & ~F.coalesce(F.col("seq").startswith(">"), F.lit(True))
     return rows.select("protein_id", F.regexp_replace("_name", "^>", "").alias("name"), "seq",
@@ -63,15 +63,19 @@ def read_two_line_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
-    """(read_id, name, seq, qual) from four-line records; wrong markers fail the job when strict."""
-    lines = number_lines(read_lines(spark, path).filter(F.col("value") != ""))
+    """(read_id, name, seq, qual) from four-line records; wrong markers fail the job when strict.
+
+    Every line counts, so reads may be empty; only blank lines at the end of a file do not, of which
+    one may be the quality line of an empty read.
+    """
+    lines = number_lines(read_lines(spark, path), trim_end=True)
     place = F.col("line_no") % 4
 
     def line(i: int) -> Column:
         return F.max(F.when(place == i, F.col("value")))
 
     rows = lines.groupBy(F.floor(F.col("line_no") / 4).alias("read_id")).agg(
-        line(0).alias("_name"), line(1).alias("seq"), line(2).alias("_plus"), line(3).alias("qual")
+        line(0).alias("_name"), line(1).alias("seq"), line(2).alias("_plus"), F.coalesce(line(3), F.lit("")).alias("qual")
     )
     good = F.col("_name").startswith("@") & F.col("_plus").startswith("+") & (
         F.length("seq") == F.length("qual")
@@ -85,7 +89,8 @@ def read_fastq(spark: SparkSession, path: str | list[str], strict: bool = True)
 
 def quality_kind(reads: DataFrame, quality: str = "qual") -> DataFrame:
     """One row with the encoding that fits every quality character."""
-    codes = reads.select(F.transform(F.split(quality, ""), lambda c: F.ascii(c)).alias("_codes"))
+    letters = F.filter(F.split(quality, ""), lambda c: c != "")
+    codes = reads.select(F.transform(letters, lambda c: F.ascii(c)).alias("_codes"))
     limits = codes.agg(F.min(F.array_min("_codes")).alias("lowest"), F.max(F.array_max("_codes")).alias("highest"))
     return limits.select("lowest", "highest", sniff_kind(F.col("lowest"), F.col("highest")).alias("kind"))
 
@@ -119,10 +124,9 @@ def read_prb(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("read_id", quads.alias("scores"))
 
 
-def read_mapped_reads(spark: SparkSession, path: str) -> DataFrame:
-    """(qual) from the eighth column of a mapped-reads file."""
-    columns = fields(F.col("value"))
-    return read_lines(spark, path).filter(F.size(columns) >= 8).select(F.get(columns, F.lit(7)).alias("qual"))
+def read_mapped_reads(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
+    """(qual) from the eighth column of a mapped-reads file; shorter lines fail the job unless ``lenient``."""
+    return with_fields(read_lines(spark, path), 8, lenient).select(F.get("_fields", F.lit(7)).alias("qual"))
 
 
 def line_roles(lines: DataFrame) -> DataFrame:

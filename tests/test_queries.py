@@ -11,11 +11,7 @@ from residua.plans.catalog import ORACLES, QUERIES
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-# the rest run with RESIDUA_ALL_QUERIES=1
-QUICK = ["kmer_count", "kmer_sample", "klsh_buckets", "weight_matrix", "radius_lsh", "lsh_recall", "kmer_radius_exact",
-         "kmer_radius_lsh", "orf_frames", "pvalue_adjust", "karlin_statistics", "seed_runs", "components",
-         "groups_round_trip", "stockholm_round_trip", "annotation_summary"]
-NAMES = sorted(ORACLES) if os.environ.get("RESIDUA_ALL_QUERIES") else QUICK
+NAMES = sorted(ORACLES)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 

@@ -74,7 +74,7 @@ def groups_round_trip(spark, sf_dir):
 
 @query("hits_round_trip", f"""
 WITH {POINTS_SQL}, {CENTERS_SQL} SELECT concat('m', center_id) AS motif, concat('p', point_id) AS protein,
-  round(list_distance(center, point), 6) AS distance FROM centers, points WHERE list_distance(center, point) <= 0.98""")
+  round(list_distance(center, point), 6) AS distance, list_distance(center, point) <= 0.98 AS near FROM centers, points WHERE list_distance(center, point) <= 1.0""")
 def hits_round_trip(spark, sf_dir):
     rows, dim = points(spark, sf_dir)
     centers = G.centroids(rows, "label", dim).select(F.col("label").alias("center_id"), "center")
@@ -82,7 +82,9 @@ def hits_round_trip(spark, sf_dir):
         F.concat(F.lit("m"), "center_id").alias("motif"), F.concat(F.lit("p"), "point_id").alias("protein"), "distance")
     path = scratch_path(spark, "hits")
     T.write_split_hits(hits, 0.98, path)
-    return M.read_hits(spark, path).withColumn("distance", F.round("distance", 6))
+    both = M.read_hits(spark, path).withColumn("near", F.lit(True)).unionByName(
+        M.read_hits(spark, f"{path}.notlessthan").withColumn("near", F.lit(False)))
+    return both.withColumn("distance", F.round("distance", 6))
 
 
 def _alignment(spark, sf_dir):

@@ -121,7 +121,37 @@ def test_fastq_and_prb(spark, tmp_path):
     with pytest.raises(Exception, match="multiple of four"):
         Q.read_prb(spark, put(tmp_path, "bad.prb", "1 2 3\n")).collect()
     mapped = Q.read_mapped_reads(spark, put(tmp_path, "m", "a b c d e f g hhh i\n"))
-    assert Q.quality_kind(mapped).first().kind == "solexa" or mapped.first().qual == "hhh"
+    assert mapped.first().qual == "hhh" and Q.quality_kind(mapped).first().kind == "solexa"
+
+
+def test_empty_reads_peptides_and_vectors_keep_their_place(spark, tmp_path):
+    first = put(tmp_path, "one.fq", "@r1\n\n+\n\n@r2\nAC\n+\nII\n\n\n")
+    second = put(tmp_path, "two.fq", "@r3\nG\n+\nI\n@r4\n\n+\n\n")
+    reads = Q.with_scores(Q.read_fastq(spark, [first, second]))
+    assert sorted((r.read_id, r.name, r.seq, r.scores) for r in reads.collect()) == [
+        (0, "r1", "", []), (1, "r2", "AC", [40.0, 40.0]), (2, "r3", "G", [40.0]), (3, "r4", "", [])]
+    pairs = Q.read_two_line_fasta(spark, put(tmp_path, "two.fa", ">a\n\n>b\nMK\n>c\n\n")).collect()
+    assert sorted((r.protein_id, r.name, r.seq, r.well_formed) for r in pairs)[:2] == [(0, "a", "", True), (1, "b", "MK", True)]
+    named = M.read_named_points(spark, put(tmp_path, "pts", "p\n\nq\n1 2\n")).collect()
+    assert sorted((r.name, r.point) for r in named) == [("p", []), ("q", [1.0, 2.0])]
+
+
+def test_short_lines_fail_unless_lenient(spark, tmp_path):
+    path = put(tmp_path, "short", "m p 1.5\n\nm q\n")
+    with pytest.raises(Exception, match="fewer than 3 fields"):
+        M.read_hits(spark, path).collect()
+    assert M.read_hits(spark, path, lenient=True).count() == 1
+    with pytest.raises(Exception, match="fewer than 9 fields"):
+        M.read_annotations(spark, path).collect()
+
+
+def test_numbers_need_no_shuffle_of_text(spark, tmp_path):
+    path = put(tmp_path, "lines", "".join(f"line {i}\n" for i in range(500)))
+    lines = R.number_lines(R.read_lines(spark, path))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    shuffles = [row for row in plan.splitlines() if "Exchange hashpartitioning" in row]
+    assert not any("value" in row for row in shuffles) and "BroadcastHashJoin" in plan
+    assert sorted((r.line_no, r.value) for r in lines.collect()) == [(i, f"line {i}") for i in range(500)]
 
 
 def test_annotations(spark, tmp_path):

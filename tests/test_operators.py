@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -295,3 +296,38 @@ def test_sampling(spark):
     at = spark.createDataFrame([(0,), (39999,), (40000,), (40004,), (40005,), (140004,), (140005,)], "pos long")
     got = {r.pos: r.owner for r in S.owner_of_position(at, spans).collect()}
     assert got == {0: "a", 39999: "a", 40000: "b", 40004: "b", 40005: "c", 140004: "c"}
+
+
+def test_block_plans_are_instant_and_never_single_letters():
+    start = time.perf_counter()
+    for k, radius in ((25, 24.0), (25, 49.38), (10, 5.0), (10, 30.0)):
+        blocks = S._choose_blocks(k, radius * radius)
+        assert sum(n for _, n in blocks) == k and max(n for _, n in blocks) > 1
+    assert time.perf_counter() - start < 2
+    # counts on the grid are never below the exact ones
+    exact = np.sort(np.array(C.COORDINATE_DISTANCE_SQ).ravel())
+    found = S._expected_neighbours(1, 100.0)[1]
+    assert found[-1] >= (exact <= 100.0 * (1 - 1 / S._GRID)).sum() / 20 - 1e-9
+
+
+def test_small_centre_sets_are_sent_and_agree_with_cells(spark):
+    dice = np.random.default_rng(12)
+    x, y = dice.normal(size=(300, 6)), dice.normal(size=(40, 6))
+    points, centers = vectors(spark, x), vectors(spark, y).select(F.col("point_id").alias("center_id"), F.col("point").alias("center"))
+    rows = lambda frame: sorted((r.center_id, r.point_id, round(r.distance, 9)) for r in frame.collect())
+    sent, cells = S.radius_exact(centers, points, 6, 2.0), S.radius_exact(centers, points, 6, 2.0, sent_rows=10)
+    assert rows(sent) == rows(cells) and rows(sent)
+    assert "Exchange" not in sent._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_keys_get_salts_by_size(spark):
+    left = spark.range(60_000).select(F.lit(1).alias("k"), "id").unionByName(spark.range(100).select((F.col("id") + 2).cast("int").alias("k"), "id"))
+    right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    salted, repeated = layout.split_hot(left, right, ["k"], ["id"], salt_rows=1000)
+    assert repeated.filter("k = 1").count() > 40 and repeated.filter("k = 2").count() == 1
+    assert salted.join(repeated, ["k", "_salt"]).count() == left.join(right, "k").count()
+
+
+def test_peptides_in_order(spark):
+    rows = [(2, "MK"), (1, "MK"), (3, "AC"), (4, "")]
+    assert [r.protein_id for r in SQ.sort_peptides(spark.createDataFrame(rows, "protein_id long, seq string")).collect()] == [4, 3, 1, 2]

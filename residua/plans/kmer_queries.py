@@ -60,17 +60,21 @@ def kmer_distinct_stats(spark, sf_dir):
     return K.peptide_stats(seqs).withColumn("one", F.lit(1)).join(counts, "one").drop("one")
 
 
-_SAMPLE_SQL = f"""{proteins_sql()}, {kmers_sql(25)},
+def sample_sql(k: int) -> str:
+    return f"""{proteins_sql()}, {kmers_sql(k)},
 taken AS (SELECT * FROM kmers WHERE pos % (30 + protein_id % 20) = 0),
 sample AS (SELECT kmer, min(struct_pack(a := protein_id, b := pos)) AS f FROM taken GROUP BY kmer)"""
 
 
+_SAMPLE_SQL = sample_sql(25)
+
+
 @query("kmer_sample", f"WITH {_SAMPLE_SQL} SELECT f.a AS protein_id, f.b AS pos, kmer FROM sample")
 def kmer_sample(spark, sf_dir):
     return K.sample_kmers(proteins(spark, sf_dir), 25).withColumn("pos", F.col("pos").cast("long"))
 
 
-_COORDINATES_SQL = "[" + ", ".join(list_sql(C.COORDINATES[r]) for r in C.RESIDUES) + "]"
+COORDINATES_SQL = "[" + ", ".join(list_sql(C.COORDINATES[r]) for r in C.RESIDUES) + "]"
 
 
 @query("named_points", f"""
@@ -78,7 +82,7 @@ WITH {_SAMPLE_SQL}, numbered AS (
   SELECT f.a AS p, f.b AS o, kmer, row_number() OVER (ORDER BY f.a, f.b) - 1 AS n FROM sample)
 SELECT concat('doc', p, '#', p, '$', o, '@', kmer, '*', n) AS name, 200 AS dims,
        round(list_sum(list_transform(range(1, 26), lambda i: list_sum(list_transform(
-         {_COORDINATES_SQL}[strpos('{C.RESIDUES}', substr(kmer, CAST(i AS INTEGER), 1))], lambda x: x * x)))), 4) AS norm_sq
+         {COORDINATES_SQL}[strpos('{C.RESIDUES}', substr(kmer, CAST(i AS INTEGER), 1))], lambda x: x * x)))), 4) AS norm_sq
 FROM numbered""")
 def named_points(spark, sf_dir):
     seqs = proteins(spark, sf_dir)
@@ -91,7 +95,7 @@ def named_points(spark, sf_dir):
 @query("kmer_points", f"""
 WITH {proteins_sql()}, {kmers_sql(3)}, d AS (SELECT DISTINCT kmer FROM kmers),
 e AS (SELECT kmer, unnest(range(0, 24)) AS dim FROM d)
-SELECT kmer, dim, {_COORDINATES_SQL}[strpos('{C.RESIDUES}', substr(kmer, CAST(dim // 8 + 1 AS INTEGER), 1))][dim % 8 + 1] AS coordinate
+SELECT kmer, dim, {COORDINATES_SQL}[strpos('{C.RESIDUES}', substr(kmer, CAST(dim // 8 + 1 AS INTEGER), 1))][dim % 8 + 1] AS coordinate
 FROM e""")
 def kmer_points(spark, sf_dir):
     distinct = K.explode_kmers(proteins(spark, sf_dir), 3).select("kmer").distinct()

@@ -35,7 +35,7 @@ class Rules:
     shout_words: int = 4
     repeat_words: int = 10
     repeat_share: float = 0.7
-    lost_share: float = 0.3
+    lost_share: float = 0.4
     least_words: int = 10
     repeat_window: int = 5
     repeat_percent: int = 20

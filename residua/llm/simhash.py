@@ -141,13 +141,20 @@ def _tree_links(radius: int, words: list[str]):
                     continue
                 for j in tree.near(unsigned[i], radius):
                     a, b = root(i), root(held[j])
-                    if a != b:  # a spanning forest says as much as all pairs
+                    if a != b:
                         joined[a] = b
-                        left.append(values[i])
-                        right.append(values[held[j]])
                 if low == high:
                     tree.add(unsigned[i])
                     held.append(i)
+            # a star around the least value of each group says as much as all pairs, and a group
+            # that meets in many shards has the same star in them
+            least: dict[int, int] = {}
+            for i, value in enumerate(values):
+                least[root(i)] = min(value, least.get(root(i), value))
+            for i, value in enumerate(values):
+                if value != least[root(i)]:
+                    left.append(value)
+                    right.append(least[root(i)])
             if len(left) >= 10_000:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
                 left, right = [], []
@@ -157,7 +164,7 @@ def _tree_links(radius: int, words: list[str]):
 
 
 def _linked_in_trees(keys: DataFrame, words: list[str], radius: int, tree_size: int) -> DataFrame:
-    """(a, b): a spanning forest of the matches in each shard of ``keys`` (part, shard, node, fingerprint words).
+    """(a, b): stars that connect what matches in each shard of ``keys`` (part, shard, node, fingerprint words).
 
     Each shard is a tree of at most about ``tree_size`` values. A shard beyond
     that is dealt over several trees, and its values are sent to each of them.
@@ -184,7 +191,7 @@ def links(distinct: DataFrame, fp: str = "fp", radius: int = RADIUS, tree_size:
     """(a, b): links between distinct fingerprints that connect what lies within ``radius`` bits.
 
     Fingerprints meet in the shards whose bits they share; no pair within the
-    radius is lost. Only a spanning forest of each tree's matches leaves it.
+    radius is lost. Only a star of each group that a tree connects leaves it.
     """
     rows = distinct.count()
     wanted = masks(blocks_for(rows, radius, fill), radius)
@@ -212,7 +219,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marked = stored(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")),
                                  size=size, seed=seed).select("doc_id", "fp"), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    edges = stored(links(distinct, "fp", radius, **kw), "links")
+    edges = stored(links(distinct, "fp", radius, **kw).distinct(), "links")
     ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     label = components(edges, ends).select(F.col("id").alias("fp"), F.col("component").alias("label"))
     labelled = distinct.join(label, "fp")

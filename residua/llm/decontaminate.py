@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from residua.llm.texts import free_name, plain_words, texts_of
+from residua.llm.texts import by_pieces, free_name, plain_words, texts_of
 
 WINDOW = 13
 # bytes of benchmark text that go into one broadcast set; a larger benchmark is scanned set after set
@@ -181,19 +181,18 @@ def contaminated(n_words: Column, n_hit: Column, one_in: int = 20) -> Column:
     return (n_hit > 0) & (n_hit * one_in >= n_words)
 
 
-def _without_spans(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for batch, spans in texts:
-        out = []
-        for text, cut in zip(texts_of(batch), spans.to_pylist()):
-            if text and cut:
-                places = [m.span() for m in _WORD.finditer(text)]
-                kept, last = [], 0
-                for s in sorted(cut, key=lambda s: s["start"]):
-                    kept.append(text[last:max(last, places[s["start"]][0])])
-                    last = max(last, places[s["end"] - 1][1])
-                text = "".join(kept) + text[last:]
-            out.append(text)
-        yield pa.array(out, pa.string())
+def _without_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    out = []
+    for text, cut in zip(texts_of(texts), spans.to_pylist()):
+        if text and cut:
+            places = [m.span() for m in _WORD.finditer(text)]
+            kept, last = [], 0
+            for s in sorted(cut, key=lambda s: s["start"]):
+                kept.append(text[last:max(last, places[s["start"]][0])])
+                last = max(last, places[s["end"] - 1][1])
+            text = "".join(kept) + text[last:]
+        out.append(text)
+    return pa.array(out, pa.string())
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **kw) -> DataFrame:
@@ -201,7 +200,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **kw
     mark = free_name(docs, "_hits")
 
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        yield from _without_spans(batches)
+        for texts, spans in batches:
+            yield by_pieces(_without_spans, texts, spans)
 
     column = F.arrow_udf(cut, "string").asNondeterministic()
     found = scan(docs, benchmark, text, into=mark, **kw)

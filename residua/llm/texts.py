@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -34,38 +32,32 @@ def texts_of(column: pa.Array) -> Iterator[str | None]:
         yield value.as_py()
 
 
-def arrow_column(make: Callable[[], Callable[..., dict]], result: str, fields: dict[str, pa.DataType]):
-    """A column function from Arrow columns to a struct.
+def by_pieces(make: Callable[..., pa.Array], *columns: pa.Array, rows: int = 256) -> pa.Array:
+    """``make`` over a few rows at a time, so that few of a batch's values are Python objects at once."""
+    parts = [make(*[c.slice(i, rows) for c in columns]) for i in range(0, len(columns[0]), rows)]
+    return pa.concat_arrays(parts) if parts else make(*columns)
 
-    ``make()`` runs once in a task and returns a function of one row's values
-    that gives a dict with the fields. The function is marked nondeterministic
-    so that the optimizer neither repeats it nor moves it into a filter.
-    """
 
-    def run(batches: Iterator) -> Iterator[pa.Array]:
-        work = make()
-        for batch in batches:
-            columns = batch if isinstance(batch, tuple) else (batch,)
-            out: dict[str, list] = {name: [] for name in fields}
-            for row in zip(*[texts_of(c) for c in columns]):
-                made = work(*row)
-                for name, values in out.items():
-                    values.append(made[name])
-            yield pa.StructArray.from_arrays(
-                [pa.array(values, fields[name]) for name, values in out.items()], names=list(fields)
-            )
+def one_text(make: Callable[[], Callable[[str | None], dict]], result: str, fields: dict[str, pa.DataType]):
+    """A column function from a text to a struct.
 
-    return run, result
+    ``make()`` runs once in a task and returns a function of one text that
+    gives a dict with the fields. The function is marked nondeterministic so
+    that the optimizer neither repeats it nor moves it into a filter.
+    """
 
+    def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        work = make()
 
-def one_text(make, result: str, fields: dict[str, pa.DataType]):
-    """``arrow_column`` over a single text column."""
-    run, kind = arrow_column(make, result, fields)
+        def piece(texts: pa.Array) -> pa.Array:
+            made = [work(t) for t in texts_of(texts)]
+            return pa.StructArray.from_arrays(
+                [pa.array([m[name] for m in made], kind) for name, kind in fields.items()], names=list(fields))
 
-    def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from run(batches)
+        for texts in batches:
+            yield by_pieces(piece, texts)
 
-    return F.arrow_udf(call, kind).asNondeterministic()
+    return F.arrow_udf(call, result).asNondeterministic()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -88,16 +80,6 @@ def id_remainder(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string")) % parts
 
 
-def sha256_hex(value: str) -> str:
-    return hashlib.sha256(value.encode()).hexdigest()
-
-
-def runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(first, past the last) of each run, given the flags of its first elements."""
-    at = np.flatnonzero(starts)
-    yield from zip(at.tolist(), [*at[1:].tolist(), len(starts)])
-
-
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The groups of batches sorted by ``keys``; only one group is held at a time."""
     held: list[pa.RecordBatch] = []

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from residua.llm.texts import texts_of
+from residua.llm.texts import hash_bound, texts_of
 
 UNKNOWN = "und"
 ORDERS = 3
@@ -134,10 +134,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
         raise ValueError(f"over {MOST_LANGUAGES} different labels")
     if not counted:
         return {"langs": [], "idf": np.zeros(BUCKETS), "weights": np.zeros((BUCKETS + 1, 0)), "temperature": 1.0}
-    parts = 1_000_000
-    shares = F.create_map(*[F.lit(x) for k, n in counted.items() for x in (k, min(parts, 4 * parts * per_language // n + 1))])
-    hashed = rows.withColumn("h", F.xxhash64("text"))
-    some = hashed.filter(F.pmod("h", F.lit(parts)) < shares[F.col("lang")])
+    # enough of each language that copies and chance leave the wanted number
+    bounds = F.create_map(*[x for k, n in counted.items() for x in (
+        F.lit(k), F.lit(hash_bound(4 * per_language, n)).cast("long"))])
+    some = rows.withColumn("h", F.xxhash64("text")).filter(F.col("h") <= bounds[F.col("lang")])
     first = some.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("_n") <= per_language)
     table = first.select("h", "lang", "text").mapInArrow(_vectors, "h long, lang string, at array<int>, counts array<long>")
     sample = sorted(table.toArrow().to_pylist(), key=lambda r: (r["h"], r["lang"]))

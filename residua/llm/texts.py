@@ -67,6 +67,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_bound(wanted: int, rows: int) -> int:
+    """The largest 64-bit hash of about ``wanted`` among ``rows`` values."""
+    return min((1 << 63) - 1, -(1 << 63) + ((wanted << 64) // max(1, rows)))
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` does not use, whatever the case of its letters."""
     used = {c.lower() for c in df.columns}

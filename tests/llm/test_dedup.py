@@ -218,3 +218,12 @@ def test_passage_edges(spark, edge_docs):
     found = passages.repeated_passages(edge_docs.unionByName(edge_docs), least_words=15)
     assert {(r.doc_id, r.ref_doc_id) for r in found.collect()} == {(2, 1)}
     assert passages.repeated_passages(edge_docs.limit(0)).isEmpty()
+
+
+def test_repeated_seeds_stand_apart():
+    line = np.arange(9, dtype=np.uint64)
+    h, at = passages.seeds_of(np.tile(line, 60))
+    for value in set(h.tolist()):
+        places = sorted(at[h == value].tolist())
+        assert all(b - a >= passages.FLANK for a, b in zip(places, places[1:]))
+        assert max(b - a for a, b in zip(places, places[1:])) < 2 * passages.FLANK

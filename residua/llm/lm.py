@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import filterfalse
 from zlib import crc32
 
 import numpy as np
@@ -43,31 +44,39 @@ def shared_class_of(token: Column) -> Column:
     return (F.lit(SINGLE) + F.crc32(F.expr("substring(token, -2, 2)")) % SHARED).cast("int")
 
 
-class Classes:
-    """Class numbers of words; remembers a bounded number of them."""
+class _Memo(dict):
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = -1 - shared_class(word)
+        return code
 
-    def __init__(self, singles: dict[bytes, int]):
-        self.singles = singles
-        self.memo = dict(singles)
 
-    def of(self, words: list[bytes]) -> list[int]:
-        if len(self.memo) > HELD_WORDS:
-            self.memo = dict(self.singles)
-        get, out = self.memo.get, []
-        for w in words:
-            c = get(w)
-            if c is None:
-                c = self.memo[w] = shared_class(w)
-            out.append(c)
-        return out
+class Codes:
+    """Numbers of words: the place of a known word, and -1 less the class of any other one.
+
+    Known words come first by class number; of others a bounded number is remembered.
+    """
+
+    def __init__(self, known: list[bytes]):
+        self.known = {w: i for i, w in enumerate(known)}
+        self.memo = _Memo(self.known)
+        self.class_of = np.array([i if i < SINGLE else shared_class(w) for i, w in enumerate(known)])
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self.memo) > len(self.known) + HELD_WORDS:
+            self.memo = _Memo(self.known)
+        return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+
+    def classes(self, codes: np.ndarray) -> np.ndarray:
+        return np.where(codes >= 0, self.class_of[np.maximum(codes, 0)], -1 - codes)
 
 
 def contexts(ids: np.ndarray, place: np.ndarray, end: int) -> np.ndarray:
     """The classes before each token, nearest first; the end mark stands before the start of a text."""
-    out = np.full((len(ids), CONTEXT), end, np.int64)
+    out = np.full((len(ids), CONTEXT), end, np.int64, order="F")
     for k in range(1, CONTEXT + 1):
-        inside = np.flatnonzero(place >= k)
-        out[inside, k - 1] = ids[inside - k]
+        column = out[:, k - 1]
+        column[k:] = ids[:-k]
+        column[place < k] = end
     return out
 
 
@@ -79,11 +88,49 @@ def start_model(noise: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def _scattered(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sum of rows by number."""
-    width = rows.shape[1]
-    slot = (at[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(slot, rows.ravel(), n * width).reshape(n, width)
+def _summed(at: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Sum of the rows (given as columns) of each class."""
+    return np.stack([np.bincount(at, c, CLASSES) for c in columns], axis=1)
+
+
+class _Work:
+    """Arrays that batch after batch is written into, so that no memory is asked for in between."""
+
+    def __init__(self, width: int):
+        self.h, self.part = np.empty((BATCH, WIDTH), np.float32), np.empty((BATCH, WIDTH), np.float32)
+        self.wide = np.empty((BATCH, width), np.float32)
+        self.columns = np.empty((WIDTH, BATCH))
+
+    def hidden(self, tables: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The predicted vectors: context vectors, weighed by place in ``tables``, added up."""
+        h, part = self.h[:len(before)], self.part[:len(before)]
+        for k in range(CONTEXT):
+            np.take(tables[k], before[:, k], axis=0, out=part if k else h, mode="clip")
+            if k:
+                h += part
+        return h
+
+    def product(self, h: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.matmul(h, q, out=self.wide[:len(h)])
+
+    def turned(self, rows: np.ndarray) -> np.ndarray:
+        """The columns of some rows, each in one piece."""
+        out = self.columns[:, :len(rows)]
+        out[...] = rows.T
+        return out
+
+
+def _tables(model: dict[str, np.ndarray]) -> np.ndarray:
+    return (model["r"] * model["c"][:, None, :]).astype(np.float32)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)) in place; below -60 it is 0 to single precision."""
+    np.negative(x, out=x)
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
@@ -93,22 +140,33 @@ class Trainer:
         self.model = {k: v.astype(float).copy() for k, v in model.items()}
         self.squares = {k: np.full(v.shape, 1e-2) for k, v in model.items()}
         self.noise, self.rate, self.seen = noise, rate, 0
+        self.work = _Work(NOISE)
         self.log_noise = np.log(NOISE * noise)
         self.steps, self.dice = np.cumsum(noise), np.random.default_rng(seed)
 
     def step(self, before: np.ndarray, target: np.ndarray) -> None:
+        """A step on at most ``BATCH`` targets."""
         m = self.model
         noise = np.minimum(np.searchsorted(self.steps, self.dice.random(NOISE)), CLASSES - 1)
-        gathered = m["r"][before]
-        h = np.einsum("bkd,kd->bd", gathered, m["c"])
-        own = 1 / (1 + np.exp(-((h * m["q"][target]).sum(1) + m["b"][target] - self.log_noise[target]))) - 1
-        other = 1 / (1 + np.exp(-(h @ m["q"][noise].T + m["b"][noise] - self.log_noise[noise])))
-        dh = own[:, None] * m["q"][target] + other @ m["q"][noise]
+        h, q = self.work.hidden(_tables(m), before), m["q"].astype(np.float32)
+        offset = (m["b"] - self.log_noise).astype(np.float32)
+        q_own, q_other = q[target], q[noise]
+        own = _sigmoid(np.einsum("ij,ij->i", h, q_own) + offset[target]) - np.float32(1)
+        other = self.work.product(h, q_other.T)
+        other += offset[noise]
+        _sigmoid(other)
+        q_own *= own[:, None]
+        q_own += other @ q_other
+        # what each class receives at each place; the other gradients follow from it
+        dh = self.work.turned(q_own)
+        sums = [_summed(before[:, k], dh) for k in range(CONTEXT)]
+        from_noise = (other.T @ h).T
+        h *= own[:, None]
         grads = {
-            "q": _scattered(target, own[:, None] * h, CLASSES) + _scattered(noise, other.T @ h, CLASSES),
-            "b": np.bincount(target, own, CLASSES) + np.bincount(noise, other.sum(0), CLASSES),
-            "c": np.einsum("bkd,bd->kd", gathered, dh),
-            "r": _scattered(before.ravel(), (dh[:, None, :] * m["c"]).reshape(-1, WIDTH), CLASSES),
+            "q": _summed(target, self.work.turned(h)) + _summed(noise, from_noise),
+            "b": np.bincount(target, own, CLASSES) + np.bincount(noise, np.ones(len(h), np.float32) @ other, CLASSES),
+            "c": np.stack([(m["r"] * s).sum(0) for s in sums]),
+            "r": sum(m["c"][k] * s for k, s in enumerate(sums)),
         }
         for name, g in grads.items():
             g /= len(target)
@@ -119,15 +177,19 @@ class Trainer:
 
 def class_log10(model: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Normalised log10 probability of each target class, by matrix products over batches."""
-    q, b = model["q"].T.astype(np.float32), model["b"].astype(np.float32)
-    r, c = model["r"].astype(np.float32), model["c"].astype(np.float32)
-    out = np.empty(len(target))
+    q, b = np.ascontiguousarray(model["q"].T, np.float32), model["b"].astype(np.float32)
+    # an upper bound of all scores: below it the exponential function cannot overflow
+    longest = lambda x: float(np.sqrt((x * x).sum(1)).max())
+    bound = float(b.max()) + longest(model["q"]) * sum(longest(model["r"] * c) for c in model["c"])
+    ones, out = np.ones(CLASSES, np.float32), np.empty(len(target))
+    tables, work = _tables(model), _Work(CLASSES)
     for i in range(0, len(target), BATCH):
-        h = np.einsum("bkd,kd->bd", r[before[i:i + BATCH]], c)
-        logits = h @ q + b
-        top = logits.max(1, keepdims=True)
-        total = np.log(np.exp(logits - top).sum(1)) + top[:, 0]
-        out[i:i + BATCH] = logits[np.arange(len(h)), target[i:i + BATCH]] - total
+        logits = work.product(work.hidden(tables, before[i:i + BATCH]), q)
+        logits += b
+        if bound > 60:
+            logits -= logits.max(1, keepdims=True)
+        out[i:i + BATCH] = logits[np.arange(len(logits)), target[i:i + BATCH]]
+        out[i:i + BATCH] -= np.log(np.exp(logits, out=logits) @ ones)
     return out / np.log(10)
 
 
@@ -169,19 +231,20 @@ def top_words(counts: DataFrame, most: int = TOP_WORDS) -> dict[bytes, int]:
     return dict(zip(table.column("token").to_pylist(), table.column("n").to_pylist()))
 
 
-def _stream(classes: Classes, texts: Iterator[str | None], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
-    """(classes, places in the text, sizes) of some whole texts at a time."""
-    ids: list[int] = []
+def _stream(codes: Codes, texts: Iterator[str | None], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """(codes, places in the text, sizes) of some whole texts at a time."""
+    held: list[np.ndarray] = []
     sizes: list[int] = []
+    count = 0
     for value in texts:
-        own = classes.of(tokens(value))
-        ids += own
-        sizes.append(len(own))
-        if len(ids) >= most:
-            yield np.array(ids), np.concatenate([np.arange(n) for n in sizes]), sizes
-            ids, sizes = [], []
-    if ids:
-        yield np.array(ids), np.concatenate([np.arange(n) for n in sizes]), sizes
+        held.append(codes.of(tokens(value)))
+        sizes.append(len(held[-1]))
+        count += sizes[-1]
+        if count >= most:
+            yield np.concatenate(held), np.concatenate([np.arange(n) for n in sizes]), sizes
+            held, sizes, count = [], [], 0
+    if held:
+        yield np.concatenate(held), np.concatenate([np.arange(n) for n in sizes]), sizes
 
 
 def _flat(model: dict[str, np.ndarray]) -> np.ndarray:
@@ -196,7 +259,7 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-def train(texts: DataFrame, singles: dict[bytes, int], noise: np.ndarray, text: str = "text",
+def train(texts: DataFrame, singles: list[bytes], noise: np.ndarray, text: str = "text",
           rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Rounds of local training over all tokens; after each the tasks' models are averaged by tokens seen."""
     model = start_model(noise)
@@ -205,11 +268,12 @@ def train(texts: DataFrame, singles: dict[bytes, int], noise: np.ndarray, text:
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
             start, known, share = sent.value
-            trainer, classes = Trainer(start, share, number), Classes(known)
+            trainer, codes = Trainer(start, share, number), Codes(known)
             values = (t for batch in batches for t in texts_of(batch.column(0)))
-            for ids, place, _ in _stream(classes, values, 50 * BATCH):
-                before = contexts(ids, place, known[END])
-                for at in np.array_split(trainer.dice.permutation(len(ids)), max(1, len(ids) // BATCH)):
+            for found, place, _ in _stream(codes, values, 50 * BATCH):
+                ids = codes.classes(found)
+                before = contexts(ids, place, 0)
+                for at in np.array_split(trainer.dice.permutation(len(ids)), -(-len(ids) // BATCH)):
                     trainer.step(before[at], ids[at])
             flat = _flat(trainer.model)
             if trainer.seen:
@@ -232,27 +296,22 @@ _SCORED = ("n_tokens long, n_top long, top_base double, top_shared double, class
 
 def _score_in_place(sent):
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model, singles, logs, class_logs = sent.value
-        classes, get = Classes(singles), logs.get
+        model, known, logs, class_logs = sent.value
+        codes = Codes(known)
         for texts in batches:
-            rows: list[tuple[int, int, float, float]] = []
-
-            def values(texts=texts, rows=rows) -> Iterator[str | None]:
-                for value in texts_of(texts):
-                    words = tokens(value)
-                    known = [(w, x) for w in words if (x := get(w)) is not None]
-                    rows.append((len(words), len(known), sum(x for _, x in known), sum(x for w, x in known if w not in singles)))
-                    yield value
-
-            sums: list[np.ndarray] = []
-            for ids, place, sizes in _stream(classes, values(), 20 * BATCH):
-                each = class_log10(model, contexts(ids, place, singles[END]), ids) - class_logs[ids]
-                sums.append(np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)[:-1]])))
-            total = np.concatenate(sums) if sums else np.zeros(0)
-            columns = list(zip(*rows)) or [()] * 4
+            parts: list[list[np.ndarray]] = []
+            for found, place, sizes in _stream(codes, texts_of(texts), 20 * BATCH):
+                ids, top = codes.classes(found), found >= 0
+                log = np.where(top, logs[np.maximum(found, 0)] if len(logs) else 0.0, 0.0)
+                each = class_log10(model, contexts(ids, place, 0), ids) - class_logs[ids]
+                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                # a word with a class of its own has no share to pay for; the end mark may be one without a count
+                parts.append([np.array(sizes), *[np.add.reduceat(x, starts) for x in (
+                    (top & (log > -9)).astype(np.int64), np.where(log > -9, log, np.log10(ADD)), np.where(ids >= SINGLE, log, 0.0), each)]])
+            columns = [np.concatenate(c) for c in zip(*parts)] or [np.zeros(0)] * 5
+            kinds = [pa.int64()] * 2 + [pa.float64()] * 3
             yield pa.StructArray.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()),
-                 pa.array(columns[3], pa.float64()), pa.array(total, pa.float64())],
+                [pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds)],
                 names=["n_tokens", "n_top", "top_base", "top_shared", "class_score"])
 
     return F.arrow_udf(score, _SCORED).asNondeterministic()
@@ -262,11 +321,11 @@ def _rare_words(sent, keys: list[str]):
     """Rows (keys, token, n) of the words without a sent count, and one row without a token for each text."""
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = sent.value[2]
+        known = set(sent.value[1])
         for batch in batches:
             at, words, counts = [], [], []
             for i, value in enumerate(texts_of(batch.column("text"))):
-                own = Counter(w for w in tokens(value) if w not in logs)
+                own = Counter(filterfalse(known.__contains__, tokens(value)))
                 at += [i] * (len(own) + 1)
                 words += [None, *own]
                 counts += [1, *own.values()]
@@ -305,22 +364,25 @@ def score(docs: DataFrame, learns: Column, text: str = "text", top: int = TOP_WO
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, kinds = whole["n"] or 0, whole["v"]
     known = top_words(counts, top)
-    singles = {w: i for i, w in enumerate([END, *sorted(set(known) - {END}, key=lambda w: (-known[w], w))[:SINGLE - 1]])}
+    if END not in known and (ends := counts.filter(F.octet_length("token") == 0).first()):
+        known[END] = ends["n"]
+    # the end mark is class 0, then come the most frequent words
+    order = [END, *sorted(set(known) - {END}, key=lambda w: (-known[w], w))]
     sizes, members = np.zeros(CLASSES), np.zeros(CLASSES)
-    for w, i in singles.items():
-        sizes[i] = known.get(w, 0)
-    lonely = [w for w in singles if w in known]
     for r in counts.groupBy(shared_class_of(F.col("token")).alias("c")).agg(
             F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         sizes[r["c"]], members[r["c"]] = r["n"], r["v"]
-    for w in lonely:
-        sizes[shared_class(w)] -= known[w]
-        members[shared_class(w)] -= 1
+    for i, w in enumerate(order[:SINGLE]):
+        sizes[i] = known.get(w, 0)
+        if w in known:
+            sizes[shared_class(w)] -= known[w]
+            members[shared_class(w)] -= 1
     noise = (sizes + 1) / (sizes + 1).sum()
-    model = train(own, singles, noise, rounds=rounds)
+    model = train(own, order[:SINGLE], noise, rounds=rounds)
     class_logs = np.where(np.arange(CLASSES) < SINGLE, 0.0, np.log10(sizes + ADD * (members + 1)))
-    logs = dict(zip(known, np.log10(np.array(list(known.values()), float) + ADD).tolist()))
-    sent = docs.sparkSession.sparkContext.broadcast((model, singles, logs, class_logs))
+    # -10 marks an end mark that no training text has
+    logs = np.array([np.log10(known[w] + ADD) if w in known else -10.0 for w in order])
+    sent = docs.sparkSession.sparkContext.broadcast((model, order, logs, class_logs))
 
     keyed = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit("second"), F.col(text))})
     rare = keyed.select("_k1", "_k2", F.col(text).alias("text")).mapInArrow(

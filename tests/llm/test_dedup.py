@@ -227,3 +227,26 @@ def test_repeated_seeds_stand_apart():
         places = sorted(at[h == value].tolist())
         assert all(b - a >= passages.FLANK for a, b in zip(places, places[1:]))
         assert max(b - a for a, b in zip(places, places[1:])) < 2 * passages.FLANK
+
+
+@pytest.mark.parametrize("gap", [28, 30, 40, 60])
+def test_exact_passages_around_own_words(spark, gap):
+    dice = np.random.default_rng(gap)
+    a, b = words_of(dice, 55), words_of(dice, 55)
+    rows = [(i, " ".join(words_of(dice, 20) + a + words_of(dice, gap) + b + words_of(dice, 20))) for i in (1, 2)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.start_word, r.end_word, r.ref_start_word, r.identity) for r in found) == [
+        (20, 75, 20, 1.0), (75 + gap, 130 + gap, 75 + gap, 1.0)]
+
+
+def test_pieces_equal_brute_force():
+    dice = np.random.default_rng(3)
+    for _ in range(60):
+        equal = np.repeat(dice.random(12) < 0.75, dice.integers(1, 9, 12))
+        columns = np.stack([equal, np.ones(len(equal), bool), equal | (dice.random(len(equal)) < 0.7)], 1).astype(np.int64)
+        good = lambda i, j: (columns[i, 0] and columns[j - 1, 0] and columns[i:j, 0].sum() >= 0.8 * (j - i) - 1e-9
+                             and columns[i:j, 2].sum() >= 10)
+        wanted = {c for i in range(len(equal)) for j in range(i + 1, len(equal) + 1) if good(i, j) for c in range(i, j)}
+        made = passages.pieces(columns, 10, 0.8)
+        assert all(good(i, j) for i, j in made)
+        assert {c for i, j in made for c in range(i, j)} == wanted

@@ -250,3 +250,14 @@ def test_pieces_equal_brute_force():
         made = passages.pieces(columns, 10, 0.8)
         assert all(good(i, j) for i, j in made)
         assert {c for i, j in made for c in range(i, j)} == wanted
+
+
+@pytest.mark.parametrize("length, copies, held", [(55, 6, 1), (50, 5, 1), (63, 4, 1), (30, 5, 2), (9, 20, 6)])
+def test_passages_back_to_back_are_covered(spark, length, copies, held):
+    dice = np.random.default_rng(length)
+    line = words_of(dice, length)
+    rows = [(1, " ".join(words_of(dice, 30) + line * held + words_of(dice, 30))),
+            (2, " ".join(words_of(dice, 30) + line * copies + words_of(dice, 30)))]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = {w for r in found for w in range(r.start_word, r.end_word)}
+    assert covered == set(range(30, 30 + length * copies))

@@ -261,3 +261,16 @@ def test_passages_back_to_back_are_covered(spark, length, copies, held):
     found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     covered = {w for r in found for w in range(r.start_word, r.end_word)}
     assert covered == set(range(30, 30 + length * copies))
+
+
+def test_run_meets_a_document_that_holds_it_whole(spark):
+    dice = np.random.default_rng(21)
+    own = lambda n=30: words_of(dice, n)
+    p, q = words_of(dice, 60), words_of(dice, 50)
+    r = words_of(dice, 20) + ["ha"] * 25 + words_of(dice, 20)
+    rows = [own() + p[:40] + own(), own() + p[24:] + own(), own() + q[:30] + own() + q[20:] + own() + q + own(),
+            own() + r[:45] + own(), own() + r[20:] + own()]
+    rows += [own(40) + t + own() for t in (p, p, q, r, r)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    found = {(x.doc_id, x.ref_doc_id): (x.start_word, x.end_word, x.identity) for x in passages.repeated_passages(docs).collect()}
+    assert found == {(6, 5): (40, 100, 1.0), (7, 2): (40, 90, 1.0), (9, 8): (40, 105, 1.0)}

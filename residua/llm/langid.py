@@ -124,20 +124,23 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
         epochs: int = 4) -> dict:
     """Model from labelled texts: {langs, idf, weights, temperature}.
 
-    Fitted on at most ``per_language`` texts of each language, whole texts
-    chosen by hash of their content; null labels, null texts and texts without
+    Fitted on at most ``per_language`` different texts of each language, whole
+    texts chosen by hash of their content, copies once; null labels, null texts and texts without
     letters teach nothing. The number of labels is counted over all rows.
     """
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null")
-    counted = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null").withColumn(
+        "h", F.xxhash64("text"))
+    different = rows.groupBy("lang", "h").agg(F.max(F.col("text").isNotNull()).alias("known"))
+    counted = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(
+        F.count_if("known").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counted) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} different labels")
     if not counted:
         return {"langs": [], "idf": np.zeros(BUCKETS), "weights": np.zeros((BUCKETS + 1, 0)), "temperature": 1.0}
-    # enough of each language that copies and chance leave the wanted number
+    # copies count once in the bound and take one place, so that a language of few texts has all of them
     bounds = F.create_map(*[x for k, n in counted.items() for x in (
         F.lit(k), F.lit(hash_bound(4 * per_language, n)).cast("long"))])
-    some = rows.withColumn("h", F.xxhash64("text")).filter(F.col("h") <= bounds[F.col("lang")])
+    some = rows.filter(F.col("text").isNotNull() & (F.col("h") <= bounds[F.col("lang")])).dropDuplicates(["lang", "h"])
     first = some.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("_n") <= per_language)
     table = first.select("h", "lang", "text").mapInArrow(_vectors, "h long, lang string, at array<int>, counts array<long>")
     sample = sorted(table.toArrow().to_pylist(), key=lambda r: (r["h"], r["lang"]))

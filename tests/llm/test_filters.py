@@ -194,6 +194,14 @@ def test_pii_model_adds_and_masks(spark, edge_docs):
     assert pii.redact(docs.limit(0)).isEmpty()
 
 
+def test_pii_learns_beside_a_large_group_of_copies(spark):
+    dice = np.random.default_rng(18)
+    texts = [f"call +1 ({dice.integers(200, 999)}) 555-{dice.integers(1000, 9999)} now; order {dice.integers(10**15, 10**16)} "
+             f"of v{i}.2.3 or 20{i % 90 + 10}.1.2.{i}" for i in range(60)]
+    docs = spark.createDataFrame([(t,) for t in texts + ["copied 1"] * 60_000], "text string")
+    assert len(pii.fit(docs, sample_docs=60)["features"])
+
+
 URLS = [
     "http://a.org/x", "http://ORG", "https://www.example.org/es/1?x#y", "https://m.example.org/en/12", "https://example.org/en/2",
     "http://x.com/fr/1", "http://x.com/de/1", "http://notorg/", "http://a.b.org?x/y", "ftp://casino.net/a", "http://mycasino.net/",

@@ -105,6 +105,18 @@ def test_language_edges(spark, edge_docs):
     assert all(r.found.lang == "und" for r in edge_docs.select(langid.identify(edge_docs, nothing).alias("found")).collect())
 
 
+def test_copies_take_one_place_in_the_sample(spark):
+    import xxhash
+
+    # in signed order of Spark's hash: the copied text comes first, the few texts of the second language last
+    order = sorted((f"some words {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)),
+                   key=lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64)))
+    rows = [(order[0], "aa")] * 40 + [(t, "aa") for t in order[1:40]] + [(t, "bb") for t in order[-3:]] * 200
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), per_language=10)
+    assert model["langs"] == ["aa", "bb"]
+    assert round(float(np.exp(model["idf"].max() - 1))) - 1 == 13  # ten and three texts
+
+
 def test_temperature_calibrates():
     dice = np.random.default_rng(2)
     truth = dice.integers(0, 2, 2000)

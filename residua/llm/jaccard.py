@@ -319,8 +319,10 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         pairs = _candidates(members, classes, comp, percent, nearest, tile)
         if pairs.isEmpty():
             break
-        links = links.unionByName(_verified(pairs, blocks, percent))
-        comp = _labels(links)
+        more = _verified(pairs, blocks, percent)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comp = _labels(links)
 
     labelled = classes.select("high", "low", "node", "first_id").join(comp, "node", "left").withColumn(
         "comp", F.coalesce("comp", "node"))

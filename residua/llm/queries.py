@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residua.llm import chat, decontaminate, langid, lm, packing, passages, pii, quality, simhash, sql, urls
+from residua.llm import chat, decontaminate, jaccard, langid, lm, negatives, packing, passages, pii, quality, ranking, simhash, sql, urls
 from residua.llm.texts import id_remainder
 from residua.plans.registry import table
 
@@ -107,3 +107,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
     return found.select("page_id", *[f"judged.{c}" for c in ("host", "path", "rule", "verdict")])
+
+
+@query("op11_ngram_jaccard_join", sql.JACCARD)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.similarity_components(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
+@query("op12_ranked_lexical_search", sql.RANKED)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_hard_negatives", sql.NEGATIVES)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", noisy), F.col("vec_id") % 100 == 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from residua.llm import decontaminate, quality, urls
+from residua.llm import decontaminate, jaccard, negatives, quality, ranking, urls
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANK = r"[ \t\n\x0B\x0C\r]"
@@ -106,3 +106,48 @@ WITH p AS (SELECT page_id, coalesce({lower("regexp_extract(url, '^.*?://([^/?#]*
 SELECT page_id, host, path, CASE {_sites()[0]}END AS rule,
     coalesce(CASE {_sites()[1]}END, CASE WHEN {_patterns()} THEN 'block' ELSE 'allow' END) AS verdict FROM p
 """
+
+JACCARD = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {space_words(lower("coalesce(text, '')"))} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[p:p + least({jaccard.SHINGLE}, len(w)) - 1], ' ') AS k
+    FROM (SELECT r, w, unnest(range(1, len(w) - least({jaccard.SHINGLE}, len(w)) + 2)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+pairs AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.k = b.k AND a.r <> b.r GROUP BY a.r, b.r),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n AS x ON x.r = a JOIN n AS y ON y.r = b
+    WHERE 100 * c >= {jaccard.PERCENT} * (x.n + y.n - c)),
+reach AS (SELECT r, r AS other FROM d UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.other),
+least_id AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.other GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN least_id USING (r) LEFT JOIN n USING (r)
+"""
+
+RANKED = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {plain_words('text')} AS w FROM documents),
+total AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d WHERE len(w) > 0),
+tf AS MATERIALIZED (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+weights AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight
+    FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), total),
+m AS (SELECT r, 10 + (90 * len(w) * docs) // words AS m FROM d, total WHERE len(w) > 0),
+items AS (SELECT row_number() OVER () AS q, item_id, {plain_words('text')} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+asked AS (SELECT DISTINCT q, unnest(w) AS t FROM items),
+scores AS (SELECT q, r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (t) JOIN tf USING (t) JOIN m USING (r) GROUP BY q, r),
+ranked AS (SELECT q, doc_id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+    FROM scores JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN items USING (q) WHERE rank <= {ranking.TOP}
+"""
+
+NEGATIVES = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({negatives.SCALE} * CAST(x AS DOUBLE))) AS x FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scores AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same,
+    CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {negatives.POSITIVES}),
+ranked AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+    FROM positives JOIN scores USING (anchor_id)
+    WHERE NOT same AND {negatives.LOW} * positive_score <= 100 * score AND 100 * score <= {negatives.HIGH} * positive_score)
+SELECT * FROM ranked WHERE rank <= {negatives.NEGATIVES}
+"""

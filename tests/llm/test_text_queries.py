@@ -20,7 +20,7 @@ TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 def test_every_operator_is_registered():
     names = set(__spark_entry__.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(bool(re.match(f"op{n}_", name)) for name in names) == 1
     assert "pipeline" in names and set(ORACLES) <= set(QUERIES)
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None

@@ -13,6 +13,7 @@ from residua.operators.neighbours import best_neighbours, top_overlap
 from residua.operators.search import owner_of_position
 from residua.operators.layout import range_slices, running_total
 from residua.operators.sequences import suffix_order, truncate_motifs
+from residua.operators.suffixes import suffix_ranks
 from residua.plans.registry import (
     kmers_sql, list_sql, pair_sum_sql, proteins, proteins_sql, query, residues_sql, table,
 )
@@ -258,6 +259,18 @@ def ordered_suffixes(spark, sf_dir):
     return rows.select("protein_id", F.col("pos").cast("long").alias("pos"), F.substring("suffix", 1, 10).alias("head"))
 
 
+@query("suffix_ranks")
+def ranked_suffixes(spark, sf_dir):
+    """The exact rank of each suffix of all documents; SQL would have to hold every suffix as a text."""
+    return suffix_ranks(proteins(spark, sf_dir))
+
+
+@query("item_suffix_ranks", f"""
+WITH {proteins_sql("benchmark", "item_id")}, s AS (SELECT protein_id AS item_id, unnest(range(0, length(seq))) AS pos, seq FROM proteins)
+SELECT item_id, pos, rank() OVER (ORDER BY substr(seq, CAST(pos + 1 AS INTEGER))) AS rank FROM s""")
+def item_suffix_ranks(spark, sf_dir):
+    return suffix_ranks(proteins(spark, sf_dir, "benchmark", "item_id")).withColumnRenamed("protein_id", "item_id")
+
 @query("weight_matrix", f"""
 WITH p AS (SELECT doc_id AS protein_id, lang, {residues_sql()} AS seq FROM documents),
 k AS (SELECT lang, substr(seq, CAST(i AS INTEGER), 8) AS kmer FROM

@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, functions as F
 from residua.functions.hashing import LshFamily, lsh_keys
 from residua.functions.vectors import row_distance
 from residua.operators.groups import centroids
-from residua.operators.layout import join_split_hot, split_hot
+from residua.operators.layout import join_split_hot
 from residua.session import cut_lineage
 
 # points one task may hold of one bucket
 CHUNK = 2_000
+# points of each side of a pair of blocks of a larger bucket, and how many of them are compared at once
+SIDE = 4_000
+STRIP = 512
 
 
 def _first_matches(pdf: pd.DataFrame, radius_sq: float) -> tuple[np.ndarray, np.ndarray]:
@@ -61,52 +64,90 @@ def _settle(bounded: DataFrame, radius: float) -> DataFrame:
     return packed.groupBy("_pack").applyInPandas(_leader_pass(radius * radius), "id long, leader long")
 
 
-def _absorb(points: DataFrame, leaders: DataFrame, radius: float) -> DataFrame:
-    """(id, leader) for points within the radius of a leader of their bucket, lowest leader id."""
-    left, right = split_hot(
-        points.select("bucket", "id", "point"),
-        leaders.select("bucket", F.col("id").alias("leader"), F.col("point").alias("_lp")),
-        ["bucket"], ["id"], min_rows=CHUNK,
-    )
-    met = left.join(right, ["bucket", "_salt"]).filter(row_distance(F.col("point"), F.col("_lp")) <= radius)
-    return met.groupBy("id").agg(F.min("leader").alias("leader"))
+def _first_rows(radius: float, earlier: bool):
+    """(id, first): the lowest id of a block within the radius of each point of another block."""
+
+    def run(points: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if len(points) == 0 or len(others) == 0:
+            return pd.DataFrame({"id": [], "first": []}).astype("int64")
+        others = others.sort_values("id")
+        ids, own = others["id"].to_numpy(), points["id"].to_numpy()
+        x, y = np.stack(points["point"].to_numpy()), np.stack(others["point"].to_numpy())
+        limit, ys = radius * radius, (y * y).sum(1)
+        first = np.full(len(own), -1, dtype=np.int64)
+        for at in range(0, len(own), STRIP):
+            part = x[at:at + STRIP]
+            xs = (part * part).sum(1)[:, None]
+            # the product form rounds differently: what lies near the border is measured exactly
+            square, margin = xs + ys - 2 * (part @ y.T), 1e-9 * (1 + xs + ys)
+            near = square <= limit - margin
+            if earlier:
+                allowed = ids[None, :] < own[at:at + STRIP, None]
+                near &= allowed
+            i, j = np.nonzero(np.abs(square - limit) < margin)
+            near[i, j] = ((part[i] - y[j]) ** 2).sum(1) <= limit
+            if earlier:
+                near &= allowed
+            place = near.argmax(1)
+            first[at:at + STRIP] = np.where(near[np.arange(len(place)), place], place, -1)
+        found = first >= 0
+        return pd.DataFrame({"id": own[found], "first": ids[first[found]]})
 
+    return run
 
-def _head_border(pending: DataFrame) -> DataFrame:
-    """Per bucket, an id below which about CHUNK of the pending points lie."""
-    halvings = list(range(1, 41))
-    stats = pending.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.max("id").alias("_max"),
-        F.percentile_approx("id", [0.5**h for h in halvings], F.lit(200_000)).alias("_cuts"),
-    )
-    h = F.least(F.ceil(F.log2(F.col("_n") / F.lit(float(CHUNK)))), F.lit(halvings[-1]))
-    border = F.when(F.col("_n") <= CHUNK, F.col("_max")).otherwise(F.element_at("_cuts", h.cast("int")))
-    return stats.select("bucket", border.alias("_border"))
+
+def _first_near(points: DataFrame, others: DataFrame, radius: float, earlier: bool = False) -> DataFrame:
+    """(id, first): for points with one of ``others`` of their bucket within the radius, the lowest id of those.
+
+    With ``earlier`` only lower ids count. Both sides of a bucket are cut into
+    blocks of bounded size; a pair of blocks is one task's matrix product, and a
+    point leaves it with one number.
+    """
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        counted = side.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
+        return counted.select("bucket", F.ceil(F.col("_n") / SIDE).cast("int").alias(name))
+
+    # new names, as both sides may be one table
+    others = others.select(*[F.col(c).alias(c) for c in ("bucket", "id", "point")])
+    shape = blocks(points, "_pn").join(blocks(others, "_on"), "bucket")
+    p = points.join(shape, "bucket").select(
+        "bucket", "id", "point", F.pmod(F.xxhash64("id"), F.col("_pn")).cast("int").alias("_pb"),
+        F.explode(F.sequence(F.lit(0), F.col("_on") - 1)).alias("_ob"))
+    o = others.join(shape, "bucket").select(
+        "bucket", "id", "point", F.explode(F.sequence(F.lit(0), F.col("_pn") - 1)).alias("_pb"),
+        F.pmod(F.xxhash64("id"), F.col("_on")).cast("int").alias("_ob"))
+    group = ["bucket", "_pb", "_ob"]
+    met = p.groupBy(*group).cogroup(o.groupBy(*group)).applyInPandas(_first_rows(radius, earlier), "id long, first long")
+    return met.groupBy("id").agg(F.min("first").alias("first"))
 
 
 def _large_buckets(live: DataFrame, radius: float) -> DataFrame:
     """The greedy pass for buckets beyond CHUNK points, (id, leader).
 
-    The order of the pass is kept: first the existing leaders take what lies
-    within the radius, then again and again the lowest ids left in each bucket
-    are settled among themselves and take their share of the rest. Every step is
-    a join or a bounded group; no bucket is ever held by one task.
+    The order of the pass is kept, but not its steps: existing leaders take what
+    lies within the radius. Of the rest, all points without an undecided earlier
+    neighbour become leaders at once, and their neighbours are decided too; the
+    leaders are the lexicographically first independent set, which is what the
+    pass one by one would choose. In the end each point joins its first leader.
+    Rounds grow with the longest chain of neighbours by falling id, not with the
+    number of points.
     """
-    leaders = live.filter("is_leader")
-    free = live.filter("NOT is_leader")
-    taken = cut_lineage(_absorb(free, leaders, radius))
-    pending = cut_lineage(free.join(taken.select("id"), "id", "left_anti"))
-    while not pending.isEmpty():
-        bordered = pending.join(_head_border(pending), "bucket")
-        head = bordered.filter("id <= _border").drop("_border")
-        rest = bordered.filter("id > _border").drop("_border")
-        inside = cut_lineage(_settle(head, radius))
-        centers = head.join(inside.select("id"), "id", "left_anti")
-        outside = cut_lineage(_absorb(rest, centers, radius))
-        taken = cut_lineage(taken.unionByName(inside).unionByName(outside))
-        pending = cut_lineage(rest.join(outside.select("id"), "id", "left_anti"))
-    return taken
+    leaders = live.filter("is_leader").select("bucket", "id", "point")
+    free = live.filter("NOT is_leader").select("bucket", "id", "point")
+    taken = cut_lineage(_first_near(free, leaders, radius))
+    open_points = cut_lineage(free.join(taken.select("id"), "id", "left_anti").select("bucket", "id", "point"))
+    waiting, chosen = open_points, None
+    while not waiting.isEmpty():
+        blocked = cut_lineage(_first_near(waiting, waiting, radius, earlier=True).select("id"))
+        roots = cut_lineage(waiting.join(blocked, "id", "left_anti").select("bucket", "id", "point"))
+        later = waiting.join(blocked, "id", "left_semi").select("bucket", "id", "point")
+        covered = cut_lineage(_first_near(later, roots, radius).select("id"))
+        chosen = roots if chosen is None else cut_lineage(chosen.unionByName(roots))
+        waiting = cut_lineage(later.join(covered, "id", "left_anti").select("bucket", "id", "point"))
+    if chosen is not None:
+        joined = _first_near(open_points.join(chosen.select("id"), "id", "left_anti").select("bucket", "id", "point"), chosen, radius)
+        taken = taken.unionByName(joined)
+    return taken.select("id", F.col("first").alias("leader"))
 
 
 def leader_clusters(points: DataFrame, radius: float, family: LshFamily) -> DataFrame:

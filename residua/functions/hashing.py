@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass
 
@@ -97,56 +98,121 @@ def lsh_keys(point: Column, family: LshFamily) -> Column:
     return keys(point.cast("array<double>"))
 
 
-def kmer_lsh_keys(kmer: Column, k: int, family: LshFamily, known: list[np.ndarray] | None = None) -> Column:
-    """Keys of a k-mer's point, from the letters.
-
-    With ``known`` sorted keys for each table the struct also says in ``met``
-    whether any of the k-mer's keys is among them.
+def _kmer_totals(k: int, family: LshFamily):
+    """A function from letters to the shifted projections of their points, [row, table * line].
 
     The projection of a k-mer point is a sum of one number per position and
-    residue, so k table look-ups replace a product over 8k coordinates and only
-    k bytes per row travel to the worker.
+    residue; two positions are looked up at once, so k / 2 look-ups replace a
+    product over 8k coordinates and only k bytes per row travel to the worker.
     """
     if family.dim != C.POINT_WIDTH * k:
         raise ValueError("the hash family must have 8 dimensions per residue")
-    tables, lines, width = family.tables, family.lines, family.width
     coordinates = np.array([C.COORDINATES[r] for r in C.RESIDUES])
     directions = family.directions().reshape(-1, k, C.POINT_WIDTH)
     # [position, residue, projection]
     parts = np.einsum("pkc,rc->krp", directions, coordinates)
+    pairs = [(parts[i][:, None, :] + parts[i + 1][None, :, :]).reshape(400, -1) for i in range(0, k - 1, 2)]
     b = family.offsets().reshape(-1)
     index = np.full(256, -1, dtype=np.int64)
     index[[ord(r) for r in C.RESIDUES]] = np.arange(20)
 
+    def totals(kmers: pd.Series) -> np.ndarray:
+        letters = np.frombuffer("".join(kmers).encode("ascii"), dtype=np.uint8).reshape(-1, k)
+        codes = index[letters]
+        out = np.tile(b, (len(codes), 1))
+        for i, table in enumerate(pairs):
+            out += table[codes[:, 2 * i] * 20 + codes[:, 2 * i + 1]]
+        if k % 2:
+            out += parts[k - 1][codes[:, k - 1]]
+        return out
+
+    return totals
+
+
+def kmer_lsh_keys(kmer: Column, k: int, family: LshFamily, known: list[np.ndarray] | None = None) -> Column:
+    """Keys of a k-mer's point, from the letters.
+
+    With ``known`` sorted keys for each table the struct also has ``met``: bit t
+    is set when the key of table t is among them.
+    """
+    tables, lines, width = family.tables, family.lines, family.width
+    totals = _kmer_totals(k, family)
     kind = _keys_type(tables)
     if known is not None:
-        kind = T.StructType([*kind.fields, T.StructField("met", T.BooleanType())])
+        kind = T.StructType([*kind.fields, T.StructField("met", T.IntegerType())])
 
     @F.pandas_udf(kind)
     def keys(kmers: pd.Series) -> pd.DataFrame:
-        letters = np.frombuffer("".join(kmers).encode("ascii"), dtype=np.uint8).reshape(-1, k)
-        codes = index[letters]
-        totals = np.tile(b, (len(codes), 1))
-        for position in range(k):
-            totals += parts[position][codes[:, position]]
-        frame = _keys_frame(totals, width, tables, lines)
+        frame = _keys_frame(totals(kmers), width, tables, lines)
         if known is not None:
-            frame["met"] = _any_known(frame.to_numpy(), known)
+            frame["met"] = _known_tables(frame.to_numpy(), known)
         return frame
 
     # the filter on ``met`` must not make the optimizer run the function twice
     return (keys if known is None else keys.asNondeterministic())(kmer)
 
 
-def _any_known(keys: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
-    met = np.zeros(len(keys), dtype=bool)
+def _known_tables(keys: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
+    met = np.zeros(len(keys), dtype=np.int32)
     for t, table in enumerate(known):
         if len(table):
             place = np.minimum(np.searchsorted(table, keys[:, t]), len(table) - 1)
-            met |= table[place] == keys[:, t]
+            met |= (table[place] == keys[:, t]).astype(np.int32) << t
     return met
 
 
+def probe_template(lines: int, probes: int) -> list[list[int]]:
+    """Sets of borders to cross, most promising first, as ranks of a point's 2 * lines borders by distance.
+
+    The expected squared distance of the border of each rank depends on the
+    number of lines alone, so all points share the sets (query-directed
+    multi-probe). A set never crosses both borders of one line: the ranks of
+    these mirror each other.
+    """
+    n = 2 * lines
+    scale = 4 * (lines + 1) * (lines + 2)
+    expected = [r * (r + 1) / scale if r <= lines else 1 - (n + 1 - r) / (lines + 1) + (n + 1 - r) * (n + 2 - r) / scale
+                for r in range(1, n + 1)]
+    out: list[list[int]] = [[]]
+    heap = [(expected[0], [0])]
+    while heap and len(out) < probes:
+        score, ranks = heapq.heappop(heap)
+        if not any(n - 1 - r in ranks for r in ranks):
+            out.append(ranks)
+        last = ranks[-1] + 1
+        if last < n:
+            heapq.heappush(heap, (score - expected[last - 1] + expected[last], [*ranks[:-1], last]))
+            heapq.heappush(heap, (score + expected[last], [*ranks, last]))
+    return out
+
+
+def probe_keys(totals: np.ndarray, family: LshFamily, probes: int) -> np.ndarray:
+    """Keys of the buckets to look into, [row, table, probe]: a point's own and those behind its nearest borders."""
+    scaled = (totals / family.width).reshape(len(totals), family.tables, family.lines)
+    own = np.floor(scaled)
+    borders = np.concatenate([scaled - own, own + 1 - scaled], axis=2)
+    order = np.argsort(borders, axis=2, kind="stable")
+    keys = []
+    for ranks in probe_template(family.lines, probes):
+        buckets = own.astype(np.int64)
+        for r in ranks:
+            line, step = order[:, :, r] % family.lines, np.where(order[:, :, r] < family.lines, -1, 1)
+            np.put_along_axis(buckets, line[:, :, None], np.take_along_axis(buckets, line[:, :, None], 2) + step[:, :, None], 2)
+        keys.append(_mix(buckets))
+    return np.stack(keys, axis=2)
+
+
+def kmer_probe_keys(kmer: Column, k: int, family: LshFamily, probes: int) -> Column:
+    """Array of tables * probes keys of a k-mer, table after table."""
+    totals = _kmer_totals(k, family)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def keys(kmers: pd.Series) -> pd.Series:
+        return pd.Series(list(probe_keys(totals(kmers), family, probes).reshape(len(kmers), -1)))
+
+    return keys(kmer)
+
+
 def collision_probability(distance: float, width: float) -> float:
     """Chance that one projection puts two points at ``distance`` into one bucket."""
     ratio = width / distance

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from residua import constants as C
-from residua.functions.hashing import LshFamily, keys_array, kmer_lsh_keys, lsh_keys
+from residua.functions.hashing import LshFamily, keys_array, kmer_lsh_keys, kmer_probe_keys, lsh_keys
 from residua.functions.vectors import kmer_codes, kmer_distance_sq, row_distance
 from residua.operators.layout import BROADCAST_BYTES, join_split_hot, small_enough, split_hot
 from residua.session import cut_lineage
@@ -74,27 +74,42 @@ def _kmer_hits(kmers: DataFrame, centers: DataFrame, k: int, radius: float, key_
     return hits.groupBy("center", "kmer").agg(F.first("distance").alias("distance"))
 
 
-def kmer_radius_lsh(centers: DataFrame, kmers: DataFrame, k: int, radius: float,
-                    family: LshFamily) -> DataFrame:
-    """(center, kmer, distance) for distinct k-mers found by LSH within the radius.
+# bytes that one key of a centre takes in the sorted lists sent to the k-mers
+_KEY_BYTES = 24
 
-    A subset of :func:`kmer_radius_exact` with equal distances.
-    """
-    c = cut_lineage(_keyed(
-        _coded_centers(centers).withColumn("_ckeys", kmer_lsh_keys(F.col("center"), k, family)), "_ckeys", family.tables))
-    known = None
-    if small_enough(c, 200 + 12 * k):  # then so are their keys, and k-mers without one of them stay in the worker
-        known = c.select("_table", "_key").distinct().toArrow()
-        known = [np.sort(known.column("_key").to_numpy()[known.column("_table").to_numpy() == t]) for t in range(family.tables)]
 
-    def keyed(points: DataFrame) -> DataFrame:
-        marked = points.withColumn("_pkeys", kmer_lsh_keys(F.col("kmer"), k, family, known))
-        if known is not None:
-            marked = marked.filter(F.col("_pkeys.met"))
-        return _keyed(marked, "_pkeys", family.tables)
+def kmer_radius_lsh(centers: DataFrame, kmers: DataFrame, k: int, radius: float, family: LshFamily,
+                    probes: int = 24) -> DataFrame:
+    """(center, kmer, distance) for distinct k-mers found by multi-probe LSH within the radius.
 
-    before = _met_before("_pkeys", "_ckeys", family.tables)
-    return _kmer_hits(kmers, c, k, radius, keyed, before)
+    A subset of :func:`kmer_radius_exact` with equal distances. A k-mer has one
+    bucket in each table; a centre looks into its own and into those behind its
+    nearest borders, ``probes`` in all, so few tables of narrow buckets suffice.
+    While the centres' keys pass the broadcast bound, k-mers are hashed where
+    they are read and only those whose bucket a centre looks into are shuffled;
+    beyond it the distinct k-mers are.
+    """
+    looked = F.posexplode(kmer_probe_keys(F.col("center"), k, family, probes)).alias("_probe", "_key")
+    c = _coded_centers(centers).select("center", "_cc", looked)
+    c = cut_lineage(c.withColumn("_table", F.floor(F.col("_probe") / probes).cast("int")).drop("_probe"))
+    known = None
+    if small_enough(c, _KEY_BYTES):
+        pairs = c.select("_table", "_key").distinct().toArrow()
+        table, key = pairs.column("_table").to_numpy(), pairs.column("_key").to_numpy()
+        known = [np.sort(key[table == t]) for t in range(family.tables)]
+    points = kmers.select("kmer") if known is not None else distinct_kmers(kmers)
+    points = points.withColumn("_pkeys", kmer_lsh_keys(F.col("kmer"), k, family, known))
+    if known is not None:
+        points = points.filter(F.col("_pkeys.met") > 0)
+    keyed = _keyed(points, "_pkeys", family.tables)
+    if known is not None:
+        keyed = keyed.filter(F.getbit(F.col("_pkeys.met"), F.col("_table")) == 1)
+        keyed = cut_lineage(keyed.select("kmer", "_table", "_key").distinct())
+    met = _pair_up(keyed.select("kmer", "_table", "_key"), c, small_enough(c, 200 + 12 * k), "kmer")
+    d = F.sqrt(kmer_distance_sq(F.col("_cc"), kmer_codes(F.col("kmer")), k))
+    hits = met.select("center", "kmer", d.alias("distance")).filter(F.col("distance") <= radius)
+    # a pair that meets in several tables counts once
+    return hits.groupBy("center", "kmer").agg(F.first("distance").alias("distance"))
 
 
 def _blocks(k: int, m: int) -> list[tuple[int, int]]:
@@ -215,23 +230,69 @@ def radius_lsh(centers: DataFrame, points: DataFrame, radius: float, family: Lsh
 BLOCK_ROWS = 8_000
 
 
-def _bands(point: Column, dim: int, radius: float) -> list[Column]:
-    """Cells of width ``radius`` along two orthogonal unit directions.
+# pivots of the metric cells, and the points they are chosen from
+PIVOTS = 256
+PIVOT_SAMPLE = 4_096
+# points whose distances to the pivot are near each other and that are compared in one product
+_RING = 256
 
-    A projection never lengthens a distance, so points within the radius lie in
-    the same cell or in neighbouring ones.
-    """
-    norm = math.sqrt(dim)
-    zero = F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("o"))
-    numbered = F.transform(point, lambda x, i: F.struct(x.alias("x"), (i % 2).alias("odd")))
-    halves = F.aggregate(
-        numbered, zero,
-        lambda s, v: F.struct((s["e"] + F.when(v["odd"] == 0, v["x"]).otherwise(0.0)).alias("e"),
-                              (s["o"] + F.when(v["odd"] == 1, v["x"]).otherwise(0.0)).alias("o")),
-        lambda s: F.struct(F.floor((s["e"] + s["o"]) / norm / radius).alias("x"),
-                           F.floor((s["e"] - s["o"]) / norm / radius).alias("y")),
-    )
-    return [halves["x"], halves["y"]]
+
+def choose_pivots(points: DataFrame, count: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> np.ndarray:
+    """Some points far from each other, out of a bounded sample; they decide how fast a search is, not what it finds."""
+    rows = points.count()
+    bound = min((1 << 63) - 1, -(1 << 63) + ((sample << 64) // max(1, rows)))
+    kept = points.filter(F.xxhash64("point") <= bound).select("point").limit(4 * sample).toArrow()
+    some = np.unique(np.array(kept.column("point").to_pylist(), dtype=float).reshape(kept.num_rows, -1), axis=0)
+    if not len(some):
+        some = np.array([points.first().point], dtype=float)
+    chosen = some[[0]]
+    near = ((some - chosen[0]) ** 2).sum(1)
+    while len(chosen) < count and near.max() > 0:
+        chosen = np.vstack([chosen, some[near.argmax()]])
+        near = np.minimum(near, ((some - chosen[-1]) ** 2).sum(1))
+    return chosen
+
+
+def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    square = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * (x @ pivots.T)
+    return np.sqrt(np.maximum(square, 0))
+
+
+# how far a distance from a matrix product may be off, as a share of the lengths involved
+_ROUNDING = 1e-6
+
+
+def _cell_of(pivots):
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                d = _to_pivots(np.stack(pdf["point"].to_numpy()), pivots.value)
+                pdf["_cell"] = d.argmin(1).astype("int32")
+                pdf["_far"] = d[np.arange(len(d)), d.argmin(1)]
+                yield pdf
+
+    return place
+
+
+def _cells_near(pivots, reach, radius: float):
+    """The cells that may hold points within the radius of each centre."""
+
+    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nearest, farthest = reach.value
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                pdf = whole.iloc[at:at + 1024]
+                x = np.stack(pdf["center"].to_numpy())
+                d = _to_pivots(x, pivots.value)
+                slack = radius + _ROUNDING * (1 + np.sqrt((x * x).sum(1)))[:, None] + _ROUNDING * np.maximum(farthest, 0)
+                # d(centre, pivot) and d(point, pivot) differ by no more than d(centre, point), and no pivot is
+                # nearer to a point of the cell than the cell's own
+                fits = (d - slack <= farthest) & (d + slack >= nearest) & (d <= d.min(1)[:, None] + 2 * slack)
+                i, j = np.nonzero(fits)
+                yield pd.DataFrame({"center_id": pdf["center_id"].to_numpy()[i], "center": pdf["center"].to_numpy()[i],
+                                    "_cell": j.astype("int32"), "_far": d[i, j]})
+
+    return enter
 
 
 def _block_hits(radius: float):
@@ -242,11 +303,20 @@ def _block_hits(radius: float):
             {"center_id": "int64", "point_id": "int64"})
         if len(points) == 0 or len(centers) == 0:
             return none
+        ringed = "_far" in points
+        if ringed:
+            points, centers = points.sort_values("_far"), centers.sort_values("_far")
         x, y = np.stack(points["point"].to_numpy()), np.stack(centers["center"].to_numpy())
         parts = [none]
-        for at in range(0, len(x), 1024):
-            for by in range(0, len(y), BLOCK_ROWS):
-                i, j, d = _near_pairs(x[at:at + 1024], y[by:by + BLOCK_ROWS], radius)
+        step = _RING if ringed else 1024
+        for at in range(0, len(x), step):
+            low, high = 0, len(y)
+            if ringed:
+                far, own = centers["_far"].to_numpy(), points["_far"].to_numpy()[at:at + step]
+                slack = radius + _ROUNDING * (1 + own[-1] + far[-1] + np.abs(x[at:at + step]).max() * x.shape[1])
+                low, high = np.searchsorted(far, own[0] - slack), np.searchsorted(far, own[-1] + slack, "right")
+            for by in range(low, high, BLOCK_ROWS):
+                i, j, d = _near_pairs(x[at:at + step], y[by:min(high, by + BLOCK_ROWS)], radius)
                 parts.append(pd.DataFrame({
                     "center_id": centers["center_id"].to_numpy()[by + j],
                     "point_id": points["point_id"].to_numpy()[at + i], "distance": d,
@@ -288,41 +358,50 @@ def radius_exact(centers: DataFrame, points: DataFrame, dim: int, radius: float,
     """All (center_id, point_id, distance) within the radius.
 
     Centres that pass the broadcast bound are sent to the points, which are then
-    not shuffled. Otherwise centres are entered into the nine cells around their
-    own; a point meets a centre in exactly one cell. A cell's points and centres are cut into blocks
-    of bounded size and every pair of blocks is one matrix product in its own
-    group, so a cell that holds most of the data is spread over many tasks.
+    not shuffled. Otherwise each point belongs to the cell of its nearest pivot,
+    and a centre is entered into the cells that the triangle inequality leaves:
+    those whose span of distances to the pivot comes within the radius of its own
+    distance. A cell's points and centres are cut into blocks of bounded size, so
+    a cell that holds most of the data is spread over many tasks; inside a pair
+    of blocks only rings of like distance to the pivot are compared.
     """
+    spark = points.sparkSession
     centers = centers.select(F.col("center_id").cast("long").alias("center_id"),
                              F.col("center").cast("array<double>").alias("center"))
+    points = points.select("point_id", F.col("point").cast("array<double>").alias("point"))
     most = BROADCAST_BYTES // (64 + 8 * dim) if sent_rows is None else sent_rows
     held = centers.limit(most + 1).toArrow()
     if held.num_rows <= most:
         return _near_sent_centers(points, held, radius)
-    near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    c1, c2 = _bands(F.col("center"), dim, radius)
-    c = centers.select("center_id", "center", c1.alias("_x"), c2.alias("_y"))
-    c = c.withColumn("_dx", near).withColumn("_dy", near)
-    c = c.select("center_id", "center", (F.col("_x") + F.col("_dx")).alias("_x"),
-                 (F.col("_y") + F.col("_dy")).alias("_y"))
-    p1, p2 = _bands(F.col("point"), dim, radius)
-    p = points.select("point_id", F.col("point").cast("array<double>").alias("point"),
-                      p1.alias("_x"), p2.alias("_y"))
-    cell = ["_x", "_y"]
+    none = points.select(F.lit(0).cast("long").alias("center_id"), F.col("point_id").cast("long").alias("point_id"),
+                         F.lit(0.0).alias("distance")).limit(0)
+    if points.isEmpty():
+        return none
+    pivots = spark.sparkContext.broadcast(choose_pivots(points))
+    placed = cut_lineage(points.mapInPandas(_cell_of(pivots), "point_id long, point array<double>, _cell int, _far double"))
+    # one row for each pivot
+    spans = placed.groupBy("_cell").agg(F.min("_far").alias("near"), F.max("_far").alias("far"), F.count("_far").alias("n")).collect()
+    nearest, farthest = np.full(len(pivots.value), np.inf), np.full(len(pivots.value), -np.inf)
+    for r in spans:
+        nearest[r["_cell"]], farthest[r["_cell"]] = r["near"], r["far"]
+    farthest = np.where(np.isfinite(farthest), farthest, -1e300)
+    reach = spark.sparkContext.broadcast((nearest, farthest))
+    entered = cut_lineage(centers.mapInPandas(
+        _cells_near(pivots, reach, radius), "center_id long, center array<double>, _cell int, _far double"))
 
     def blocks(side: DataFrame, name: str) -> DataFrame:
-        counted = side.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-        return counted.select(*cell, F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias(name))
+        counted = side.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+        return counted.select("_cell", F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias(name))
 
-    # cells without points or without centres drop out here
-    shape = blocks(p, "_pn").join(blocks(c, "_cn"), cell)
-    p = p.join(shape, cell).select(
-        "point_id", "point", *cell, F.pmod(F.xxhash64("point_id"), F.col("_pn")).cast("int").alias("_pb"),
+    # at most as many rows as there are pivots; cells without points or without centres drop out here
+    shape = F.broadcast(blocks(placed, "_pn").join(blocks(entered, "_cn"), "_cell"))
+    p = placed.join(shape, "_cell").select(
+        "point_id", "point", "_far", "_cell", F.pmod(F.xxhash64("point_id"), F.col("_pn")).cast("int").alias("_pb"),
         F.explode(F.sequence(F.lit(0), F.col("_cn") - 1)).alias("_cb"))
-    c = c.join(shape, cell).select(
-        "center_id", "center", *cell, F.explode(F.sequence(F.lit(0), F.col("_pn") - 1)).alias("_pb"),
+    c = entered.join(shape, "_cell").select(
+        "center_id", "center", "_far", "_cell", F.explode(F.sequence(F.lit(0), F.col("_pn") - 1)).alias("_pb"),
         F.pmod(F.xxhash64("center_id"), F.col("_cn")).cast("int").alias("_cb"))
-    group = [*cell, "_pb", "_cb"]
+    group = ["_cell", "_pb", "_cb"]
     return p.groupBy(*group).cogroup(c.groupBy(*group)).applyInPandas(
         _block_hits(radius), "center_id long, point_id long, distance double")
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from residua import constants as C
-from residua.functions.hashing import LshFamily, line_bucket
+from residua.functions.hashing import LshFamily, line_bucket, probe_template
 from residua.functions.vectors import dot
 from residua.operators import evaluate as E, groups as G, kmers as K, search as S
 from residua.plans.registry import (
@@ -17,7 +17,8 @@ RADIUS = 0.98
 LSH = LshFamily(dim=64, lines=4, tables=6, width=2.0)
 KMER_K = 10
 KMER_RADIUS = 5.0
-KMER_LSH = LshFamily(dim=8 * KMER_K, lines=6, tables=4, width=24.0)
+KMER_LSH = LshFamily(dim=8 * KMER_K, lines=16, tables=2, width=40.0)
+KMER_PROBES = 24
 
 
 def _centers(spark, sf_dir):
@@ -233,31 +234,44 @@ def _kmer_parts_sql() -> str:
     return f"parts AS (SELECT {lists})"
 
 
-def _kmer_keys_sql(source: str, col: str, name: str) -> str:
+def _kmer_lists_sql(source: str, col: str) -> str:
+    """For each k-mer a list per table: its projections in units of the width."""
     b = KMER_LSH.offsets().reshape(-1)
-    sums = ", ".join(
-        f"CAST(floor(({' + '.join(f'v{j}[c{i}]' for i in range(KMER_K))} + {float(b[j])!r}) / {KMER_LSH.width!r}) AS BIGINT) AS h{j}"
-        for j in range(len(b)))
+    sums = [f"({' + '.join(f'v{j}[c{i}]' for i in range(KMER_K))} + {float(b[j])!r}) / {KMER_LSH.width!r}" for j in range(len(b))]
+    n = KMER_LSH.lines
+    lists = ", ".join(f"[{', '.join(sums[t * n:t * n + n])}] AS x{t}" for t in range(KMER_LSH.tables))
     codes = ", ".join(
         f"{20 * i} + strpos('{C.RESIDUES}', substr({col}, {i + 1}, 1)) AS c{i}" for i in range(KMER_K))
-    return f"{name} AS MATERIALIZED (SELECT {col}, {sums} FROM (SELECT {col}, {codes} FROM {source}) x, parts)"
+    return f"SELECT {col}, {lists} FROM (SELECT {col}, {codes} FROM {source}) s, parts"
+
+
+def _kmer_keys_sql() -> str:
+    """Buckets of the k-mers; those a centre looks into, by the ranks of its borders."""
+    n, tables = KMER_LSH.lines, range(KMER_LSH.tables)
+    floors = ", ".join(f"list_transform(x{t}, lambda v: CAST(floor(v) AS SMALLINT)) AS k{t}" for t in tables)
+    sides = " UNION ALL ".join(f"SELECT center, {t} AS t, x{t} AS x FROM cx" for t in tables)
+    ranks = ", ".join(f"[{', '.join(str(r + 1) for r in s)}]::INTEGER[]" for s in probe_template(n, KMER_PROBES))
+    border = lambda d, s: f"list_transform(range(1, {n + 1}), lambda j: struct_pack(d := {d}, j := j, s := {s}))"
+    return (f"ph AS MATERIALIZED (SELECT kmer, {floors} FROM ({_kmer_lists_sql('p', 'kmer')})), "
+            f"cx AS MATERIALIZED ({_kmer_lists_sql('c', 'center')}), "
+            f"cz AS (SELECT *, list_sort(list_concat({border('x[j] - floor(x[j])', -1)}, {border('floor(x[j]) + 1 - x[j]', 1)})) AS z FROM ({sides})), "
+            f"ch AS MATERIALIZED (SELECT center, t, list_transform(range(1, {n + 1}), lambda j: CAST(floor(x[j]) + coalesce(list_sum("
+            f"list_transform(list_filter(ranks, lambda r: z[r].j = j), lambda r: z[r].s)), 0) AS SMALLINT)) AS k "
+            f"FROM cz, (SELECT unnest([{ranks}]) AS ranks))")
 
 
 def _kmer_met_sql() -> str:
-    unions = []
-    for t in range(KMER_LSH.tables):
-        on = " AND ".join(f"a.h{t * KMER_LSH.lines + j} = b.h{t * KMER_LSH.lines + j}" for j in range(KMER_LSH.lines))
-        unions.append(f"SELECT center, kmer FROM ch a JOIN ph b ON {on}")
+    unions = [f"SELECT center, kmer FROM ch JOIN ph ON t = {t} AND k = k{t}" for t in range(KMER_LSH.tables)]
     return "met AS (" + " UNION ".join(unions) + ")"
 
 
 @query("kmer_radius_lsh", f"""
-WITH {_kmer_sides_sql()}, {_CELLS}, {_kmer_parts_sql()}, {_kmer_keys_sql('c', 'center', 'ch')}, {_kmer_keys_sql('p', 'kmer', 'ph')},
+WITH {_kmer_sides_sql()}, {_CELLS}, {_kmer_parts_sql()}, {_kmer_keys_sql()},
 {_kmer_met_sql()}, d AS (SELECT center, kmer, {_square_sql('center', 'kmer')} AS sq FROM met, cells)
 SELECT center, kmer, round(sqrt(sq), 6) AS distance FROM d WHERE sq <= {KMER_RADIUS ** 2}""")
 def kmer_radius_lsh(spark, sf_dir):
     probes, database = _kmer_sides(spark, sf_dir)
-    hits = S.kmer_radius_lsh(probes, database, KMER_K, KMER_RADIUS, KMER_LSH)
+    hits = S.kmer_radius_lsh(probes, database, KMER_K, KMER_RADIUS, KMER_LSH, KMER_PROBES)
     return hits.withColumn("distance", F.round("distance", 6))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from residua import constants as C
 from residua.functions.scoring import recall_weight, recall_weight_linear
 
 
@@ -15,10 +16,14 @@ def match_truth(truth: DataFrame, found: DataFrame, keys: tuple[str, str] = ("mo
     ).drop("_found")
 
 
-def weighted_recall(matched: DataFrame, radius: float, linear: bool = False) -> DataFrame:
-    """Weights of found and missed pairs, their ratio, and the number missed."""
+def weighted_recall(matched: DataFrame, radius: float, linear: bool = False,
+                    flat: float = C.RECALL_FLAT_DISTANCE) -> DataFrame:
+    """Weights of found and missed pairs, their ratio, and the number missed.
+
+    The weight falls with the distance: linearly, or beyond ``flat`` as the reciprocal of the excess.
+    """
     d = F.col("distance")
-    weight = recall_weight_linear(d) if linear else recall_weight(d, radius)
+    weight = recall_weight_linear(d) if linear else recall_weight(d, radius, flat)
     sums = matched.withColumn("_w", weight).agg(
         F.coalesce(F.sum(F.when(F.col("hit"), F.col("_w"))), F.lit(0.0)).alias("tp"),
         F.coalesce(F.sum(F.when(~F.col("hit"), F.col("_w"))), F.lit(0.0)).alias("fn"),

@@ -9,7 +9,7 @@ from residua.functions import vectors as V
 from residua.functions.alphabet import octet_code, octet_digits, reduce_sequence, representative_sequence, seed_number
 from residua.functions.hashing import KernelFamily
 from residua.operators import groups as G, kmers as K
-from residua.operators.neighbours import best_neighbours, top_overlap
+from residua.operators.neighbours import best_neighbours, neighbour_overlaps, top_overlap
 from residua.operators.search import owner_of_position
 from residua.operators.layout import range_slices, running_total
 from residua.operators.sequences import suffix_order, truncate_motifs
@@ -17,6 +17,7 @@ from residua.operators.suffixes import suffix_ranks
 from residua.plans.registry import (
     kmers_sql, list_sql, pair_sum_sql, proteins, proteins_sql, query, residues_sql, table,
 )
+from residua.session import cut_lineage
 from residua.sources.motifs import first_blocks
 
 KERNEL = KernelFamily()
@@ -344,6 +345,36 @@ def neighbour_overlap(spark, sf_dir):
     return rows.select(F.col("top").cast("long").alias("top"), F.round("overlap", 9).alias("overlap"), "n_seeds")
 
 
+@query("neighbours_of_three", f"""
+WITH {proteins_sql()}, {kmers_sql(3)}, seeds AS (SELECT DISTINCT kmer FROM kmers),
+letters AS (SELECT unnest(string_split('{C.RESIDUES}', '')) AS l), cand AS (SELECT a.l || b.l || c.l AS neighbour FROM letters a, letters b, letters c),
+scored AS (SELECT kmer, neighbour, {pair_sum_sql('kmer', 'neighbour', C.BLOSUM62, 3)} AS score FROM seeds, cand)
+SELECT kmer, neighbour, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY kmer ORDER BY score DESC, neighbour) AS place
+FROM scored QUALIFY place <= 50""")
+def neighbours_of_three(spark, sf_dir):
+    return best_neighbours(K.explode_kmers(proteins(spark, sf_dir), 3), 50)
+
+
+# list lengths of the study of similar against near k-mers
+OVERLAP_TOPS = [1, 5, 10, 20, 30, 50, 80, 100, 150, 200, 300, 500, 1000]
+
+
+def _item_overlaps(spark, sf_dir, k):
+    found = neighbour_overlaps(K.explode_kmers(proteins(spark, sf_dir, "benchmark", "item_id"), k), OVERLAP_TOPS)
+    return found.withColumn("overlap", F.round("overlap", 9))
+
+
+@query("neighbour_overlap_six")
+def neighbour_overlap_six(spark, sf_dir):
+    """Lists up to 1,000 of all 6-mers of the items; SQL would have to score 64 million candidates for each."""
+    return _item_overlaps(spark, sf_dir, 6)
+
+
+@query("neighbour_overlap_ten")
+def neighbour_overlap_ten(spark, sf_dir):
+    return _item_overlaps(spark, sf_dir, 10)
+
+
 @query("position_owner", f"""
 WITH {proteins_sql()}, spans AS (
   SELECT protein_id, length(seq) AS length, sum(length(seq)) OVER (ORDER BY protein_id) - length(seq) AS start FROM proteins),
@@ -351,10 +382,11 @@ total AS (SELECT sum(length(seq)) AS n FROM proteins),
 positions AS (SELECT event_id, CAST((event_id * 7919) % (SELECT n FROM total) AS BIGINT) AS pos FROM events)
 SELECT event_id, pos, protein_id, CAST(pos - start AS BIGINT) AS at FROM positions JOIN spans ON pos >= start AND pos < start + length""")
 def position_owner(spark, sf_dir):
-    lengths = proteins(spark, sf_dir).select("protein_id", F.length("seq").cast("long").alias("length"))
+    # read by the quantiles, both passes of the running total and the sum
+    lengths = cut_lineage(proteins(spark, sf_dir).select("protein_id", F.length("seq").cast("long").alias("length")))
     sliced = lengths.withColumn("_slice", range_slices(lengths, "protein_id"))
-    spans = running_total(sliced, "_slice", ["protein_id"], "length", "_end").select(
-        "protein_id", "length", (F.col("_end") - F.col("length")).alias("start"))
+    spans = cut_lineage(running_total(sliced, "_slice", ["protein_id"], "length", "_end").select(
+        "protein_id", "length", (F.col("_end") - F.col("length")).alias("start")))
     total = lengths.agg(F.sum("length")).scalar()
     positions = table(spark, sf_dir, "events").select(
         "event_id", F.pmod(F.col("event_id") * 7919, total).alias("pos"))

@@ -121,6 +121,21 @@ def lsh_recall(spark, sf_dir):
     return rows.withColumns({c: F.round(c, 6) for c in ("tp", "fn", "recall")})
 
 
+# units of the recall query in which the reciprocal weight is not flat
+_RECIPROCAL_UNIT = 40.0
+
+
+@query("reciprocal_recall", f"""
+WITH {_TRUTH_SQL}, w AS (SELECT hit, CASE WHEN d <= {C.RECALL_FLAT_DISTANCE!r} THEN 1 ELSE least(1, 1 / (d - {C.RECALL_FLAT_DISTANCE!r})) END AS w
+  FROM (SELECT hit, distance * {_RECIPROCAL_UNIT!r} AS d FROM matched)),
+s AS (SELECT COALESCE(sum(w) FILTER (hit), 0) AS tp, COALESCE(sum(w) FILTER (NOT hit), 0) AS fn,
+      count(*) FILTER (NOT hit) AS n_missed, count(*) AS n_truth FROM w)
+SELECT round(tp, 6) AS tp, round(fn, 6) AS fn, n_missed, n_truth, round(tp / (tp + fn), 6) AS recall FROM s""")
+def reciprocal_recall(spark, sf_dir):
+    matched = E.match_truth(*_truth_and_found(spark, sf_dir), keys=_PAIR)
+    rows = E.weighted_recall(matched.withColumn("distance", F.col("distance") * _RECIPROCAL_UNIT), RADIUS * _RECIPROCAL_UNIT)
+    return rows.withColumns({c: F.round(c, 6) for c in ("tp", "fn", "recall")})
+
 @query("recall_by_bin", f"""
 WITH {_TRUTH_SQL}, b AS (SELECT CAST(floor(distance * 500) AS BIGINT) AS bin, hit FROM matched)
 SELECT bin, round(count(*) FILTER (hit) / count(*), 9) AS ratio, count(*) FILTER (hit) AS tp, count(*) FILTER (NOT hit) AS fn

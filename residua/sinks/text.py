@@ -146,8 +146,10 @@ def m8_commented_lines(rows: DataFrame) -> DataFrame:
     return _under_headers(counts.select("query", header.alias("value")), body, "query", "rank")
 
 
-def alignment_lines(hits: DataFrame, most: int = C.MAX_ALIGNMENTS) -> DataFrame:
-    """Query, midline and subject of each query's best hits."""
+def alignment_lines(hits: DataFrame, most: int | None = None) -> DataFrame:
+    """Query, midline and subject of each hit; of each query's ``most`` best ones if given."""
+    if most is not None:
+        hits = hits.filter(F.col("rank") <= most)
     title = F.format_string(
         "%s vs %s bits=%s E-value=%s identity=%s%% aln-len=%d mismatch=%d gap-openings=%d",
         "query", "subject", F.col("bits").cast("string"), F.col("evalue").cast("string"),
@@ -155,7 +157,7 @@ def alignment_lines(hits: DataFrame, most: int = C.MAX_ALIGNMENTS) -> DataFrame:
     )
     text = F.concat(title, F.lit("\nQuery:\t"), "q_text", F.lit("\n      \t"), "midline",
                     F.lit("\nSbjct:\t"), "t_text", F.lit("\n"))
-    return hits.filter(F.col("rank") <= most).select("*", text.alias("value"))
+    return hits.select("*", text.alias("value"))
 
 
 def stockholm_lines(entries: DataFrame, rows: DataFrame) -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from residua.operators.layout import small_enough
 
@@ -54,20 +59,48 @@ def number_lines(lines: DataFrame, name: str = "line_no", trim_end: bool = False
         "_own", "_first", "_n", "_before", "_in")
 
 
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line with the latest mark of its split at or above it; lines of a split come in order."""
+    last, split = None, None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        marks = batch.column("_mark")
+        files, starts = batch.column("_file"), batch.column("_start")
+        new = np.ones(n, dtype=bool)
+        new[1:] = (pc.not_equal(files[1:], files[:-1]).to_numpy(zero_copy_only=False)
+                   | pc.not_equal(starts[1:], starts[:-1]).to_numpy(zero_copy_only=False))
+        new[0] = (files[0].as_py(), starts[0].as_py()) != split
+        split = (files[n - 1].as_py(), starts[n - 1].as_py())
+        held = pa.concat_arrays([pa.nulls(1, marks.type) if last is None else last, marks])
+        # place 0 is what the batch before left, and counts up to the first new split
+        at = np.arange(1, n + 1)
+        found = np.maximum.accumulate(np.where(pc.is_valid(marks).to_numpy(zero_copy_only=False), at, 0))
+        begin = np.maximum.accumulate(np.where(new, at, 0))
+        filled = held.take(pa.array(found, mask=(found < begin) & (begin > 0)))
+        last = filled.slice(n - 1, 1)
+        yield pa.RecordBatch.from_arrays([*batch.columns, filled], names=[*batch.schema.names, "_inside"])
+
+
 def fill_down(lines: DataFrame, value: Column, name: str) -> DataFrame:
     """The latest non-NULL ``value`` at or above each line of its file.
 
-    A window fills each file split, whose size is bounded; lines above a split's
-    first value take the last one of the splits before.
+    Lines are filled where they are read, as a task reads a split in order; lines
+    above a split's first value take the last one of the splits before, from a
+    table with one row per split. The lines themselves are not shuffled, as long
+    as that table passes the broadcast bound.
     """
     marked = lines.withColumn("_mark", value)
-    inside = W.partitionBy(*_SPLIT).orderBy("_mid").rowsBetween(W.unboundedPreceding, 0)
-    filled = marked.withColumn("_inside", F.last("_mark", True).over(inside))
+    kind = T.StructType([*marked.schema.fields, T.StructField("_inside", marked.schema["_mark"].dataType)])
+    filled = marked.mapInArrow(_filled, kind)
     ends = marked.groupBy(*_SPLIT).agg(
         F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("_mid"))).alias("_end")
     )
     before = W.partitionBy("_file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select(*_SPLIT, F.last("_end", True).over(before).alias("_carried"))
+    if small_enough(carried, 1_000):
+        carried = F.broadcast(carried)
     return filled.join(carried, _SPLIT).withColumn(
         name, F.coalesce("_inside", "_carried")
     ).drop("_mark", "_inside", "_carried")

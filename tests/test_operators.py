@@ -331,3 +331,27 @@ def test_hot_keys_get_salts_by_size(spark):
 def test_peptides_in_order(spark):
     rows = [(2, "MK"), (1, "MK"), (3, "AC"), (4, "")]
     assert [r.protein_id for r in SQ.sort_peptides(spark.createDataFrame(rows, "protein_id long, seq string")).collect()] == [4, 3, 1, 2]
+
+
+def test_neighbour_lists_share_segments(spark):
+    rng = random.Random(14)
+    seeds = ["".join(rng.choice(C.RESIDUES) for _ in range(k)) for k in (1, 2, 5, 6, 6, 10, 10, 13)]
+    seeds += [seeds[5][:5] + seeds[6][5:], "", seeds[3]]
+    df = spark.createDataFrame([(s,) for s in seeds], "kmer string")
+    for by in ("similarity", "distance"):
+        sign, table = N._costs(by)
+        rows = N.best_neighbours(df, 300, by).collect()
+        for seed in set(seeds) - {""}:
+            costs, texts = N._fold(table, np.array([C.RESIDUES.index(c) for c in seed]), 300)
+            mine = sorted((r for r in rows if r.kmer == seed), key=lambda r: r.place)
+            assert [(r.neighbour, r.score) for r in mine] == [(str(t), sign * int(c)) for t, c in zip(texts, costs)]
+
+
+def test_neighbour_overlaps_equal_joined_lists(spark):
+    rng = random.Random(15)
+    seeds = ["".join(rng.choice(C.RESIDUES) for _ in range(6)) for _ in range(25)]
+    df = spark.createDataFrame([(s,) for s in seeds], "kmer string")
+    tops = [1, 5, 100, 1000]
+    got = {r.top: (r.n_seeds, r.overlap) for r in N.neighbour_overlaps(df, tops).collect()}
+    joined = N.top_overlap(N.best_neighbours(df, 1000), N.best_neighbours(df, 1000, "distance"), tops).collect()
+    assert set(got) == set(tops) and all(got[r.top] == (r.n_seeds, pytest.approx(r.overlap)) for r in joined)

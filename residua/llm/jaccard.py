@@ -183,14 +183,35 @@ def _verified(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     # in whole numbers; the division above may be off by one at exact borders
     need = F.when((need - 1) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent, need - 1).otherwise(need)
     asked = stored(pairs.select("a", "b", depth.cast("int").alias("depth"), need.cast("long").alias("need")), "pairs")
+    if small_enough(asked, 64):
+        asked = F.broadcast(asked)
+    # each side finds its own blocks, so only blocks of pairs are shuffled
     left = asked.join(blocks.select(F.col("node").alias("a"), "depth", "block", F.col("hashes").alias("_x")), ["a", "depth"])
-    both = left.join(blocks.select(F.col("node").alias("b"), "depth", "block", F.col("hashes").alias("_y")),
-                     ["b", "depth", "block"])
+    right = asked.join(blocks.select(F.col("node").alias("b"), "depth", "block", F.col("hashes").alias("_y")), ["b", "depth"])
+    both = left.join(right.select("a", "b", "block", "_y"), ["a", "b", "block"])
     counted = both.select("a", "b", "need", "_x", "_y").mapInArrow(_shared, "a long, b long, need long, shared long")
     sums = counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("need").alias("need"))
     return stored(sums.filter("shared >= need").select("a", "b"), "verified")
 
 
+def _bounded(percent: int):
+    """(a, b, na, nb) of the pairs whose sizes and bitmaps leave room for a link."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            room = (na + nb) * (100 - percent) // (100 + percent)
+            apart = np.abs(na - nb)
+            for i, (x, y) in enumerate(zip(batch.column("_bits_a"), batch.column("_bits_b"))):
+                if apart[i] <= room[i]:
+                    x, y = x.as_py(), y.as_py()
+                    words = min(len(x), len(y)) // 8
+                    apart[i] = np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum()
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(apart <= room))
+
+    return keep
+
+
 def _tile_pairs(percent: int, nearest: bool):
     """Pairs of a tile whose bitmaps leave room for a link between different components."""
 
@@ -264,10 +285,17 @@ def _blocks(docs: DataFrame, touched: DataFrame, size: int, percent: int) -> Dat
     if small_enough(ids, 16):
         ids = F.broadcast(ids)
     texts = docs.join(ids, "doc_id", "left_semi").select("text")
-    if not touched.filter("first_id IS NULL").isEmpty():
+    unnamed = not touched.filter("first_id IS NULL").isEmpty()
+    if unnamed:
         texts = texts.unionByName(docs.filter("doc_id IS NULL").select("text"))
     cut = texts.mapInArrow(_block_table(size, percent), "high long, low long, depth int, block long, hashes binary")
-    named = cut.join(touched.select("high", "low", "node"), ["high", "low"])
+    nodes = touched.select("high", "low", "node")
+    if small_enough(nodes, 64):
+        nodes = F.broadcast(nodes)
+    named = cut.join(nodes, ["high", "low"]).select("node", "depth", "block", "hashes")
+    again = docs.select("doc_id").join(ids, "doc_id", "left_semi").groupBy("doc_id").count().filter("count > 1")
+    if not unnamed and again.isEmpty():
+        return stored(named, "blocks")
     # rows that repeat an id and a text give equal blocks
     return stored(named.groupBy("node", "depth", "block").agg(F.first("hashes").alias("hashes")), "blocks")
 
@@ -300,21 +328,22 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         F.first("cells").alias("cells"))
     classes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
     met = classes.select("node", F.explode("cells").alias("cell"))
-    live = met.groupBy("cell").agg(F.min("node").alias("head"), F.max("node").alias("_last"))
-    live = stored(live.filter("head < _last").select("cell", "head"), "cells")
-    members = stored(met.join(live, "cell").select("cell", "head", "node"), "members")
+    # a class enters a cell once
+    live = stored(met.groupBy("cell").count().filter("count > 1").select("cell"), "cells")
+    if small_enough(live, 16):
+        live = F.broadcast(live)
+    members = stored(met.join(live, "cell"), "members")
     touched = stored(classes.select("node", "high", "low", "first_id").join(
         members.select("node").distinct(), "node", "left_semi"), "touched")
     blocks = _blocks(docs, touched, size, percent)
 
-    sizes = classes.select("node", "n")
-    stars = members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(
-        sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    stars = stars.filter(F.abs(F.col("na") - F.col("nb")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    heads = members.groupBy("cell").agg(F.min("node").alias("head"))
+    stars = members.join(heads, "cell").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    for end, n, bits in (("a", "na", "_bits_a"), ("b", "nb", "_bits_b")):
+        stars = stars.join(classes.select(F.col("node").alias(end), F.col("n").alias(n), F.col("bitmap").alias(bits)), end)
+    stars = stars.mapInArrow(_bounded(percent), "a long, b long, na long, nb long")
     links = _verified(stars, blocks, percent)
     comp = _labels(links)
-    members = members.select("cell", "node")
     for nearest in (True, False):
         pairs = _candidates(members, classes, comp, percent, nearest, tile)
         if pairs.isEmpty():

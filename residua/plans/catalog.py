@@ -3,6 +3,7 @@
 from residua.plans import (  # noqa: F401  (importing registers the queries)
     align_queries,
     cluster_queries,
+    file_queries,
     format_queries,
     genome_queries,
     kmer_queries,

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from residua import constants as C
@@ -98,8 +99,21 @@ def lsh_keys(point: Column, family: LshFamily) -> Column:
     return keys(point.cast("array<double>"))
 
 
-def _kmer_totals(k: int, family: LshFamily):
-    """A function from letters to the shifted projections of their points, [row, table * line].
+_INDEX = np.full(256, -1, dtype=np.int64)
+_INDEX[[ord(r) for r in C.RESIDUES]] = np.arange(20)
+
+
+def letter_codes(kmers: pa.Array, k: int) -> np.ndarray:
+    """Residue numbers of a column of k-mers, [row, position], read from its bytes."""
+    if not len(kmers):
+        return np.empty((0, k), np.int64)
+    lengths = np.frombuffer(kmers.buffers()[1], np.int32)[kmers.offset:kmers.offset + len(kmers) + 1]
+    letters = np.frombuffer(kmers.buffers()[2], np.uint8)[lengths[0]:lengths[-1]]
+    return _INDEX[letters.reshape(-1, k)]
+
+
+def kmer_totals(k: int, family: LshFamily):
+    """A function from residue numbers to the shifted projections of their points, [row, table * line].
 
     The projection of a k-mer point is a sum of one number per position and
     residue; two positions are looked up at once, so k / 2 look-ups replace a
@@ -113,12 +127,8 @@ def _kmer_totals(k: int, family: LshFamily):
     parts = np.einsum("pkc,rc->krp", directions, coordinates)
     pairs = [(parts[i][:, None, :] + parts[i + 1][None, :, :]).reshape(400, -1) for i in range(0, k - 1, 2)]
     b = family.offsets().reshape(-1)
-    index = np.full(256, -1, dtype=np.int64)
-    index[[ord(r) for r in C.RESIDUES]] = np.arange(20)
 
-    def totals(kmers: pd.Series) -> np.ndarray:
-        letters = np.frombuffer("".join(kmers).encode("ascii"), dtype=np.uint8).reshape(-1, k)
-        codes = index[letters]
+    def totals(codes: np.ndarray) -> np.ndarray:
         out = np.tile(b, (len(codes), 1))
         for i, table in enumerate(pairs):
             out += table[codes[:, 2 * i] * 20 + codes[:, 2 * i + 1]]
@@ -129,36 +139,26 @@ def _kmer_totals(k: int, family: LshFamily):
     return totals
 
 
-def kmer_lsh_keys(kmer: Column, k: int, family: LshFamily, known: list[np.ndarray] | None = None) -> Column:
-    """Keys of a k-mer's point, from the letters.
+def _codes_of(kmers: pd.Series, k: int) -> np.ndarray:
+    return _INDEX[np.frombuffer("".join(kmers).encode("ascii"), dtype=np.uint8).reshape(-1, k)]
 
-    With ``known`` sorted keys for each table the struct also has ``met``: bit t
-    is set when the key of table t is among them.
-    """
+
+def kmer_lsh_keys(kmer: Column, k: int, family: LshFamily) -> Column:
+    """Keys of a k-mer's point, from the letters."""
     tables, lines, width = family.tables, family.lines, family.width
-    totals = _kmer_totals(k, family)
-    kind = _keys_type(tables)
-    if known is not None:
-        kind = T.StructType([*kind.fields, T.StructField("met", T.IntegerType())])
+    totals = kmer_totals(k, family)
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(_keys_type(tables))
     def keys(kmers: pd.Series) -> pd.DataFrame:
-        frame = _keys_frame(totals(kmers), width, tables, lines)
-        if known is not None:
-            frame["met"] = _known_tables(frame.to_numpy(), known)
-        return frame
+        return _keys_frame(totals(_codes_of(kmers, k)), width, tables, lines)
 
-    # the filter on ``met`` must not make the optimizer run the function twice
-    return (keys if known is None else keys.asNondeterministic())(kmer)
+    return keys(kmer)
 
 
-def _known_tables(keys: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
-    met = np.zeros(len(keys), dtype=np.int32)
-    for t, table in enumerate(known):
-        if len(table):
-            place = np.minimum(np.searchsorted(table, keys[:, t]), len(table) - 1)
-            met |= (table[place] == keys[:, t]).astype(np.int32) << t
-    return met
+def table_keys(totals: np.ndarray, family: LshFamily) -> np.ndarray:
+    """The key of each table, [row, table]."""
+    buckets = np.floor(totals / family.width).astype(np.int64)
+    return _mix(buckets.reshape(len(totals), family.tables, family.lines))
 
 
 def probe_template(lines: int, probes: int) -> list[list[int]]:
@@ -204,11 +204,11 @@ def probe_keys(totals: np.ndarray, family: LshFamily, probes: int) -> np.ndarray
 
 def kmer_probe_keys(kmer: Column, k: int, family: LshFamily, probes: int) -> Column:
     """Array of tables * probes keys of a k-mer, table after table."""
-    totals = _kmer_totals(k, family)
+    totals = kmer_totals(k, family)
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def keys(kmers: pd.Series) -> pd.Series:
-        return pd.Series(list(probe_keys(totals(kmers), family, probes).reshape(len(kmers), -1)))
+        return pd.Series(list(probe_keys(totals(_codes_of(kmers, k)), family, probes).reshape(len(kmers), -1)))
 
     return keys(kmer)
 

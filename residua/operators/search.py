@@ -11,7 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from residua import constants as C
-from residua.functions.hashing import LshFamily, keys_array, kmer_lsh_keys, kmer_probe_keys, lsh_keys
+from residua.functions.hashing import (
+    LshFamily, keys_array, kmer_lsh_keys, kmer_probe_keys, kmer_totals, letter_codes, lsh_keys, probe_keys,
+    probe_template, table_keys,
+)
 from residua.functions.vectors import kmer_codes, kmer_distance_sq, row_distance
 from residua.operators.layout import BROADCAST_BYTES, join_split_hot, small_enough, split_hot
 from residua.session import cut_lineage
@@ -76,6 +79,50 @@ def _kmer_hits(kmers: DataFrame, centers: DataFrame, k: int, radius: float, key_
 
 # bytes that one key of a centre takes in the sorted lists sent to the k-mers
 _KEY_BYTES = 24
+# candidate pairs of one table that a task measures at once
+_CANDIDATES = 200_000
+
+
+def _measured_pairs(left: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, place) of all places of each row's run, a bounded number at a time; runs start at ``left``."""
+    rows = np.flatnonzero(counts)
+    ends = np.cumsum(counts[rows])
+    at = 0
+    while at < len(rows):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _CANDIDATES, "right")))
+        some, n = rows[at:upto], counts[rows[at:upto]]
+        first = np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(some, n), np.repeat(left[some], n) + np.arange(n.sum()) - first
+        at = upto
+
+
+def _probed_hits(sent, k: int, radius: float, family: LshFamily):
+    """Hits of a bounded set of centres among k-mers, found in the buckets the centres look into."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, codes, names = sent.value
+        totals, cells = kmer_totals(k, family), np.array(C.COORDINATE_DISTANCE_SQ).ravel()
+        for batch in batches:
+            own = letter_codes(batch.column("kmer"), k)
+            keys = table_keys(totals(own), family)
+            found = []
+            for t, (known, owner, present) in enumerate(tables):
+                maybe = np.flatnonzero(present[keys[:, t] & (len(present) - 1)])
+                left = np.searchsorted(known, keys[maybe, t])
+                counts = np.searchsorted(known, keys[maybe, t], "right") - left
+                for row, place in _measured_pairs(left, counts):
+                    row, center = maybe[row], owner[place]
+                    square = cells[codes[center] * 20 + own[row]].sum(1)
+                    near = square <= radius * radius + 1e-9
+                    found.append((center[near], row[near], square[near]))
+            if found:
+                center, row, square = (np.concatenate(x) for x in zip(*found))
+                near = np.sqrt(square) <= radius
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(center[near])), batch.column("kmer").take(pa.array(row[near])), pa.array(np.sqrt(square[near]))],
+                    names=["center", "kmer", "distance"])
+
+    return find
 
 
 def kmer_radius_lsh(centers: DataFrame, kmers: DataFrame, k: int, radius: float, family: LshFamily,
@@ -85,30 +132,41 @@ def kmer_radius_lsh(centers: DataFrame, kmers: DataFrame, k: int, radius: float,
     A subset of :func:`kmer_radius_exact` with equal distances. A k-mer has one
     bucket in each table; a centre looks into its own and into those behind its
     nearest borders, ``probes`` in all, so few tables of narrow buckets suffice.
-    While the centres' keys pass the broadcast bound, k-mers are hashed where
-    they are read and only those whose bucket a centre looks into are shuffled;
-    beyond it the distinct k-mers are.
+    While the centres' keys pass the broadcast bound, k-mers are hashed and
+    measured where they are read and only hits leave the task; beyond it the
+    keys of both sides are joined.
     """
-    looked = F.posexplode(kmer_probe_keys(F.col("center"), k, family, probes)).alias("_probe", "_key")
-    c = _coded_centers(centers).select("center", "_cc", looked)
-    c = cut_lineage(c.withColumn("_table", F.floor(F.col("_probe") / probes).cast("int")).drop("_probe"))
-    known = None
-    if small_enough(c, _KEY_BYTES):
-        pairs = c.select("_table", "_key").distinct().toArrow()
-        table, key = pairs.column("_table").to_numpy(), pairs.column("_key").to_numpy()
-        known = [np.sort(key[table == t]) for t in range(family.tables)]
-    points = kmers.select("kmer") if known is not None else distinct_kmers(kmers)
-    points = points.withColumn("_pkeys", kmer_lsh_keys(F.col("kmer"), k, family, known))
-    if known is not None:
-        points = points.filter(F.col("_pkeys.met") > 0)
-    keyed = _keyed(points, "_pkeys", family.tables)
-    if known is not None:
-        keyed = keyed.filter(F.getbit(F.col("_pkeys.met"), F.col("_table")) == 1)
-        keyed = cut_lineage(keyed.select("kmer", "_table", "_key").distinct())
-    met = _pair_up(keyed.select("kmer", "_table", "_key"), c, small_enough(c, 200 + 12 * k), "kmer")
-    d = F.sqrt(kmer_distance_sq(F.col("_cc"), kmer_codes(F.col("kmer")), k))
-    hits = met.select("center", "kmer", d.alias("distance")).filter(F.col("distance") <= radius)
-    # a pair that meets in several tables counts once
+    # few lines have fewer neighbouring buckets
+    probes = len(probe_template(family.lines, probes))
+    distinct = distinct_kmers(centers)
+    spark = kmers.sparkSession
+    if small_enough(distinct, _KEY_BYTES * family.tables * probes):
+        names = distinct.toArrow().column("kmer").combine_chunks().cast(pa.string())
+        codes = letter_codes(names, k)
+        keys = probe_keys(kmer_totals(k, family)(codes), family, probes)
+        tables = []
+        for t in range(family.tables):
+            flat = keys[:, t, :].ravel()
+            order = np.argsort(flat, kind="stable")
+            # most keys of k-mers are not among the centres' and are told by a few of their bits
+            present = np.zeros(1 << 23, dtype=bool)
+            present[flat & (len(present) - 1)] = True
+            tables.append((flat[order], (order // probes).astype(np.int32), present))
+        if not len(names):
+            return _coded_centers(centers).select("center", F.lit("").alias("kmer"), F.lit(0.0).alias("distance")).limit(0)
+        sent = spark.sparkContext.broadcast((tables, codes, names))
+        hits = kmers.select("kmer").mapInArrow(
+            _probed_hits(sent, k, radius, family), "center string, kmer string, distance double")
+    else:
+        looked = F.posexplode(kmer_probe_keys(F.col("center"), k, family, probes)).alias("_probe", "_key")
+        c = _coded_centers(centers).select("center", "_cc", looked)
+        c = cut_lineage(c.withColumn("_table", F.floor(F.col("_probe") / probes).cast("int")).drop("_probe"))
+        points = distinct_kmers(kmers).withColumn("_pkeys", kmer_lsh_keys(F.col("kmer"), k, family))
+        keyed = _keyed(points, "_pkeys", family.tables).select("kmer", "_table", "_key")
+        met = _pair_up(keyed, c, False, "kmer")
+        d = F.sqrt(kmer_distance_sq(F.col("_cc"), kmer_codes(F.col("kmer")), k))
+        hits = met.select("center", "kmer", d.alias("distance")).filter(F.col("distance") <= radius)
+    # a pair that meets in several tables, or whose k-mer has copies, counts once
     return hits.groupBy("center", "kmer").agg(F.first("distance").alias("distance"))
 
 

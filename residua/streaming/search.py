@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from residua.functions.hashing import LshFamily, keys_array, kmer_lsh_keys, kmer_probe_keys
+from residua.functions.hashing import LshFamily, keys_array, kmer_lsh_keys, kmer_probe_keys, probe_template
 from residua.functions.vectors import kmer_codes, kmer_distance_sq
 from residua.operators.layout import small_enough
 
@@ -17,6 +17,7 @@ def stream_kmer_hits(arriving: DataFrame, centers: DataFrame, k: int, radius: fl
     table; they are broadcast only when small enough. A pair is emitted once, in
     the first table it meets.
     """
+    probes = len(probe_template(family.lines, probes))
     c = centers.select("kmer").distinct().select(F.col("kmer").alias("center"), kmer_codes(F.col("kmer")).alias("_cc"))
     c = c.withColumn("_looked", kmer_probe_keys(F.col("center"), k, family, probes))
     c = c.select("*", F.posexplode("_looked").alias("_probe", "_key")).withColumn(

@@ -82,7 +82,11 @@ def read_stockholm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     """
     lines = number_lines(read_lines(spark, path).filter(F.trim("value") != ""))
     opened = F.when(F.col("value").startswith("# STOCKHOLM"), F.col("line_no"))
-    inside = fill_down(lines, opened, "entry").filter(F.col("entry").isNotNull())
+    return entry_tables(fill_down(lines, opened, "entry").filter(F.col("entry").isNotNull()))
+
+
+def entry_tables(inside: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries and rows as above from the lines (entry, line_no, value) of entries; any type may name an entry."""
     v = F.col("value")
     tags = inside.filter(v.startswith("#=GF"))
     first = {tag: F.min_by(gf_value(v, tag), F.when(gf_value(v, tag).isNotNull(), F.col("line_no"))) for tag in

@@ -8,6 +8,7 @@ from residua.plans import (  # noqa: F401  (importing registers the queries)
     genome_queries,
     kmer_queries,
     search_queries,
+    table_queries,
 )
 from residua.plans.registry import ORACLES, QUERIES
 

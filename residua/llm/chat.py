@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from residua.llm.texts import stored
+from residua.operators.layout import small_enough
 
-# turns between two borders of a conversation's parts; the running hash of each part is completed by the earlier ones
+# turns of a conversation's part; the running hash of each part is completed by the earlier ones
 PART_TURNS = 50_000
 
 
@@ -15,45 +16,78 @@ def chatml(role: Column, text: Column) -> Column:
                     F.lit("<|im_end|>\n"))
 
 
+def _order() -> list[Column]:
+    return [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
+
+
+def _numbered_in_tasks(rows: DataFrame) -> DataFrame:
+    """(conv_id, place, n_turns, role, text) of conversations that are too long for one task.
+
+    All turns are sorted over many tasks. The turns of a conversation follow each
+    other in a task, so a place is a count of the turns in earlier tasks and a
+    distance from the first one in its own.
+    """
+    ranged = stored(rows.orderBy("conv_id", *_order()).select(
+        "conv_id", "role", "text", F.monotonically_increasing_id().alias("_at")), "sorted-turns")
+    ranged = ranged.withColumn("_task", F.shiftright("_at", 33))
+    whole = W.partitionBy("conv_id")
+    earlier = whole.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    spans = ranged.groupBy("conv_id", "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    spans = spans.select("conv_id", "_task", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+                         F.sum("_n").over(whole).alias("n_turns"))
+    return ranged.join(spans, ["conv_id", "_task"]).select(
+        "conv_id", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("place"), "n_turns", "role", "text")
+
+
+def _rolled(placed: DataFrame, split: bool) -> DataFrame:
+    """Rolling hashes inside each part, completed by those of earlier parts where there are any."""
+    content = [F.coalesce("role", F.lit("\0")), F.coalesce("text", F.lit("\0")), F.col("role").isNull(), F.col("text").isNull()]
+    one = F.xxhash64("place", *content)
+    two = F.xxhash64(*content[::-1], F.xxhash64(*content), "place", F.lit("second"))
+    rolling = W.partitionBy("conv_id", "part").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    marked = placed.withColumns({"_a": one, "_b": two})
+    hashed = marked.withColumns({"h1": F.bit_xor("_a").over(rolling), "h2": F.bit_xor("_b").over(rolling)})
+    if split:
+        ends = marked.groupBy("conv_id", "part").agg(F.bit_xor("_a").alias("_a"), F.bit_xor("_b").alias("_b"))
+        earlier = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+        carried = ends.select(
+            "conv_id", "part", F.coalesce(F.bit_xor("_a").over(earlier), F.lit(0)).alias("_c1"),
+            F.coalesce(F.bit_xor("_b").over(earlier), F.lit(0)).alias("_c2"))
+        hashed = hashed.join(carried, ["conv_id", "part"]).withColumns(
+            {"h1": F.col("h1").bitwiseXOR(F.col("_c1")), "h2": F.col("h2").bitwiseXOR(F.col("_c2"))})
+    return hashed.select("conv_id", "part", "place", "n_turns", "h1", "h2", "role", "text")
+
+
 def prefixes(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
              text: str = "text", part_turns: int = PART_TURNS) -> DataFrame:
     """(conv_id, part, place, n_turns, h1, h2, role, text): each turn with the hash of the conversation up to it.
 
     The hash of a prefix is the exclusive or of the 64-bit hashes of its turns
     with their places, twice with different contents, so it rolls forward and
-    parts of a long conversation are added up afterwards.
+    parts of a long conversation are added up afterwards. Parts follow the
+    places of turns, whatever their numbers are; conversations of more than
+    ``part_turns`` rows are sorted over many tasks, others inside one.
     """
     rows = turns.select(
         F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"),
         F.col(text).alias("text"),
-    ).filter("conv_id is not null").distinct()
-    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns).cast("long"), F.lit(-(2**40))))
-    order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    inside = W.partitionBy("conv_id", "part")
-    sizes = rows.groupBy("conv_id", "part").count()
-    earlier = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    ).filter("conv_id is not null")
+    long = stored(rows.groupBy("conv_id").count().filter(F.col("count") > part_turns).select("conv_id"), "long-conversations")
+    several = not long.isEmpty()
+    short = rows.distinct()
+    if several:
+        known = F.broadcast(long) if small_enough(long, 32) else long
+        short = rows.join(known, "conv_id", "left_anti").distinct()
     whole = W.partitionBy("conv_id")
-    sizes = sizes.select(
-        "conv_id", "part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("count").over(whole).alias("n_turns"),
-    )
-    placed = rows.withColumn("_in", F.row_number().over(inside.orderBy(*order))).join(sizes, ["conv_id", "part"])
-    placed = placed.withColumn("place", F.col("_before") + F.col("_in"))
-    content = [F.coalesce("role", F.lit("\0")), F.coalesce("text", F.lit("\0")), F.col("role").isNull(), F.col("text").isNull()]
-    one = F.xxhash64("place", *content)
-    two = F.xxhash64(*content[::-1], F.xxhash64(*content), "place", F.lit("second"))
-    rolling = inside.orderBy("place").rowsBetween(W.unboundedPreceding, 0)
-    hashed = placed.withColumns({"_a": one, "_b": two}).withColumns(
-        {"_h1": F.bit_xor("_a").over(rolling), "_h2": F.bit_xor("_b").over(rolling)})
-    ends = hashed.groupBy("conv_id", "part").agg(F.bit_xor("_a").alias("_a"), F.bit_xor("_b").alias("_b"))
-    carried = ends.select(
-        "conv_id", "part", F.coalesce(F.bit_xor("_a").over(earlier), F.lit(0)).alias("_c1"),
-        F.coalesce(F.bit_xor("_b").over(earlier), F.lit(0)).alias("_c2"),
-    )
-    return hashed.drop("_a", "_b").join(carried, ["conv_id", "part"]).select(
-        "conv_id", "part", "place", "n_turns", F.col("_h1").bitwiseXOR(F.col("_c1")).alias("h1"),
-        F.col("_h2").bitwiseXOR(F.col("_c2")).alias("h2"), "role", "text",
-    )
+    short = short.select(
+        "conv_id", F.row_number().over(whole.orderBy(*_order())).cast("long").alias("place"),
+        F.count(F.lit(1)).over(whole).alias("n_turns"), "role", "text", F.lit(0).cast("long").alias("part"))
+    rolled = _rolled(short, False)
+    if not several:
+        return rolled
+    placed = _numbered_in_tasks(rows.join(known, "conv_id", "left_semi").distinct())
+    placed = placed.withColumn("part", F.floor((F.col("place") - 1) / part_turns))
+    return rolled.unionByName(_rolled(placed, True))
 
 
 def collapse(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",

@@ -155,6 +155,21 @@ def test_collapse(spark, part_turns):
     assert chat.render(turns.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("part_turns", [3, 7, chat.PART_TURNS])
+def test_parts_follow_places(spark, part_turns):
+    """Large, negative, repeated and null turn numbers make no parts of their own."""
+    numbers = [None, None, -5, 0, 49_999, 50_000, 50_000, 1_700_000_000_000]
+    rows = [(1, n, "user", f"t{i}") for i, n in enumerate(numbers)]
+    rows += [(2, i, "user", f"t{i}") for i in range(5)] + [(3, 10**12 * i, "user", f"t{i}") for i in range(9)]
+    turns = spark.createDataFrame(rows + rows, "conv_id long, turn long, role string, text string").repartition(7)
+    kept = {r.conv_id: r.kept for r in chat.collapse(turns, part_turns=part_turns).collect()}
+    assert kept == {1: False, 2: False, 3: True}
+    found = sorted(chat.render(turns, part_turns=part_turns).collect())
+    assert [(r.conv_id, r.part) for r in found] == [(3, p) for p in range(-(-9 // part_turns))]
+    assert {r.n_turns for r in found} == {9}
+    assert "".join(r.rendered for r in found) == "".join(f"<|im_start|>user\nt{i}<|im_end|>\n" for i in range(9))
+
+
 # packing -----------------------------------------------------------------------
 
 

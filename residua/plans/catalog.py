@@ -7,6 +7,7 @@ from residua.plans import (  # noqa: F401  (importing registers the queries)
     format_queries,
     genome_queries,
     kmer_queries,
+    listing_queries,
     search_queries,
     table_queries,
 )

@@ -79,7 +79,7 @@ def fastq_source(spark, sf_dir):
 
 
 @query("stockholm_source", """
-SELECT concat('e', doc_id) AS "ID", source AS "AC", 1 AS "SQ", concat('q-', doc_id) AS seqname, 3 AS start, n_chars AS stop,
+SELECT concat('e', doc_id) AS "ID", source AS "AC", CAST(1 AS BIGINT) AS "SQ", concat('q-', doc_id) AS seqname, CAST(3 AS BIGINT) AS start, CAST(n_chars AS BIGINT) AS stop,
   concat('.', regexp_replace(text, '[^A-Za-z]+', '.', 'g')) AS alignment FROM documents""")
 def stockholm_source(spark, sf_dir):
     """An entry for each document; entries are read whole by ranges, without numbering or filling lines."""

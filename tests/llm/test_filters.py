@@ -1,6 +1,8 @@
 """Decontamination, quality rules, personal data, URL filters."""
 
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -234,3 +236,30 @@ def test_rule_index_runs_only_fetched_rules():
     for u in filter(None, URLS):
         slow = next((":".join(p) for p in patterns if re.search(urls.to_regex(*p), u.lower().partition("://")[2], re.S)), None)
         assert index.first_match(u) == slow
+
+
+def test_covered_places_equal_all_comparisons():
+    draw = random.Random(8)
+    for _ in range(300):
+        spans = [(a := draw.randrange(60), a + draw.randrange(1, 9), "ip") for _ in range(draw.randrange(8))]
+        covered, apart, own = pii.Covered(spans), pii.Covered(), []
+        for _ in range(30):
+            start = draw.randrange(70)
+            end = start + draw.randrange(1, 9)
+            assert covered.touches(start, end) == any(a < end and start < b for a, b, _ in spans)
+            slow = any(a < end and start < b for a, b in own)
+            assert apart.touches(start, end) == slow
+            if not slow:
+                apart.add(start, end)
+                own.append((start, end))
+
+
+def test_a_text_of_numbers_takes_time_in_proportion():
+    """Two megabytes of addresses and phone-like numbers, more than 10^10 comparisons of pairs."""
+    text = "10.0.0.1 or 4929 555 0100 or +1 212 555 0199, " * 50_000
+    model = {"start": 5.0, "features": np.zeros((1, 7), int), "borders": np.zeros((1, 7)), "leaves": np.zeros((1, 8)),
+             "thresholds": dict.fromkeys(pii.KINDS, 0.5)}
+    begin = time.process_time()
+    strict, spans = pii.all_spans(model, text)
+    assert len(strict) == 100_000 and len(spans) > len(strict)
+    assert len({s[:2] for s in spans}) == len(spans) and time.process_time() - begin < 60

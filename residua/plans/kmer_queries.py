@@ -8,7 +8,7 @@ from residua import constants as C
 from residua.functions import vectors as V
 from residua.functions.alphabet import octet_code, octet_digits, reduce_sequence, representative_sequence, seed_number
 from residua.functions.hashing import KernelFamily
-from residua.operators import groups as G, kmers as K
+from residua.operators import groups as G, kmers as K, packed as P
 from residua.operators.neighbours import best_neighbours, neighbour_overlaps, top_overlap
 from residua.operators.search import owner_of_position
 from residua.operators.layout import range_slices, running_total
@@ -56,9 +56,7 @@ SELECT stats.*, (SELECT count(DISTINCT kmer) FROM kmers) AS n_distinct,
        (SELECT count(*) FROM (SELECT kmer FROM kmers GROUP BY kmer HAVING count(*) = 1)) AS n_unique FROM stats""")
 def kmer_distinct_stats(spark, sf_dir):
     seqs = proteins(spark, sf_dir)
-    counts = K.count_kmers(K.explode_kmers(seqs, 10)).agg(
-        F.count(F.lit(1)).alias("n_distinct"), F.count_if(F.col("n") == 1).alias("n_unique")
-    ).withColumn("one", F.lit(1))
+    counts = P.distinct_counts(seqs, 10).withColumn("one", F.lit(1))
     return K.peptide_stats(seqs).withColumn("one", F.lit(1)).join(counts, "one").drop("one")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from residua import constants as C
 from residua.functions.alphabet import clean_residues
-from residua.operators import groups as G, kmers as K, sequences as SQ
+from residua.operators import kmers as K, packed as P, sequences as SQ
 from residua.operators.suffixes import suffix_ranks
 from residua.plans import genome_queries  # noqa: F401  (its SQL is read below)
 from residua.plans.registry import (
@@ -188,5 +188,4 @@ WITH {proteins_sql()}, {kmers_sql(10)}
 SELECT min(protein_id) AS protein_id, min(pos) AS pos, kmer FROM kmers GROUP BY kmer HAVING count(*) = 1""")
 def single_kmers(spark, sf_dir):
     """k-mers that occur once in all documents, with their place."""
-    found = K.explode_kmers(proteins(spark, sf_dir), 10).select("protein_id", F.col("pos").cast("long").alias("pos"), "kmer")
-    return K.drop_repeated(found)
+    return P.single_kmers(proteins(spark, sf_dir), 10)

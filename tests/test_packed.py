@@ -33,3 +33,9 @@ def test_distinct_counts(seqs):
     assert tuple(P.distinct_counts(seqs, 10).first()) == (len(n), sum(c == 1 for c in n.values()))
     # one number for each k-mer of a block is all that is shuffled
     assert all("seq" not in line for line in exchanges(P.distinct_counts(seqs, 10)))
+
+
+def test_single_kmers(seqs):
+    n = Counter(w for _, _, w in windows(10))
+    want = [(i, at, w) for i, at, w in windows(10) if n[w] == 1]
+    assert sorted(map(tuple, P.single_kmers(seqs, 10).collect()), key=repr) == sorted(want, key=repr)

@@ -132,3 +132,28 @@ def single_kmers(seqs: DataFrame, k: int, id_col: str = "protein_id", seq_col: s
         F.count(F.lit(1)).alias("n"), F.max("id").alias("id"), F.max("pos").alias("pos"))
     single = met.filter("n = 1 AND pos >= 0")
     return single.select(F.col("id").cast(seqs.schema[id_col].dataType).alias(id_col), "pos", kmer_text(F.col("number"), k).alias("kmer"))
+
+
+def letter_matrix(seqs: DataFrame, k: int, group: str, seq_col: str = "seq", letters: str = C.MOTIF_LETTERS) -> DataFrame:
+    """Letter frequency at each place of all windows of each group, as :func:`groups.weight_matrix` gives it.
+
+    Windows are counted where they are read; a block sends k rows for each of its groups.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found, first, row, _ in window_blocks(batches, k, seq_col):
+            _, begins = np.unique(row, return_index=True)
+            names = batch.column("motif").take(pa.array(row[begins])).dictionary_encode("encode")
+            own = np.repeat(names.indices.to_numpy(), np.diff(np.append(begins, len(row))))
+            n = len(names.dictionary)
+            cells = np.concatenate([np.bincount(own * 20 + found[first + j], minlength=20 * n) for j in range(k)])
+            yield pa.RecordBatch.from_arrays(
+                [names.dictionary.take(pa.array(np.tile(np.arange(n), k))), pa.array(np.repeat(np.arange(k, dtype=np.int32), n)),
+                 pa.array(list(cells.reshape(-1, 20)), pa.list_(pa.int64()))], names=["motif", "pos", "n"])
+
+    kind = seqs.schema[group].dataType.simpleString()
+    cells = seqs.select(F.col(group).alias("motif"), seq_col).mapInArrow(counted, f"motif {kind}, pos int, n array<long>")
+    sums = cells.groupBy("motif", "pos").agg(*[F.sum(F.col("n")[i]).alias(r) for i, r in enumerate(C.RESIDUES)])
+    total = sum(F.col(r) for r in C.RESIDUES)
+    return sums.select(F.col("motif").alias(group), "pos", *[
+        ((F.col(a) if a in C.RESIDUES else F.lit(0).cast("long")) / total).alias(a) for a in letters])

@@ -102,9 +102,8 @@ l AS (SELECT '' AS motif, -2 AS pos, 0 AS n, 'MEME version 4' AS value UNION ALL
 SELECT row_number() OVER (ORDER BY motif, pos, n) - 1 AS line_no, value FROM l""")
 def meme_listing(spark, sf_dir):
     langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("protein_id"), "lang")
-    windows = K.explode_kmers(proteins(spark, sf_dir).join(langs, "protein_id").select(F.struct("lang").alias("motif"), "seq"), 8, "motif")
-    counted = windows.groupBy(F.col("motif.lang").alias("motif"), "kmer").agg(F.count(F.lit(1)).alias("copies"))
-    return _listed(T.motif_matrix_lines(G.weight_matrix(counted, copies="copies"), 8, digits=4), "meme")
+    matrix = P.letter_matrix(proteins(spark, sf_dir).join(langs, "protein_id").withColumnRenamed("lang", "motif"), 8, "motif")
+    return _listed(T.motif_matrix_lines(matrix, 8, digits=4), "meme")
 
 
 @query("score_folders", """

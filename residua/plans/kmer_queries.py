@@ -280,9 +280,7 @@ FROM c GROUP BY lang, pos""")
 def weight_matrix(spark, sf_dir):
     langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("protein_id"), "lang")
     named = proteins(spark, sf_dir).join(langs, "protein_id")
-    windows = K.explode_kmers(named.select(F.struct("lang").alias("motif"), "seq"), 8, "motif")
-    counted = windows.groupBy(F.col("motif.lang").alias("motif"), "kmer").agg(F.count(F.lit(1)).alias("copies"))
-    matrix = G.weight_matrix(counted, copies="copies")
+    matrix = P.letter_matrix(named.withColumnRenamed("lang", "motif"), 8, "motif")
     return matrix.select("motif", F.col("pos").cast("long").alias("pos"),
                          *[F.round(a, 9).alias(a) for a in C.MOTIF_LETTERS])
 

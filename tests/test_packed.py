@@ -39,3 +39,13 @@ def test_single_kmers(seqs):
     n = Counter(w for _, _, w in windows(10))
     want = [(i, at, w) for i, at, w in windows(10) if n[w] == 1]
     assert sorted(map(tuple, P.single_kmers(seqs, 10).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_letter_matrix(seqs):
+    named = seqs.withColumn("motif", F.when(F.col("protein_id") == 2, F.lit(None)).otherwise(F.lit("x")))
+    cells = Counter((None if i == 2 else "x", j, a) for i, _, w in windows(8) for j, a in enumerate(w))
+    rows = P.letter_matrix(named, 8, "motif").collect()
+    assert len(rows) == 16
+    for row in rows:
+        total = sum(cells[row.motif, row.pos, a] for a in C.RESIDUES)
+        assert all(row[a] == pytest.approx(cells[row.motif, row.pos, a] / total) for a in C.MOTIF_LETTERS)

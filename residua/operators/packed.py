@@ -157,3 +157,31 @@ def letter_matrix(seqs: DataFrame, k: int, group: str, seq_col: str = "seq", let
     total = sum(F.col(r) for r in C.RESIDUES)
     return sums.select(F.col("motif").alias(group), "pos", *[
         ((F.col(a) if a in C.RESIDUES else F.lit(0).cast("long")) / total).alias(a) for a in letters])
+
+
+def _place_sums(letters: np.ndarray, apart: int, table: np.ndarray) -> np.ndarray:
+    """Running sums of the table's values for the letters at each place and ``apart`` further on."""
+    return np.concatenate([[0], np.cumsum(table[letters[:-apart], letters[apart:]])])
+
+
+def half_scores(seqs: DataFrame, half: int, similarity: Sequence[Sequence[float]], distance: Sequence[Sequence[float]],
+                id_col: str = "protein_id", seq_col: str = "seq") -> DataFrame:
+    """(id, n, similarity, distance, most_similar, nearest): the halves of each window of ``2 * half`` letters compared."""
+    tables = [np.array(t).astype(np.int64) for t in (similarity, distance)]
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, letters, first, row, _ in window_blocks(batches, 2 * half, seq_col):
+            s, d = (sums[first + half] - sums[first] for sums in (_place_sums(letters, half, t) for t in tables))
+            rows, begins = np.unique(row, return_index=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(rows)), pa.array(np.diff(np.append(begins, len(row)))),
+                 pa.array(np.add.reduceat(s, begins)), pa.array(np.add.reduceat(d, begins)),
+                 pa.array(np.maximum.reduceat(s, begins)), pa.array(np.minimum.reduceat(d, begins))],
+                names=["id", "n", "s", "d", "most", "least"])
+
+    kind = seqs.schema[id_col].dataType.simpleString()
+    found = seqs.select(F.col(id_col).alias("id"), seq_col).mapInArrow(
+        compared, f"id {kind}, n long, s long, d long, most long, least long")
+    return found.groupBy(F.col("id").alias(id_col)).agg(
+        F.sum("n").alias("n"), F.sum("s").alias("similarity"), F.sum("d").alias("distance"),
+        F.max("most").alias("most_similar"), F.min("least").alias("nearest"))

@@ -111,15 +111,7 @@ scored AS (SELECT protein_id, {pair_sum_sql('a', 'b', C.BLOSUM62, 10)} AS s,
 SELECT protein_id, count(*) AS n, CAST(sum(s) AS BIGINT) AS similarity, CAST(sum(d) AS BIGINT) AS distance,
        CAST(max(s) AS BIGINT) AS most_similar, CAST(min(d) AS BIGINT) AS nearest FROM scored GROUP BY protein_id""")
 def kmer_blosum(spark, sf_dir):
-    wide = K.explode_kmers(proteins(spark, sf_dir), 20)
-    codes = F.col("codes")
-    scored = wide.select("protein_id", V.kmer_codes(F.col("kmer")).alias("codes")).select(
-        "protein_id", V.blosum_score(codes, codes, 10, 0, 10).alias("s"),
-        V.blosum_distance(codes, codes, 10, 0, 10).alias("d"))
-    return scored.groupBy("protein_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("s").alias("similarity"), F.sum("d").alias("distance"),
-        F.max("s").cast("long").alias("most_similar"), F.min("d").cast("long").alias("nearest"),
-    )
+    return P.half_scores(proteins(spark, sf_dir), 10, C.BLOSUM62, C.BLOSUM_DISTANCE)
 
 
 _CORRELATION_K = (2, 5, 10)

@@ -49,3 +49,16 @@ def test_letter_matrix(seqs):
     for row in rows:
         total = sum(cells[row.motif, row.pos, a] for a in C.RESIDUES)
         assert all(row[a] == pytest.approx(cells[row.motif, row.pos, a] / total) for a in C.MOTIF_LETTERS)
+
+
+def score(table, a, b):
+    return sum(int(table[C.RESIDUES.index(x)][C.RESIDUES.index(y)]) for x, y in zip(a, b))
+
+
+def test_half_scores(seqs):
+    want = {}
+    for i, _, w in windows(20):
+        want.setdefault(i, []).append((score(C.BLOSUM62, w[:10], w[10:]), score(C.BLOSUM_DISTANCE, w[:10], w[10:])))
+    rows = P.half_scores(seqs, 10, C.BLOSUM62, C.BLOSUM_DISTANCE).collect()
+    assert {tuple(r) for r in rows} == {
+        (i, len(v), sum(s for s, _ in v), sum(d for _, d in v), max(s for s, _ in v), min(d for _, d in v)) for i, v in want.items()}

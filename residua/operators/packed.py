@@ -185,3 +185,28 @@ def half_scores(seqs: DataFrame, half: int, similarity: Sequence[Sequence[float]
     return found.groupBy(F.col("id").alias(id_col)).agg(
         F.sum("n").alias("n"), F.sum("s").alias("similarity"), F.sum("d").alias("distance"),
         F.max("most").alias("most_similar"), F.min("least").alias("nearest"))
+
+
+def prefix_correlation(seqs: DataFrame, half: int, prefixes: Sequence[int], similarity: Sequence[Sequence[float]],
+                       distance: Sequence[Sequence[float]], seq_col: str = "seq") -> DataFrame:
+    """(k, n, correlation) of the two scores over the first k letters of each window's halves.
+
+    Scores are whole numbers, so a block sends exact sums of them, their squares and products.
+    """
+    tables = [np.array(t).astype(np.int64) for t in (similarity, distance)]
+    sums = ["n", "s", "d", "ss", "dd", "sd"]
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, letters, first, _, _ in window_blocks(batches, 2 * half, seq_col):
+            both = [_place_sums(letters, half, t) for t in tables]
+            rows = []
+            for k in prefixes:
+                s, d = (x[first + k] - x[first] for x in both)
+                rows.append((k, len(s), s.sum(), d.sum(), (s * s).sum(), (d * d).sum(), (s * d).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*rows)], names=["k", *sums])
+
+    found = seqs.select(seq_col).mapInArrow(added, "k long, " + ", ".join(f"{c} long" for c in sums))
+    total = found.groupBy("k").agg(*[F.sum(c).alias(c) for c in sums])
+    n, s, d = F.col("n").cast("double"), F.col("s").cast("double"), F.col("d").cast("double")
+    spread = F.sqrt((F.col("ss") - s * s / n) * (F.col("dd") - d * d / n))
+    return total.select("k", "n", ((F.col("sd") - s * d / n) / F.nullif(spread, F.lit(0.0))).alias("correlation"))

@@ -129,21 +129,8 @@ def _correlation_sql() -> str:
 
 @query("score_correlation", _correlation_sql())
 def score_correlation(spark, sf_dir):
-    wide = K.explode_kmers(proteins(spark, sf_dir), 20)
-    coded = wide.select(V.kmer_codes(F.col("kmer")).alias("codes"))
-    a, b = F.slice("codes", 1, 10), F.slice("codes", 11, 10)
-    # both tables are looked up once per position; every k takes a prefix
-    scored = coded.select(V.position_scores(a, b, C.BLOSUM62, "int").alias("s"),
-                          V.position_scores(a, b, C.BLOSUM_DISTANCE, "int").alias("d"))
-
-    def prefix(col: str, k: int):
-        return F.aggregate(F.slice(col, 1, k), F.lit(0), lambda total, v: total + v)
-
-    cells = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), prefix("s", k).alias("s"), prefix("d", k).alias("d"))
-                      for k in _CORRELATION_K])
-    return scored.select(F.inline(cells)).groupBy("k").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.corr("s", "d"), 6).alias("correlation")
-    )
+    found = P.prefix_correlation(proteins(spark, sf_dir), 10, _CORRELATION_K, C.BLOSUM62, C.BLOSUM_DISTANCE)
+    return found.withColumn("correlation", F.round("correlation", 6))
 
 
 _REDUCED = C.group_codes("murphy10")

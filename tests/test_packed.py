@@ -62,3 +62,9 @@ def test_half_scores(seqs):
     rows = P.half_scores(seqs, 10, C.BLOSUM62, C.BLOSUM_DISTANCE).collect()
     assert {tuple(r) for r in rows} == {
         (i, len(v), sum(s for s, _ in v), sum(d for _, d in v), max(s for s, _ in v), min(d for _, d in v)) for i, v in want.items()}
+
+
+def test_prefix_correlation(seqs):
+    for row in P.prefix_correlation(seqs, 10, (2, 10), C.BLOSUM62, C.BLOSUM_DISTANCE).collect():
+        pairs = [(score(C.BLOSUM62, w[:row.k], w[10:]), score(C.BLOSUM_DISTANCE, w[:row.k], w[10:])) for _, _, w in windows(20)]
+        assert row.n == len(pairs) and row.correlation == pytest.approx(np.corrcoef(np.array(pairs).T)[0, 1])

@@ -210,3 +210,54 @@ def prefix_correlation(seqs: DataFrame, half: int, prefixes: Sequence[int], simi
     n, s, d = F.col("n").cast("double"), F.col("s").cast("double"), F.col("d").cast("double")
     spread = F.sqrt((F.col("ss") - s * s / n) * (F.col("dd") - d * d / n))
     return total.select("k", "n", ((F.col("sd") - s * d / n) / F.nullif(spread, F.lit(0.0))).alias("correlation"))
+
+
+def shared_links(seqs: DataFrame, k: int, id_col: str = "protein_id", seq_col: str = "seq") -> DataFrame:
+    """(a, b): pairs of ids whose links join all sequences that share a k-mer of any length.
+
+    A k-mer is two numbers or more. A block links the holders of a k-mer in it and
+    sends the lowest of them; after the shuffle each holder is linked to the next.
+    The blocks' links travel with the k-mers, marked by a last number below zero.
+    """
+    borders = np.linspace(0, k, max(2, -(-k // NUMBER)) + 1).astype(int).tolist()
+    parts = [(at, upto - at) for at, upto in zip(borders, borders[1:])]
+    keys = [f"n{i}" for i in range(len(parts))]
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, letters, first, row, _ in window_blocks(batches, k, seq_col):
+            ids = batch.column("id").to_numpy()[row]
+            numbers = [window_numbers(letters, first, n, at) for at, n in parts]
+            order = np.lexsort([ids, *reversed(numbers)])
+            ids, numbers = ids[order], [x[order] for x in numbers]
+            new = np.ones(len(ids), bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in numbers], axis=0)
+            a, b = _differing(ids, ~new[1:])
+            numbers = [x[new] for x in numbers]
+            marks = [b, *[np.zeros_like(b)] * (len(parts) - 2), np.full_like(b, -1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([ids[new], a])), *[pa.array(np.concatenate(x)) for x in zip(numbers, marks)]],
+                names=["id", *keys])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [np.zeros(0, np.int64)] * (len(keys) + 1)
+        for batch in batches:
+            columns = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(last, ["id", *keys])]
+            begin, last = len(last[0]), [x[-1:] for x in columns]
+            ids, numbers = columns[0], columns[1:]
+            mark = numbers[-1] < 0
+            a, b = _differing(ids, ~mark[1:] & np.all([x[1:] == x[:-1] for x in numbers], axis=0))
+            own = np.flatnonzero(mark[begin:]) + begin
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([a, ids[own]])), pa.array(np.concatenate([b, numbers[0][own]]))], names=["a", "b"])
+
+    numbered = ", ".join(f"{c} long" for c in ["id", *keys])
+    rows = seqs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), seq_col).mapInArrow(held, numbered)
+    met = _dealt(rows, seqs, keys, seq_col).sortWithinPartitions(*keys, "id")
+    return met.mapInArrow(linked, "a long, b long").distinct()
+
+
+def _differing(ids: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs of unequal neighbours in ``ids`` where ``joined`` says that they belong together."""
+    at = np.flatnonzero(joined & (ids[1:] != ids[:-1]))
+    pairs = np.unique(np.stack([ids[at], ids[at + 1]], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1]

@@ -68,3 +68,13 @@ def test_prefix_correlation(seqs):
     for row in P.prefix_correlation(seqs, 10, (2, 10), C.BLOSUM62, C.BLOSUM_DISTANCE).collect():
         pairs = [(score(C.BLOSUM62, w[:row.k], w[10:]), score(C.BLOSUM_DISTANCE, w[:row.k], w[10:])) for _, _, w in windows(20)]
         assert row.n == len(pairs) and row.correlation == pytest.approx(np.corrcoef(np.array(pairs).T)[0, 1])
+
+
+def test_shared_links(spark, seqs):
+    long = "MKVLAAGIVWYRNDCQEGHILKMFPSTWYV"
+    rows = [(i, seq) for i, seq in enumerate([long, "AA" + long, long[3:28], long[:24], "CCC" + long[5:], "W" * 40, "W" * 30, None])]
+    links = P.shared_links(spark.createDataFrame(rows, "protein_id long, seq string"), 25)
+    root = list(range(len(rows)))
+    for a, b in links.collect():
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert root == [0, 0, 0, 3, 0, 5, 5, 7]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from residua import constants as C
 from residua.functions.alphabet import reduce_sequence
@@ -34,11 +34,24 @@ def explode_kmers(seqs: DataFrame, k: int, id_col: str = "protein_id", seq_col:
 
 
 def count_kmers(kmers: DataFrame, id_col: str = "protein_id") -> DataFrame:
-    """Each distinct k-mer with its count and its first position."""
-    return kmers.groupBy("kmer").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.struct(F.col(id_col), F.col("pos"))).alias("_first"),
-    ).select("kmer", "n", F.col(f"_first.{id_col}").alias(id_col), F.col("_first.pos").alias("pos"))
+    """Each distinct k-mer with its count and its first position; a null id is before all others.
+
+    A place is one number if ids are whole numbers: the least number is kept in
+    a hash table, while the least pair would have all rows sorted.
+    """
+    kind = kmers.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        return kmers.groupBy("kmer").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min(F.struct(F.col(id_col), F.col("pos"))).alias("_first"),
+        ).select("kmer", "n", F.col(f"_first.{id_col}").alias(id_col), F.col("_first.pos").alias("pos"))
+    number, step = "decimal(38,0)", F.lit(1 << 32).cast("decimal(11,0)")
+    no_id = F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)")
+    place = F.coalesce(F.col(id_col).cast("decimal(20,0)"), no_id) * step + F.col("pos")
+    counted = kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.min(place.cast(number)).alias("_first"))
+    pos = F.pmod("_first", step.cast(number))
+    first = ((F.col("_first") - pos) / step).cast("decimal(20,0)")
+    return counted.select("kmer", "n", F.nullif(first, no_id).cast(kind).alias(id_col), pos.cast(kmers.schema["pos"].dataType).alias("pos"))
 
 
 def peptide_stats(seqs: DataFrame, seq_col: str = "seq") -> DataFrame:

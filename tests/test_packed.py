@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from residua import constants as C
-from residua.operators import packed as P
+from residua.functions import alphabet as A
+from residua.operators import groups as G, kmers as K, packed as P, search as S
+from residua.plans.catalog import QUERIES
 
 TEXTS = [(1, "ACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRSTVWY"), (2, "MKVLAAGIVACDEFGHIKLMNPW"), (3, "AC"), (4, ""), (5, None),
          (None, "MKVLAAGIVWWWWWWWWWWWWWWWWWWWW"), (1, "MKVLAAGIVKKKKKKKKKKKKK")]
@@ -78,3 +80,14 @@ def test_shared_links(spark, seqs):
     for a, b in links.collect():
         root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
     assert root == [0, 0, 0, 3, 0, 5, 5, 7]
+
+
+def test_counted_kmers_keep_the_first_place_without_sorting(seqs):
+    found = K.count_kmers(K.explode_kmers(seqs, 4))
+    n, first = Counter(w for _, _, w in windows(4)), {}
+    for i, at, w in windows(4):
+        first[w] = min(first.get(w, (2**63, 0)), (-(2**63) if i is None else i, at))
+    want = {(w, n[w], None if i == -(2**63) else i, at) for w, (i, at) in first.items()}
+    assert {tuple(r) for r in found.collect()} == want
+    assert found.schema["protein_id"].dataType == seqs.schema["protein_id"].dataType
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()

@@ -8,6 +8,7 @@ from residua import constants as C
 from residua.functions.alphabet import reduce_sequence
 from residua.functions.vectors import kmer_point
 from residua.operators.layout import range_slices, running_total
+from residua.session import cut_lineage
 
 PIECE = 2048
 
@@ -103,7 +104,8 @@ def number_in_order(df: DataFrame, id_col: str, pos_col: str, name: str = "ordin
 
 def named_points(sample: DataFrame, names: DataFrame, id_col: str = "protein_id") -> DataFrame:
     """Sampled k-mers as named points: ``name#protein$position@kmer*ordinal``."""
-    numbered = number_in_order(sample, id_col, "pos").join(names, id_col)
+    # numbering reads the sample several times
+    numbered = number_in_order(cut_lineage(sample), id_col, "pos").join(names, id_col)
     label = F.concat(
         F.get(F.split("name", r"\s+"), F.lit(0)), F.lit("#"), F.col(id_col), F.lit("$"), F.col("pos"),
         F.lit("@"), F.col("kmer"), F.lit("*"), F.col("ordinal"),

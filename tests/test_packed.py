@@ -91,3 +91,13 @@ def test_counted_kmers_keep_the_first_place_without_sorting(seqs):
     assert {tuple(r) for r in found.collect()} == want
     assert found.schema["protein_id"].dataType == seqs.schema["protein_id"].dataType
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_named_points_read_the_sample_once(seqs):
+    known = seqs.filter("protein_id IS NOT NULL")
+    names = known.select("protein_id", F.lit("n").alias("name")).distinct()
+    sample = K.sample_kmers(known, 5, steps=1)
+    named = K.named_points(sample, names)
+    assert sorted(r.name for r in named.collect()) == sorted(
+        f"n#{r.protein_id}${r.pos}@{r.kmer}*{i}" for i, r in enumerate(sample.orderBy("protein_id", "pos").collect()))
+    assert "substring(seq" not in named._jdf.queryExecution().optimizedPlan().toString()

@@ -101,3 +101,21 @@ def test_named_points_read_the_sample_once(seqs):
     assert sorted(r.name for r in named.collect()) == sorted(
         f"n#{r.protein_id}${r.pos}@{r.kmer}*{i}" for i, r in enumerate(sample.orderBy("protein_id", "pos").collect()))
     assert "substring(seq" not in named._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cleaned_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(A, "_BLOCK", 8)
+    texts = ["Box of jazz", None, "", "été-Ünïcode z", "12 3", "oooooooooooooooooooooooo", "ABC\nxyz"]
+    want = [t if t is None else "".join(
+        C.RESIDUES[(ord(c) + i) % 20] if c in C.NON_RESIDUES else c
+        for i, c in enumerate(c.upper() for c in t if c.isascii() and c.isalpha())) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    assert [r.s for r in rows.select("i", A.clean_residues(F.col("t")).alias("s")).orderBy("i").collect()] == want
+
+
+@pytest.mark.parametrize("name", ["karlin_statistics", "sum_statistics"])
+def test_lengths_are_read_once(spark, tmp_path, name):
+    rows = spark.createDataFrame([(i, "ACDEFGHIKL" * (10 + i)) for i in range(30)], "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    assert "text" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() > 0

@@ -66,13 +66,12 @@ def feature_counts(seqs: DataFrame, id_col: str = "protein_id", length: int = 3)
 
     @F.arrow_udf("array<struct<code:int,n:long>>")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("code", pa.int32()), ("n", pa.int64())]))
         for texts in batches:
-            rows = []
-            for text in texts:
-                codes, n = np.unique(_octet_codes(text.as_py(), length), return_counts=True)
-                rows.append([{"code": c, "n": m} for c, m in zip(codes.tolist(), n.tolist())])
-            yield pa.array(rows, kind)
+            found = [np.unique(_octet_codes(text.as_py(), length), return_counts=True) for text in texts]
+            ends = np.cumsum([0, *(len(codes) for codes, _ in found)])
+            cells = [np.concatenate([pair[i] for pair in found] or [np.zeros(0, np.int64)]) for i in (0, 1)]
+            rows = pa.StructArray.from_arrays([pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.int64())], names=["code", "n"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
     found = seqs.select(id_col, F.explode(counted("seq")).alias("_f"))
     return found.select(id_col, F.col("_f.code").alias("code"), F.col("_f.n").alias("n"))

@@ -119,3 +119,11 @@ def test_lengths_are_read_once(spark, tmp_path, name):
     rows.write.parquet(f"{tmp_path}/documents.parquet")
     found = QUERIES[name](spark, str(tmp_path))
     assert "text" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() > 0
+
+
+def test_feature_counts(seqs):
+    code = dict(zip(C.RESIDUES, map(int, C.group_codes("octet"))))
+    want = Counter((i, sum(code[a] << 3 * j for j, a in enumerate(t[at:at + 3])))
+                   for i, t in TEXTS if i not in (1, None) for at in range(len(t or "") - 2))
+    rows = G.feature_counts(seqs.filter("protein_id <> 1")).collect()
+    assert {(r.protein_id, r.code): r.n for r in rows} == dict(want) and len(rows) == len(want)

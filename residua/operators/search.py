@@ -58,8 +58,9 @@ def _coded_centers(centers: DataFrame) -> DataFrame:
     return distinct_kmers(centers).select(F.col("kmer").alias("center"), kmer_codes(F.col("kmer")).alias("_cc"))
 
 
-def _kmer_hits(kmers: DataFrame, centers: DataFrame, k: int, radius: float, key_points, seen_before) -> DataFrame:
-    """Hits of keyed centres among k-mers.
+def _kmer_hits(kmers: DataFrame, centers: DataFrame, k: int, radius: float, key_points, seen_before,
+               located: bool = False) -> DataFrame:
+    """Hits of keyed centres among k-mers; ``located`` gives every occurrence with its other columns.
 
     Copies of a k-mer share one point. With a small centre side every k-mer is
     looked up where it is read and copies of hits are dropped at the end; with a
@@ -67,12 +68,15 @@ def _kmer_hits(kmers: DataFrame, centers: DataFrame, k: int, radius: float, key_
     """
     # key, table number, residue indices, letters and the hash table's own needs
     small = small_enough(centers, 200 + 12 * k)
-    points = kmers.select("kmer") if small else distinct_kmers(kmers)
+    if located and not small:
+        return locate_hits(_kmer_hits(kmers, centers, k, radius, key_points, seen_before), kmers)
+    kept = kmers.columns if located else ["kmer"]
+    points = kmers.select(*kept) if small else distinct_kmers(kmers)
     points = key_points(points)
     fresh = _pair_up(points, centers, small, "kmer").withColumn("_pc", kmer_codes(F.col("kmer"))).filter(~seen_before)
     d = F.sqrt(kmer_distance_sq(F.col("_cc"), F.col("_pc"), k))
-    hits = fresh.select("center", "kmer", d.alias("distance")).filter(F.col("distance") <= radius)
-    if not small:
+    hits = fresh.select("center", *kept, d.alias("distance")).filter(F.col("distance") <= radius)
+    if located or not small:
         return hits
     return hits.groupBy("center", "kmer").agg(F.first("distance").alias("distance"))
 
@@ -234,9 +238,12 @@ def _near_blocks(block: Column, limit: float) -> Column:
     return F.transform(F.aggregate(kmer_codes(block), start, longer), lambda g: g["text"])
 
 
-def kmer_radius_exact(centers: DataFrame, kmers: DataFrame, k: int, radius: float) -> DataFrame:
+def kmer_radius_exact(centers: DataFrame, kmers: DataFrame, k: int, radius: float, located: bool = False) -> DataFrame:
     """(center, kmer, distance) for all distinct k-mers within the radius, by equi-joins.
 
+    With ``located`` every occurrence of a k-mer is a row of its own and keeps its
+    columns; few enough centres find it where it is read, without a join back.
+
     The squared distance is a sum over positions. When it is at most radius^2 and
     the k positions are cut into m blocks, some block's share is at most
     radius^2 / m. The centre's blocks are therefore replaced by all their
@@ -264,7 +271,7 @@ def kmer_radius_exact(centers: DataFrame, kmers: DataFrame, k: int, radius: floa
     def keyed(points: DataFrame) -> DataFrame:
         return points.select("*", F.posexplode(texts("kmer")).alias("_table", "_key"))
 
-    return _kmer_hits(kmers, c, k, radius, keyed, before)
+    return _kmer_hits(kmers, c, k, radius, keyed, before, located)
 
 
 def locate_hits(hits: DataFrame, kmers: DataFrame) -> DataFrame:

@@ -301,8 +301,7 @@ SELECT k.protein_id, count(*) AS n_hits, round(min(distance), 6) AS nearest, cou
 FROM kmers k JOIN h USING (kmer) GROUP BY k.protein_id""")
 def located_hits(spark, sf_dir):
     probes, database = _kmer_sides(spark, sf_dir)
-    hits = S.kmer_radius_exact(probes, database, KMER_K, KMER_RADIUS)
-    per = S.locate_hits(hits, database).groupBy("protein_id", "center").agg(
+    per = S.kmer_radius_exact(probes, database, KMER_K, KMER_RADIUS, located=True).groupBy("protein_id", "center").agg(
         F.count(F.lit(1)).alias("n"), F.min("distance").alias("d"))
     return per.groupBy("protein_id").agg(F.sum("n").alias("n_hits"), F.round(F.min("d"), 6).alias("nearest"),
                                          F.count(F.lit(1)).alias("n_centers"))

@@ -127,3 +127,12 @@ def test_feature_counts(seqs):
                    for i, t in TEXTS if i not in (1, None) for at in range(len(t or "") - 2))
     rows = G.feature_counts(seqs.filter("protein_id <> 1")).collect()
     assert {(r.protein_id, r.code): r.n for r in rows} == dict(want) and len(rows) == len(want)
+
+
+def test_located_hits_without_a_join_back(seqs):
+    kmers = K.explode_kmers(seqs, 4)
+    centers = kmers.filter("protein_id = 2").select("kmer")
+    found = S.kmer_radius_exact(centers, kmers, 4, 6.0, located=True)
+    want = S.locate_hits(S.kmer_radius_exact(centers, kmers, 4, 6.0), kmers).select(*found.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.count() > 20
+    assert not any("hashpartitioning(kmer" in line for line in exchanges(found))

@@ -11,7 +11,7 @@ from residua.functions.hashing import KernelFamily
 from residua.operators import groups as G, kmers as K, packed as P
 from residua.operators.neighbours import best_neighbours, neighbour_overlaps, top_overlap
 from residua.operators.search import owner_of_position
-from residua.operators.layout import range_slices, running_total
+from residua.operators.layout import by_key, range_slices, running_total
 from residua.operators.sequences import suffix_order, truncate_motifs
 from residua.operators.suffixes import suffix_ranks
 from residua.plans.registry import (
@@ -29,7 +29,8 @@ SELECT kmer, count(*) AS n, count(DISTINCT protein_id) AS n_proteins, CAST(sum(p
        min(pos) AS pos_min, max(pos) AS pos_max
 FROM kmers GROUP BY kmer""")
 def kmer_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = K.explode_kmers(proteins(spark, sf_dir), 3)
+    # a sequence's windows are counted where it is
+    found = K.explode_kmers(by_key(proteins(spark, sf_dir), "protein_id"), 3)
     per = found.groupBy("kmer", "protein_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("pos").alias("s"), F.min("pos").alias("lo"), F.max("pos").alias("hi")
     )

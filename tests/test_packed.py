@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from residua import constants as C
 from residua.functions import alphabet as A
 from residua.operators import groups as G, kmers as K, packed as P, search as S
+from residua.operators.layout import by_key
 from residua.plans.catalog import QUERIES
 
 TEXTS = [(1, "ACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRSTVWY"), (2, "MKVLAAGIVACDEFGHIKLMNPW"), (3, "AC"), (4, ""), (5, None),
@@ -136,3 +137,26 @@ def test_located_hits_without_a_join_back(seqs):
     want = S.locate_hits(S.kmer_radius_exact(centers, kmers, 4, 6.0), kmers).select(*found.columns)
     assert sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.count() > 20
     assert not any("hashpartitioning(kmer" in line for line in exchanges(found))
+
+
+def test_windows_stay_with_their_sequence(spark, seqs):
+    found = K.explode_kmers(by_key(seqs, "protein_id", 2), 3).groupBy("kmer", "protein_id").count()
+    assert len(exchanges(found)) == 1 and "hashpartitioning(protein_id" in exchanges(found)[0]
+    assert {tuple(r) for r in found.collect()} == {(w, i, n) for (i, w), n in Counter((i, w) for i, _, w in windows(3)).items()}
+
+
+@pytest.mark.parametrize("name", ["kmer_positions", "kmer_lateral"])
+def test_no_shuffle_by_kmer_and_id(spark, tmp_path, name):
+    rows = spark.createDataFrame([(i % 40, "ACDEFGHIKL" * 3) for i in range(100)], "doc_id long, text string")
+    # as many files as a large table has, so that the scan is not spread
+    rows.repartition(40).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = QUERIES[name](spark, str(tmp_path))
+        assert not any("hashpartitioning(kmer" in line and "protein_id" in line or "hashpartitioning(protein_id" in line and "kmer" in line
+                       for line in exchanges(found))
+        assert {r.n_proteins for r in found.collect()} == {40}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -8,6 +8,7 @@ from residua import constants as C
 from residua.functions.alphabet import clean_residues
 from residua.functions.table_functions import register_functions
 from residua.operators import kmers as K
+from residua.operators.layout import by_key
 from residua.plans.genome_queries import _codon_sql, _DNA_SQL
 from residua.plans.format_queries import _alignment
 from residua.plans.registry import (
@@ -27,7 +28,7 @@ def kmer_lateral(spark, sf_dir):
           FROM (SELECT protein_id, begin, kmers(piece, 4) AS windows
             FROM (SELECT protein_id, kmer_pieces(seq, 4) AS pieces FROM {proteins}), LATERAL inline(pieces)),
             LATERAL inline(windows)
-          GROUP BY protein_id, kmer) GROUP BY kmer""", proteins=proteins(spark, sf_dir))
+          GROUP BY protein_id, kmer) GROUP BY kmer""", proteins=by_key(proteins(spark, sf_dir), "protein_id"))
 
 
 @query("frame_lateral", f"""

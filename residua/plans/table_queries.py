@@ -37,8 +37,9 @@ WITH {_DNA_SQL}, strands AS (SELECT doc_id, 0 AS strand, seq FROM dna
 frames AS (SELECT doc_id, strand * 3 + f AS frame, substr(seq, CAST(f + 1 AS INTEGER)) AS s FROM strands, (SELECT unnest([0, 1, 2]) AS f))
 SELECT doc_id, CAST(frame AS INTEGER) AS frame, split_part(array_to_string(list_transform(regexp_extract_all(s, '...'), lambda c: {_codon_sql('c')}), ''), '*', 1) AS aa FROM frames""")
 def frame_lateral(spark, sf_dir):
+    # each text has six frames; without "outer" Spark would make them a first time to drop empty lists
     return register_functions(spark).sql(
-        "SELECT doc_id, frame, aa FROM (SELECT doc_id, frames(seq) AS found FROM {dna}), LATERAL inline(found)", dna=dna(spark, sf_dir))
+        "SELECT doc_id, frame, aa FROM (SELECT doc_id, frames(seq) AS found FROM {dna}), LATERAL inline_outer(found)", dna=dna(spark, sf_dir))
 
 
 @query("run_lateral", f"""

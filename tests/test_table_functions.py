@@ -2,6 +2,7 @@ import pytest
 
 from residua.functions.table_functions import Runs, register_functions
 from residua.operators.kmers import PIECE
+from residua.plans.catalog import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +28,22 @@ def test_frames_stop_and_unknown_bases(known):
     assert [r.aa for r in known.sql("SELECT frames('') AS f").first().f] == [""] * 6
 
 
+def test_frames_are_cut_before_they_are_translated(known):
+    # 300,000 codons behind an early stop, none before a late one, line ends between codons
+    for text, first in (("ATGTAA" + "GCC" * 300_000, "M"), ("GCC" * 20_000 + "TGAGCC", "A" * 20_000), ("\nA\nACGT\rAA", "T")):
+        assert known.sql("SELECT frames({t}) AS f", t=text).first().f[0].aa == first
+        assert known.sql("SELECT frame_residues({t}, 0) AS aa", t=text).first().aa == first
+    assert [r.aa for r in known.sql("SELECT frames(CAST(NULL AS STRING)) AS f").first().f] == [None] * 6
+
+
+def test_frames_are_made_once_for_each_text(known, tmp_path):
+    known.createDataFrame([(1, "ATG GCC"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    frame = QUERIES["frame_lateral"](known, str(tmp_path))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("ArrowEvalPython") == 1
+    assert frame.filter("doc_id = 2 AND aa IS NULL").count() == 6
+
+
 def test_runs_follow_their_arguments(known):
     text = "AABCCC\U0001F600\U0001F600"
     assert [tuple(r) for r in known.sql("SELECT * FROM runs({t}, 2)", t=text).collect()] == [

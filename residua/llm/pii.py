@@ -10,13 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from residua.llm.boosting import Boosted, boosted_scores
-from residua.llm.texts import by_pieces, free_name, hash_bound, texts_of
+from residua.llm.boosting import BINS, Boosted, bins_of, boosted_scores, cuts_of, gradient_sums
+from residua.llm.texts import by_pieces, free_name, hash_bound, stored, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
-# documents with a candidate, and candidates, that the trees are fitted on: the bounds of the training sample
-SAMPLE_DOCS = 4_000
-SAMPLE_CANDIDATES = 30_000
+# different candidates that one block of training rows holds; a single block is worked on where the trees are made
+BLOCK_ROWS = 100_000
+# thresholds are whole parts of one
+PARTS = 10_000
 # share of true ones among accepted candidates that a kind's threshold must reach on held-back candidates
 PRECISION = 0.98
 
@@ -26,6 +27,10 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# kinds but email need a digit, and a loose address one of these: the literal starts are found fast in texts that have none
+_DIGIT = re.compile(r"[0-9]")
+_SITE = r"[A-Za-z0-9-]{1,63}(?: ?[(\[{] ?dot ?[)\]}] ?| dot |\.)[A-Za-z0-9-]"
+_AT = [re.compile(start + _SITE) for start in (r" at ", r"@ ?", r"at ?[)\]}] ?")]
 # the high-recall generators
 _LOOSE = (
     ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?[(\[{] ?at ?[)\]}] ?| at |@| @ )[A-Za-z0-9-]{1,63}"
@@ -62,6 +67,8 @@ def strict_spans(text: str | None) -> list[tuple[int, int, str]]:
             last = domain.end()
             found.append((start, last, "email"))
         at = text.find("@", max(at + 1, last))
+    if not _DIGIT.search(text):
+        return found
     found += [(*m.span(), "ip") for m in _IP.finditer(text) if _small_parts(m[0])]
     for m in _CARD.finditer(text):
         digits = re.sub(r"[^0-9]", "", m[0]) if m.end() - m.start() >= 12 else ""
@@ -78,7 +85,9 @@ def _small_parts(address: str) -> bool:
 
 def loose_spans(text: str | None) -> list[tuple[int, int, str]]:
     """Candidates of every generator; they may overlap."""
-    return [(*m.span(), kind) for kind, pattern in _LOOSE for m in pattern.finditer(text or "")]
+    text = text or ""
+    address, digit = any(p.search(text) for p in _AT), _DIGIT.search(text)
+    return [(*m.span(), kind) for kind, pattern in _LOOSE if (address if kind == "email" else digit) for m in pattern.finditer(text)]
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
@@ -171,41 +180,113 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(labels, pa.float64())], names=["h", "place", "x", "y"])
 
 
-def thresholds(kinds: np.ndarray, scores: np.ndarray, truth: np.ndarray, precision: float = PRECISION) -> dict[str, float]:
-    """For each kind the lowest score from which on enough candidates are true; above 1 if there is none."""
+def thresholds(kinds: np.ndarray, scores: np.ndarray, truth: np.ndarray, precision: float = PRECISION,
+               count: np.ndarray | None = None) -> dict[str, float]:
+    """For each kind the lowest score from which on enough candidates are true; above 1 if there is none.
+
+    With ``count`` a row stands for so many candidates, of which ``truth`` are true.
+    """
     out = {}
+    count = np.ones(len(truth)) if count is None else count
     for number, kind in enumerate(KINDS):
         own = kinds == number
         order = np.argsort(-scores[own], kind="stable")
-        s, y = scores[own][order], truth[own][order]
-        share = np.cumsum(y) / np.arange(1, len(y) + 1)
+        s, y, n = scores[own][order], truth[own][order], count[own][order]
+        share = np.cumsum(y) / np.cumsum(n)
         last_of_tie = np.append(s[1:] != s[:-1], True) if len(s) else np.zeros(0, bool)
         good = np.flatnonzero((share >= precision) & last_of_tie & (s >= 0.5))
         out[kind] = float(s[good[-1]]) if len(good) and y[:good[-1] + 1].any() else 2.0
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS,
-        sample_candidates: int = SAMPLE_CANDIDATES) -> dict:
-    """Trees and thresholds from a bounded sample of whole texts, chosen by hash of their content.
+def candidates(docs: DataFrame, text: str = "text", sample_docs: int | None = None) -> DataFrame:
+    """(h, place, x, y): the training rows of all different texts, or of about ``sample_docs`` of those with a digit or @."""
+    rows = docs.select(F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    if sample_docs is not None:
+        rows = rows.filter(F.col("text").rlike("[0-9@]"))
+        total = rows.select("h").distinct().count()
+        rows = rows.filter(F.col("h") <= F.lit(hash_bound(sample_docs, total)).cast("long"))
+    # copies have equal rows, so what is shuffled are candidates and no texts
+    return rows.mapInArrow(_sample, "h long, place long, x array<double>, y double").dropDuplicates(["h", "place"])
+
+
+def _binned(cuts: list[np.ndarray]):
+    """Rows (kind, key, held, y) with the bins of the features as ``key``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+            keys = [row.tobytes() for row in bins_of(cuts, x)]
+            held = batch.column("h").to_numpy() % 3 == 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[:, 0].astype(np.int32)), pa.array(keys, pa.binary()), pa.array(held), batch.column("y")],
+                names=["kind", "key", "held", "y"])
+
+    return work
+
+
+def _rows_of(block: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bins, true ones, candidates) of some rows of equal bins."""
+    keys = np.frombuffer(b"".join(block.column("key").to_pylist()), np.uint8).reshape(-1, FEATURES)
+    return keys, block.column("positive").to_numpy(), block.column("n").to_numpy()
+
+
+def _summed(rows: DataFrame, blocks: int):
+    """:func:`gradient_sums` over all ``rows``; each block gives one row of a fixed size."""
+    if blocks == 1:
+        block = _rows_of(rows.toArrow())
+        return lambda *at: gradient_sums(*block, *at)
+
+    def sums(start, trees, features, borders, level):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = sum(gradient_sums(*_rows_of(b), start, trees, features, borders, level) for b in batches if b.num_rows)
+            if not isinstance(total, int):
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        found = rows.mapInArrow(work, "sums binary").toArrow().column("sums").to_pylist()
+        return sum(np.frombuffer(f, np.int64) for f in found).reshape(2, 1 << level, FEATURES, BINS + 1)
+
+    return sums
+
+
+def fit(docs: DataFrame, text: str = "text", sample_docs: int | None = None, block_rows: int = BLOCK_ROWS) -> dict:
+    """Trees and thresholds from the candidates of all different texts; two thirds of the texts teach, the others set the thresholds.
 
-    About ``sample_docs`` different texts are looked at, and at most ``sample_candidates`` candidates kept.
+    Candidates of equal bins are one row with a count. Histograms of gradients are summed where the rows are;
+    they are whole numbers, so the trees do not depend on how the rows are dealt. ``sample_docs`` looks at fewer texts.
     """
-    rows = docs.select(F.col(text).alias("text")).filter(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
-    total = rows.select("h").distinct().count()
-    some = rows.filter(F.col("h") <= F.lit(hash_bound(sample_docs, total)).cast("long"))
-    chosen = some.dropDuplicates(["h"])
-    found = chosen.mapInArrow(_sample, "h long, place long, x array<double>, y double")
-    taken = found.orderBy("h", "place").limit(sample_candidates).collect()
+    rows = stored(candidates(docs, text, sample_docs), "pii-candidates")
+    held = F.pmod("h", F.lit(3)) == 0
+    steps = F.array(*[F.lit(float(q)) for q in np.linspace(0, 1, BINS)])
+    whole = rows.groupBy(held.alias("held")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), *[F.percentile(F.col("x")[i], steps).alias(f"q{i}") for i in range(FEATURES)])
+    sides = {r["held"]: r for r in whole.collect()}
     empty = {"start": 0.0, "features": np.zeros((0, 7), int), "borders": np.zeros((0, 7)), "leaves": np.zeros((0, 8)),
              "thresholds": dict.fromkeys(KINDS, 2.0)}
-    x, y = np.array([r["x"] for r in taken]).reshape(-1, FEATURES), np.array([r["y"] for r in taken])
-    held = np.array([r["h"] % 3 == 0 for r in taken], bool)
-    if not len(x) or len(set(y[~held])) < 2 or not held.any():
+    if len(sides) < 2 or not 0 < sides[False]["y"] < sides[False]["n"]:
         return empty
-    trees = Boosted().fit(x[~held], y[~held])
+    cuts = [cuts_of(sides[False][f"q{i}"]) for i in range(FEATURES)]
+    equal = stored(rows.mapInArrow(_binned(cuts), "kind int, key binary, held boolean, y double").groupBy("kind", "key", "held").agg(
+        F.sum("y").alias("positive"), F.count(F.lit(1)).cast("double").alias("n")), "pii-equal")
+    teaching = equal.filter("NOT held").select("key", "positive", "n")
+    blocks = max(1, -(-teaching.count() // block_rows))
+    if blocks > 1:
+        teaching = stored(teaching.repartition(blocks), "pii-blocks")
+    trees = Boosted().fit_sums(cuts, sides[False]["y"] / sides[False]["n"], _summed(teaching, blocks))
     model = {k: getattr(trees, k) for k in ("start", "features", "borders", "leaves")}
-    return model | {"thresholds": thresholds(x[held][:, 0], boosted_scores(model, x[held]), y[held])}
+    # borders are cuts, so each row's bins stand for its features
+    binned = model | {"borders": np.array([[np.searchsorted(cuts[f], b) for f, b in zip(*t)] for t in zip(trees.features, trees.borders)])}
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = np.floor(boosted_scores(binned, _rows_of(batch)[0]) * PARTS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(part), batch.column("positive"), batch.column("n")],
+                                             names=["kind", "part", "positive", "n"])
+
+    scores = equal.filter("held").select("kind", "key", "positive", "n").mapInArrow(scored, "kind int, part int, positive double, n double")
+    table = scores.groupBy("kind", "part").agg(F.sum("positive").alias("positive"), F.sum("n").alias("n")).toArrow()
+    kind, part, positive, n = (table.column(c).to_numpy() for c in ("kind", "part", "positive", "n"))
+    return model | {"thresholds": thresholds(kind, part / PARTS, positive, count=n)}
 
 
 def all_spans(model: dict, text: str | None) -> tuple[list, list]:

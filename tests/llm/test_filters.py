@@ -204,6 +204,30 @@ def test_pii_learns_beside_a_large_group_of_copies(spark):
     assert len(pii.fit(docs, sample_docs=60)["features"])
 
 
+def _letters(i):
+    return "".join("abcdefghij"[int(c)] for c in str(i))
+
+
+def test_pii_learns_from_every_text(spark):
+    dice = np.random.default_rng(28)
+    texts = [f"call +1 ({dice.integers(200, 999)}) 555-{dice.integers(1000, 9999)} or v{i}.2.3, 20{i % 90 + 10}.1.2.{i}" for i in range(60)]
+    # no digit and no @, yet candidates; more texts than any sample held
+    texts += [f"we met at {_letters(i)}.{_letters(i * 7)} today" for i in range(4_500)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, *texts[:100], None, ""]], "text string").repartition(8)
+    rows = [(tuple(x), y) for t in texts for x, y in pii.training_rows(t)]
+    found = pii.candidates(docs).collect()
+    assert sorted((tuple(r.x), r.y) for r in found) == sorted(rows) and len(rows) > 4_500
+    one, many = pii.fit(docs), pii.fit(docs, block_rows=25)
+    assert len(one["features"]) and one["thresholds"] == many["thresholds"]
+    assert all(np.array_equal(one[k], many[k]) for k in ("start", "features", "borders", "leaves"))
+
+
+def test_thresholds_count_equal_candidates_at_once():
+    kinds, scores, truth = np.zeros(6), np.array([0.9, 0.9, 0.8, 0.7, 0.7, 0.6]), np.array([1, 0, 1, 1, 1, 0.0])
+    once = pii.thresholds(np.zeros(4), np.array([0.6, 0.7, 0.8, 0.9]), np.array([0, 2, 1, 1.0]), 0.75, count=np.array([1, 2, 1, 2.0]))
+    assert once == pii.thresholds(kinds, scores, truth, 0.75)
+
+
 URLS = [
     "http://a.org/x", "http://ORG", "https://www.example.org/es/1?x#y", "https://m.example.org/en/12", "https://example.org/en/2",
     "http://x.com/fr/1", "http://x.com/de/1", "http://notorg/", "http://a.b.org?x/y", "ftp://casino.net/a", "http://mycasino.net/",

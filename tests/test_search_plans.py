@@ -4,9 +4,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from residua import constants as C
 from residua.functions import hashing as H
+from residua.functions.hashing import LshFamily
+from residua.functions.vectors import kmer_point
 from residua.operators import cluster as L, search as S
 
 CELL = np.array(C.COORDINATE_DISTANCE_SQ)
@@ -140,3 +143,20 @@ def test_hot_bucket_settles_in_few_rounds(spark, monkeypatch):
     assert got == expected and len(centers) > 150
     # slices of 20 points would take 75 rounds
     assert sum(calls) <= 15
+
+
+def test_kmers_are_clustered_as_text(spark, monkeypatch):
+    """The clusters of k-mers given as text are those of their points, and no point is kept or shuffled between steps."""
+    monkeypatch.setattr(L, "CHUNK", 20)
+    dice = np.random.default_rng(5)
+    cores = ["".join(dice.choice(list("ACDEFGHIKLMNPQRSTVWY"), 10)) for _ in range(12)]
+    kmers = [c[:at] + dice.choice(list("ILVM")) + c[at + 1:] for c in cores for at in dice.integers(0, 10, 15)] + cores + cores[:3]
+    texts = spark.createDataFrame([(i, str(k)) for i, k in enumerate(kmers)], "id long, point string")
+    family = LshFamily(dim=80, lines=2, tables=2, width=60.0)
+    slow = L.leader_clusters(texts.select("id", kmer_point(F.col("point")).alias("point")), 25.0, family)
+    expected = sorted(map(tuple, slow.collect()))
+    kept, inner = [], L.cut_lineage
+    monkeypatch.setattr(L, "cut_lineage", lambda df: (kept.append(df.schema), inner(df))[1])
+    got = L.leader_clusters(texts, 25.0, family)
+    assert sorted(map(tuple, got.collect())) == expected and len({leader for _, leader in expected}) < 100
+    assert kept and not any("array" in schema.simpleString() for schema in kept)

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from residua import constants as C
 
@@ -16,6 +16,9 @@ BLOCK = 1 << 20
 TASK_KEYS = 2_000_000
 # residues of one 64-bit number
 NUMBER = 12
+# windows that travel to one task as runs, on average, and how many of them are numbers at once
+RUN_WINDOWS = 1 << 24
+PASS_WINDOWS = 1 << 22
 
 _LETTERS = np.frombuffer(C.RESIDUES.encode(), np.uint8)
 _INDEX = np.full(256, 255, np.uint8)
@@ -65,10 +68,14 @@ def window_numbers(letters: np.ndarray, first: np.ndarray, k: int, start: int =
     """The base-20 number of the k letters from ``start`` on in each window."""
     if not 1 <= k <= NUMBER:
         raise ValueError(f"numbers hold 1 to {NUMBER} residues")
-    total = np.zeros(max(0, len(letters) - start - k + 1), np.int64)
-    for i in range(start, start + k):
-        total *= 20
-        total += letters[i:i + len(total)]
+    total, width = letters[start:].astype(np.int64), 1
+    # as many steps as k has bits: two numbers side by side are one of twice the letters
+    for bit in bin(k)[3:]:
+        total = total[:-width] * 20 ** width + total[width:]
+        width *= 2
+        if bit == "1":
+            total = total[:-1] * 20 + letters[start + width:]
+            width += 1
     return total[first]
 
 
@@ -85,11 +92,6 @@ def _texts(numbers: pa.Array, lengths: pa.Array) -> pa.Array:
     return pa.StringArray.from_buffers(len(rest), offsets, pa.py_buffer(letters.tobytes()))
 
 
-def kmer_text(number: Column, k: int) -> Column:
-    """The letters of a base-20 number of k residues."""
-    return F.arrow_udf(_texts, T.StringType())(number, F.lit(k))
-
-
 def _dealt(rows: DataFrame, seqs: DataFrame, keys: Sequence[str], seq_col: str) -> DataFrame:
     """``rows`` by key, in as many parts as the letters ask for, so that no part outgrows a task's memory."""
     letters = seqs.agg(F.sum(F.length(seq_col))).first()[0] or 0
@@ -114,24 +116,146 @@ def distinct_counts(seqs: DataFrame, k: int, seq_col: str = "seq") -> DataFrame:
     return counted.agg(F.count(F.lit(1)).alias("n_distinct"), F.count_if(F.col("n") == 1).alias("n_unique"))
 
 
+def _least_words(letters: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """The least hash of the shorter words in each window; neighbouring windows share it, and so do equal ones."""
+    size = max(1, min(10, (k + 1) * 3 // 5))
+    words = window_numbers(letters, np.arange(max(0, len(letters) - size + 1)), size)
+    least = (words.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(8)
+    width = 1
+    while width < k - size + 1:
+        step = min(width, k - size + 1 - width)
+        least[:-step] = np.minimum(least[:-step], least[step:])
+        width += step
+    return least[first]
+
+
+def _mixed(numbers: list[np.ndarray]) -> np.ndarray:
+    """One hash of the numbers of each window."""
+    total = np.zeros(len(numbers[0]), np.uint64)
+    for x in numbers:
+        total = (total ^ x.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+    return total
+
+
+def _packed_runs(letters: np.ndarray, first: np.ndarray, row: np.ndarray, pos: np.ndarray, mark: np.ndarray, k: int, parts: int,
+                 ids: pa.Array) -> pa.RecordBatch:
+    """(part, n, size, body, ids): windows in order of their place, as compressed runs of letters for each part.
+
+    Windows that follow each other and share their least word and ``mark`` are one
+    run, which holds their letters once. Equal windows go to the same part.
+    """
+    least = _least_words(letters, first, k)
+    begin = np.ones(len(first), bool)
+    begin[1:] = (first[1:] != first[:-1] + 1) | (least[1:] != least[:-1]) | (mark[1:] != mark[:-1])
+    begin = np.flatnonzero(begin)
+    n = np.diff(np.append(begin, len(first)))
+    part = ((least[begin] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(24)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    borders = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+    made, texts = [], []
+    for low, high in zip(borders[:-1], borders[1:]):
+        runs = order[low:high]
+        own, text = np.unique(row[begin[runs]], return_inverse=True)
+        long = n[runs] + k - 1
+        places = np.repeat(first[begin[runs]] - np.cumsum(long) + long, long) + np.arange(long.sum())
+        numbers = np.stack([n[runs], text, pos[begin[runs]], mark[begin[runs]]]).astype(np.int32)
+        # the bytes of one place in a number together
+        planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T)
+        body = planes.tobytes() + letters[places].tobytes()
+        made.append((int(part[runs[0]]), len(runs), len(body), pa.compress(body, codec="zstd", asbytes=True)))
+        texts.append(own)
+    columns = list(zip(*made)) or [[]] * 4
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, texts)]), pa.int32()),
+                                     ids.take(pa.array(np.concatenate(texts) if texts else [], pa.int64())))
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([*[pa.array(c, kind) for c, kind in zip(columns, kinds)], lists],
+                                      names=["part", "n", "size", "body", "ids"])
+
+
+_RUNS = "part int, n int, size long, body binary, ids array<long>"
+
+
+class _Runs:
+    """The runs of one part, kept as letters; their windows become numbers some at a time."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], k: int):
+        numbers, letters, ids, texts = [], [], [pa.array([], pa.int64())], 0
+        for batch in batches:
+            rows = zip(batch.column("n").to_pylist(), batch.column("size").to_pylist(), batch.column("body"), batch.column("ids"))
+            for n, size, body, own in rows:
+                held = np.frombuffer(pa.decompress(body.as_py(), size, codec="zstd", asbytes=True), np.uint8)
+                numbers.append(np.ascontiguousarray(held[:16 * n].reshape(4, -1).T).view(np.int32).reshape(4, n))
+                numbers[-1][1] += texts
+                letters.append(held[16 * n:])
+                ids.append(own.values)
+                texts += len(own.values)
+        self.k, self.ids = k, pa.chunked_array(ids).combine_chunks()
+        self.n, self.text, self.pos, self.mark = np.concatenate(numbers, axis=1) if numbers else np.zeros((4, 0), np.int32)
+        self.letters = np.concatenate(letters) if letters else np.zeros(0, np.uint8)
+        self.upto = np.cumsum(self.n, dtype=np.int64)
+
+    def passes(self, parts: list[tuple[int, int]]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+        """(numbers, text, pos, mark) of the windows, about PASS_WINDOWS at a time; equal windows come together.
+
+        ``parts`` says where each number begins in a window and how many letters it has.
+        """
+        total = int(self.upto[-1]) if len(self.upto) else 0
+        times = -(-total // PASS_WINDOWS)
+        place = np.cumsum(self.n + self.k - 1, dtype=np.int64) - self.n - self.k + 1
+        for turn in range(times):
+            found = []
+            at = 0
+            while at < len(self.n):
+                end = max(at + 1, int(np.searchsorted(self.upto, self.upto[at] + BLOCK)))
+                n = self.n[at:end]
+                run = np.repeat(np.arange(at, end), n)
+                inner = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+                first = place[run] - place[at] + inner
+                some = self.letters[place[at]:place[end - 1] + self.n[end - 1] + self.k - 1]
+                numbers = [window_numbers(some, first, size, start) for start, size in parts]
+                if times > 1:
+                    own = (_mixed(numbers) >> np.uint64(20)) % np.uint64(times) == turn
+                    run, inner, numbers = run[own], inner[own], [x[own] for x in numbers]
+                found.append((*numbers, self.text[run], self.pos[run] + inner, self.mark[run]))
+                at = end
+            *numbers, text, pos, mark = (np.concatenate(c) for c in zip(*found))
+            yield numbers, text, pos, mark
+
+
+def _run_parts(seqs: DataFrame, seq_col: str) -> int:
+    letters = seqs.agg(F.sum(F.length(seq_col))).first()[0] or 0
+    return max(2 * seqs.sparkSession.sparkContext.defaultParallelism, -(-letters // RUN_WINDOWS))
+
+
 def single_kmers(seqs: DataFrame, k: int, id_col: str = "protein_id", seq_col: str = "seq") -> DataFrame:
     """(id, pos, kmer) of the k-mers that occur once in all sequences; ids are whole numbers.
 
-    A block sends each of its k-mers once; ``pos`` is -1 if it is repeated there.
+    A block sends each of its k-mers once, as runs of letters, and marks those that are repeated there.
     """
+    parts = _run_parts(seqs, seq_col)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, letters, first, row, pos in window_blocks(batches, k, seq_col):
-            found, at, n = np.unique(window_numbers(letters, first, k), return_index=True, return_counts=True)
+            _, at, n = np.unique(window_numbers(letters, first, k), return_index=True, return_counts=True)
+            mark = np.zeros(len(first), np.int32)
+            mark[at] = n > 1
+            at.sort()
+            yield _packed_runs(letters, first[at], row[at], pos[at], mark[at], k, parts, batch.column("id"))
+
+    def met(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = _Runs(batches, k)
+        for (numbers,), text, pos, mark in runs.passes([(0, k)]):
+            found, at, n = np.unique(numbers, return_index=True, return_counts=True)
+            single = (n == 1) & (mark[at] == 0)
+            at = at[single]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found), batch.column("id").take(pa.array(row[at])), pa.array(np.where(n == 1, pos[at], -1))],
-                names=["number", "id", "pos"])
-
-    rows = seqs.select(F.col(id_col).cast("long").alias("id"), seq_col).mapInArrow(placed, "number long, id long, pos long")
-    met = _dealt(rows, seqs, ["number"], seq_col).groupBy("number").agg(
-        F.count(F.lit(1)).alias("n"), F.max("id").alias("id"), F.max("pos").alias("pos"))
-    single = met.filter("n = 1 AND pos >= 0")
-    return single.select(F.col("id").cast(seqs.schema[id_col].dataType).alias(id_col), "pos", kmer_text(F.col("number"), k).alias("kmer"))
+                [runs.ids.take(pa.array(text[at])), pa.array(pos[at].astype(np.int64)), _texts(pa.array(found[single]), pa.array([k]))],
+                names=["id", "pos", "kmer"])
+
+    rows = seqs.select(F.col(id_col).cast("long").alias("id"), seq_col).mapInArrow(placed, _RUNS)
+    single = rows.groupBy("part").applyInArrow(met, "id long, pos long, kmer string")
+    return single.select(F.col("id").cast(seqs.schema[id_col].dataType).alias(id_col), "pos", "kmer")
 
 
 def letter_matrix(seqs: DataFrame, k: int, group: str, seq_col: str = "seq", letters: str = C.MOTIF_LETTERS) -> DataFrame:

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +160,40 @@ def test_no_shuffle_by_kmer_and_id(spark, tmp_path, name):
         assert {r.n_proteins for r in found.collect()} == {40}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def packed_runs(rows, k, parts):
+    """(batch of runs, windows sent) of all windows of the sequences, each text as a block of its own letters."""
+    batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in rows], "seq": [s for _, s in rows]})
+    for _, letters, first, row, pos in P.window_blocks(iter([batch]), k):
+        yield P._packed_runs(letters, first, row, pos, pos.astype(np.int32) % 7 // 6, k, parts, batch.column("id")), len(first)
+
+
+def test_runs_hold_every_window_once(monkeypatch):
+    dice = np.random.default_rng(3)
+    rows = [(i, "".join(dice.choice(list(C.RESIDUES), n))) for i, n in ((7, 900), (None, 9), (None, 400), (8, 10), (9, 900))] + [(5, "A" * 60)]
+    monkeypatch.setattr(P, "PASS_WINDOWS", 300)
+    monkeypatch.setattr(P, "BLOCK", 500)
+    sent = list(packed_runs(rows + rows[:1], 10, 4))
+    found, met = [], []
+    for part in range(4):
+        own = [b.filter(pa.array([x == part for x in b.column("part").to_pylist()])) for b, _ in sent]
+        runs = P._Runs(iter(own), 10)
+        for n, (numbers, text, pos, mark) in enumerate(runs.passes([(0, 4), (4, 6)])):
+            kmers = [a + b for a, b in zip(*(P._texts(pa.array(x), pa.array([size])).to_pylist() for x, size in zip(numbers, (4, 6))))]
+            found += zip(runs.ids.take(pa.array(text)).to_pylist(), pos.tolist(), kmers, mark.tolist())
+            met += [(w, (part, n)) for w in set(kmers)]
+    want = [(i, at, s[at:at + 10], at % 7 // 6) for i, s in rows + rows[:1] for at in range(len(s) - 9)]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    # equal k-mers meet in one part and pass
+    assert len(met) == len({w for w, _ in met}) and len({p for _, p in met}) > 4
+
+
+def test_single_kmers_travel_as_runs(seqs):
+    assert all("number" not in line for line in exchanges(P.single_kmers(seqs, 10)))
+    numbers, texts = 0, 0
+    for batch, windows in packed_runs([(1, "".join(np.random.default_rng(4).choice(list(C.RESIDUES), 50_000)))], 10, 2):
+        texts += sum(len(b) for b in batch.column("body").to_pylist())
+        numbers += 3 * 8 * windows
+    # letters, places and marks are less than half of a number, an id and a place for each window
+    assert texts < numbers / 2

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from residua import constants as C
@@ -339,49 +340,77 @@ def prefix_correlation(seqs: DataFrame, half: int, prefixes: Sequence[int], simi
 def shared_links(seqs: DataFrame, k: int, id_col: str = "protein_id", seq_col: str = "seq") -> DataFrame:
     """(a, b): pairs of ids whose links join all sequences that share a k-mer of any length.
 
-    A k-mer is two numbers or more. A block links the holders of a k-mer in it and
-    sends the lowest of them; after the shuffle each holder is linked to the next.
-    The blocks' links travel with the k-mers, marked by a last number below zero.
+    A block links the holders of a k-mer in it and sends the lowest of them, with
+    its k-mers as runs of letters; where a k-mer's holders meet, they are linked.
+    Of a block's or task's links only as many are kept as join the same ids. The blocks' links
+    travel as ids without letters.
     """
-    borders = np.linspace(0, k, max(2, -(-k // NUMBER)) + 1).astype(int).tolist()
-    parts = [(at, upto - at) for at, upto in zip(borders, borders[1:])]
-    keys = [f"n{i}" for i in range(len(parts))]
+    borders = np.linspace(0, k, -(-k // NUMBER) + 1).astype(int).tolist()
+    numbered = [(at, upto - at) for at, upto in zip(borders, borders[1:])]
+    parts = _run_parts(seqs, seq_col)
+
+    def neighbours(numbers: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A place of each k-mer, and links between the holders of equal ones."""
+        mixed = _mixed(numbers)
+        order = np.argsort(mixed)
+        new = np.ones(len(ids), bool)
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in numbers], axis=0)
+        if (new[1:] & (mixed[order][1:] == mixed[order][:-1])).any():
+            # different k-mers of one hash may lie between each other
+            order = np.lexsort(numbers)
+            new[1:] = np.any([x[order][1:] != x[order][:-1] for x in numbers], axis=0)
+        return order[new], *_forest(*_differing(ids[order], ~new[1:]))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, letters, first, row, _ in window_blocks(batches, k, seq_col):
+        for batch, letters, first, row, pos in window_blocks(batches, k, seq_col):
             ids = batch.column("id").to_numpy()[row]
-            numbers = [window_numbers(letters, first, n, at) for at, n in parts]
-            order = np.lexsort([ids, *reversed(numbers)])
-            ids, numbers = ids[order], [x[order] for x in numbers]
-            new = np.ones(len(ids), bool)
-            new[1:] = np.any([x[1:] != x[:-1] for x in numbers], axis=0)
-            a, b = _differing(ids, ~new[1:])
-            numbers = [x[new] for x in numbers]
-            marks = [b, *[np.zeros_like(b)] * (len(parts) - 2), np.full_like(b, -1)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([ids[new], a])), *[pa.array(np.concatenate(x)) for x in zip(numbers, marks)]],
-                names=["id", *keys])
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = [np.zeros(0, np.int64)] * (len(keys) + 1)
+            at, a, b = neighbours([window_numbers(letters, first, n, at) for at, n in numbered], ids)
+            at.sort()
+            yield _packed_runs(letters, first[at], row[at], pos[at], np.zeros(len(at), np.int32), k, parts, batch.column("id"))
+            if len(a):
+                both = pa.ListArray.from_arrays(pa.array([0, 2 * len(a)], pa.int32()), pa.array(np.stack([a, b], 1).ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(a[0] % parts)], pa.int32()), pa.array([0], pa.int32()), pa.array([0], pa.int64()),
+                     pa.array([None], pa.binary()), both], names=["part", "n", "size", "body", "ids"])
+
+    def linked(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links, runs = [(np.zeros(0, np.int64),) * 2], []
         for batch in batches:
-            columns = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(last, ["id", *keys])]
-            begin, last = len(last[0]), [x[-1:] for x in columns]
-            ids, numbers = columns[0], columns[1:]
-            mark = numbers[-1] < 0
-            a, b = _differing(ids, ~mark[1:] & np.all([x[1:] == x[:-1] for x in numbers], axis=0))
-            own = np.flatnonzero(mark[begin:]) + begin
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([a, ids[own]])), pa.array(np.concatenate([b, numbers[0][own]]))], names=["a", "b"])
-
-    numbered = ", ".join(f"{c} long" for c in ["id", *keys])
-    rows = seqs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), seq_col).mapInArrow(held, numbered)
-    met = _dealt(rows, seqs, keys, seq_col).sortWithinPartitions(*keys, "id")
-    return met.mapInArrow(linked, "a long, b long").distinct()
+            own = pc.is_null(batch.column("body"))
+            pairs = batch.column("ids").filter(own).flatten().to_numpy().reshape(-1, 2)
+            links.append((pairs[:, 0], pairs[:, 1]))
+            runs.append(batch.filter(pc.invert(own)))
+        runs = _Runs(iter(runs), k)
+        ids = runs.ids.to_numpy()
+        for numbers, text, _, _ in runs.passes(numbered):
+            links.append(neighbours(numbers, ids[text])[1:])
+        a, b = _forest(*(np.concatenate(x) for x in zip(*links)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    rows = seqs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), seq_col).mapInArrow(held, _RUNS)
+    return rows.groupBy("part").applyInArrow(linked, "a long, b long").distinct()
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same ids as the links (a, b): the lowest of those joined to each of the others."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = at[:len(a)], at[len(a):]
+    lowest = np.arange(len(ids))
+    while len(one):
+        x, y = lowest[one], lowest[two]
+        apart = x != y
+        one, two, x, y = one[apart], two[apart], x[apart], y[apart]
+        np.minimum.at(lowest, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            jumped = lowest[lowest]
+            if np.array_equal(jumped, lowest):
+                break
+            lowest = jumped
+    other = np.flatnonzero(lowest != np.arange(len(ids)))
+    return ids[lowest[other]], ids[other]
 
 
 def _differing(ids: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different pairs of unequal neighbours in ``ids`` where ``joined`` says that they belong together."""
+    """Unequal neighbours in ``ids`` where ``joined`` says that they belong together."""
     at = np.flatnonzero(joined & (ids[1:] != ids[:-1]))
-    pairs = np.unique(np.stack([ids[at], ids[at + 1]], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    return ids[at], ids[at + 1]

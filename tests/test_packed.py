@@ -197,3 +197,41 @@ def test_single_kmers_travel_as_runs(seqs):
         numbers += 3 * 8 * windows
     # letters, places and marks are less than half of a number, an id and a place for each window
     assert texts < numbers / 2
+
+
+def test_links_are_a_forest_and_travel_as_runs(spark):
+    one, two = P._forest(np.array([5, 9, 3, 3, 20, 9]), np.array([9, 3, 5, 9, 21, 9]))
+    assert set(zip(one.tolist(), two.tolist())) == {(3, 5), (3, 9), (20, 21)}
+    rows = [(i, "ACDEFGHIKLMNPQRSTVWYACDEFGHIKL") for i in range(40)]
+    links = P.shared_links(spark.createDataFrame(rows, "protein_id long, seq string"), 25)
+    assert all("n0" not in line for line in exchanges(links))
+    assert {b for _, b in links.collect()} == set(range(1, 40))
+
+
+def test_hashes_that_meet_do_not_unite_kmers(spark, monkeypatch):
+    """k-mers are compared whole; a block falls back on sorting where hashes of different ones meet."""
+    rows = [(1, "ACDEFGHIKLMNPQRSTVWYACDEF"), (2, "YWVTSRQPNMLKIHGFEDCAYWVTS"), (3, "ACDEFGHIKLMNPQRSTVWYACDEF")]
+    kept, grouped = [], []
+
+    class Caught:
+        def __getattr__(self, name):
+            return lambda *a: self
+
+        def first(self):
+            return (100,)
+
+        def mapInArrow(self, work, kind):
+            kept.append(work)
+            return self
+
+        def applyInArrow(self, work, kind):
+            grouped.append(work)
+            return self
+
+    monkeypatch.setattr(P, "_run_parts", lambda *a: 1)
+    monkeypatch.setattr(P, "_mixed", lambda numbers: np.zeros(len(numbers[0]), np.uint64))
+    P.shared_links(Caught(), 25)
+    batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in rows], "seq": [s for _, s in rows]})
+    sent = list(kept[0](iter([batch])))
+    pairs = [tuple(r.values()) for b in grouped[0]((0,), iter(sent)) for r in b.to_pylist()]
+    assert pairs == [(1, 3)]

@@ -18,8 +18,8 @@ TASK_KEYS = 2_000_000
 # residues of one 64-bit number
 NUMBER = 12
 # windows that travel to one task as runs, on average, and how many of them are numbers at once
-RUN_WINDOWS = 1 << 24
-PASS_WINDOWS = 1 << 22
+RUN_WINDOWS = 1 << 23
+PASS_WINDOWS = 1 << 21
 
 _LETTERS = np.frombuffer(C.RESIDUES.encode(), np.uint8)
 _INDEX = np.full(256, 255, np.uint8)
